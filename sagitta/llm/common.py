@@ -150,3 +150,22 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, n: int = 5) -> tuple[np
     for k in range(n):
         out = mixed(out * STEP + np.where(length > k, padded[start + k], np.uint64(0)))
     return out, place
+
+
+def bounded_sample(rows: DataFrame, key: str, n: int, by: str | None = None) -> DataFrame:
+    """At most about n rows of each value of ``by``, chosen by a hash of key: the same rows on every run.
+
+    The counts take one pass over ``by`` alone; at most 1,000 values of it are told apart (the most frequent).
+    """
+    part = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
+    if by is None:
+        return rows.where(part < n / max(1, rows.count()))
+    counts = rows.groupBy(by).count().orderBy(F.desc("count"), by).limit(1000).collect()
+    if not counts:
+        return rows
+    shares = F.create_map(*(x for value, count in counts for x in (F.lit(value), F.lit(min(1.0, n / count)))))
+    return rows.where(part < F.coalesce(shares[F.col(by)], F.lit(0.0)))
+
+
+def has_letter(column: pa.Array) -> np.ndarray:
+    return np.asarray(pc.fill_null(pc.match_substring_regex(column, r"\pL"), False))

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sagitta.llm import bpe, mixing, ogg
+from sagitta.llm import bpe, langid, mixing, ogg, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_toxicity": toxicity.query,
         "op3_source_mixing": mixing.query,
+        "op4_language_id": langid.query,
         "op7_ogg_media": ogg.query,
         "op10_byte_bpe": bpe.query,
     }
