@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sagitta.llm import bpe, langid, mixing, ogg, toxicity
+from sagitta.llm import bpe, langid, mixing, neardup, ogg, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,9 +15,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_source_mixing": mixing.query,
         "op4_language_id": langid.query,
         "op7_ogg_media": ogg.query,
+        "op8_near_dedup": neardup.query,
         "op10_byte_bpe": bpe.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": mixing.sql()}
+    return {"op3_source_mixing": mixing.sql(), "op8_near_dedup": neardup.SQL}
