@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sagitta.llm import bpe, langid, mixing, neardup, ogg, toxicity
+from sagitta.llm import bpe, fingerprint, langid, mixing, neardup, ogg, pii, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fingerprints": fingerprint.query,
         "op2_toxicity": toxicity.query,
         "op3_source_mixing": mixing.query,
         "op4_language_id": langid.query,
+        "op5_pii_pseudonyms": pii.query,
         "op7_ogg_media": ogg.query,
         "op8_near_dedup": neardup.query,
         "op10_byte_bpe": bpe.query,
