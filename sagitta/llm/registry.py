@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sagitta.llm import bpe, fingerprint, langid, mixing, neardup, ogg, pii, toxicity
+from sagitta.llm import bpe, fingerprint, langid, lm, mixing, neardup, ogg, pii, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_source_mixing": mixing.query,
         "op4_language_id": langid.query,
         "op5_pii_pseudonyms": pii.query,
+        "op6_language_model": lm.query,
         "op7_ogg_media": ogg.query,
         "op8_near_dedup": neardup.query,
         "op10_byte_bpe": bpe.query,
