@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sagitta.llm import bpe, fingerprint, langid, lm, mixing, neardup, ogg, pii, toxicity
+from sagitta.llm import bpe, fingerprint, langid, lm, mixing, neardup, ogg, pii, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language_model": lm.query,
         "op7_ogg_media": ogg.query,
         "op8_near_dedup": neardup.query,
+        "op9_quality": quality.query,
         "op10_byte_bpe": bpe.query,
     }
 
