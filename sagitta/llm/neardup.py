@@ -154,18 +154,42 @@ def _named(nodes: DataFrame, prefix: str) -> DataFrame:
     return nodes.select(*(F.col(c).alias(prefix + c) for c in ("node", "n", "sketch")))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, origin: DataFrame, least: int) -> DataFrame:
-    """Those pairs (u, v) of nodes whose full sets are similar enough. origin has a row (node, doc_id) for each node."""
-    pairs = cut(pairs, "pairs")
-    needed = cut(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(origin, "node"), "needed")
+def full_sets(wanted: DataFrame, docs: DataFrame, origin: DataFrame) -> DataFrame:
+    """node and its whole set (members) for the wanted nodes. origin has a row (node, doc_id) for each node."""
+    needed = cut(wanted.select("node").distinct().join(origin, "node"), "needed")
     ids = needed.select("doc_id").distinct()
     few = needed.count() <= BROADCAST_ROWS
     texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     members = shingled(texts).dropDuplicates(["node"])
-    members = cut(members.join(F.broadcast(needed.select("node")) if few else needed.select("node"), "node", "left_semi"), "members")
+    return cut(members.join(F.broadcast(needed.select("node")) if few else needed.select("node"), "node", "left_semi"), "members")
+
+
+def _linked(a: str, b: str, least: int) -> Column:
+    """Whether two whole sets, array columns, are similar enough."""
+    common = F.size(F.array_intersect(a, b))
+    return common * (100 + least) >= (F.size(a) + F.size(b)) * least
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, origin: DataFrame, least: int) -> DataFrame:
+    """Those pairs (u, v) of nodes whose full sets are similar enough."""
+    pairs = cut(pairs, "pairs")
+    members = full_sets(pairs.select(F.col("u").alias("node")).union(pairs.select("v")), docs, origin)
     both = pairs.join(members.select(F.col("node").alias("u"), F.col("members").alias("a")), "u").join(members.select(F.col("node").alias("v"), F.col("members").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    return cut(both.withColumn("common", common).where(F.col("common") * 100 >= (F.size("a") + F.size("b") - F.col("common")) * least).select("u", "v"), "links")
+    return cut(both.where(_linked("a", "b", least)).select("u", "v"), "links")
+
+
+def across(live: DataFrame, nodes: DataFrame, docs: DataFrame, origin: DataFrame, least: int) -> DataFrame:
+    """All links (u, v) between different parts of one bucket of live.
+
+    The join's own condition confirms a pair, so a pair is a row only if it is a link: sketches first, then whether this is
+    the first band that both share, then the whole sets.
+    """
+    known = live.join(nodes.select("node", "n", "sketch", "bands"), "node").join(full_sets(live, docs, origin), "node")
+    u, v = (known.select("bucket", *(F.col(c).alias(p + c) for c in ("node", "part", "band", "n", "sketch", "bands", "members"))) for p in ("u_", "v_"))
+    first = F.array_position(F.zip_with("u_bands", "v_bands", lambda x, y: x == y), True) == F.col("u_band") + 1
+    cheap = (F.col("u_node") < F.col("v_node")) & (F.col("u_part") != F.col("v_part")) & _near("u_", "v_", least)
+    link = F.when(~cheap, False).when(~first, False).otherwise(_linked("u_members", "v_members", least))
+    return u.join(v, (u["bucket"] == v["bucket"]) & link).select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
 
 
 def classes(docs: DataFrame, least: int = LEAST, rounds: int = ROUNDS) -> DataFrame:
@@ -175,7 +199,7 @@ def classes(docs: DataFrame, least: int = LEAST, rounds: int = ROUNDS) -> DataFr
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = cut(nodes, "nodes")
     origin = nodes.select("node", "doc_id")
-    entries = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("bucket"))
+    entries = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", "band", F.xxhash64("band", "value").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     live = cut(entries.join(shared.select("bucket"), "bucket"), "entries").withColumn("part", F.col("node"))
     roots, links = None, None
@@ -185,17 +209,14 @@ def classes(docs: DataFrame, least: int = LEAST, rounds: int = ROUNDS) -> DataFr
             leaders = live.groupBy("bucket").agg(F.min(F.struct(lead.alias("rank"), "node", "part")).alias("lead"))
             pairs = live.join(leaders, "bucket").where("part != lead.part").select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v")).distinct()
             pairs = pairs.join(_named(nodes, "u_"), F.col("u") == F.col("u_node")).join(_named(nodes, "v_"), F.col("v") == F.col("v_node")).where(_near("u_", "v_", least))
+            found = confirmed(pairs.select("u", "v"), docs, origin, least)
         else:
-            known = live.join(nodes.select("node", "n", "sketch"), "node")
-            u, v = (known.select("bucket", *(F.col(c).alias(p + c) for c in ("node", "part", "n", "sketch"))) for p in ("u_", "v_"))
-            pairs = u.join(v, "bucket").where((F.col("u_node") < F.col("v_node")) & (F.col("u_part") != F.col("v_part")) & _near("u_", "v_", least))
-            pairs = pairs.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).distinct()
-        found = confirmed(pairs.select("u", "v"), docs, origin, least)
+            found = cut(across(live, nodes, docs, origin, least), "links")
         links = found if links is None else roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found)
         roots = components(links)
         if turn == rounds:
             break
-        live = live.drop("part").join(roots, "node", "left").select("node", "bucket", F.coalesce("root", "node").alias("part"))
+        live = live.drop("part").join(roots, "node", "left").select("node", "band", "bucket", F.coalesce("root", "node").alias("part"))
         live = cut(live, "parts")
         # two members: their one pair is settled
         open_ = live.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count(F.lit(1)).alias("size")).where("a != b and size > 2")
