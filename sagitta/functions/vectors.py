@@ -1,6 +1,6 @@
 """Distances and other functions of vectors, as columns. Sums run in double precision, in the order of the components.
 
-A null vector gives null. Vectors of unequal length give null too (``checked`` raises instead). A zero vector has
+A null vector gives null. Vectors of unequal length give null too (``calculate`` raises instead). A zero vector has
 similarity 0 to every vector, cosine distance 1, and stays as it is when normalised.
 """
 
@@ -118,11 +118,6 @@ def weighted_sum(vectors: list[Vector], weights: list[float]) -> Column:
     return out
 
 
-def checked(a: Vector, b: Vector) -> Column:
-    """True, or an error for vectors of unequal length."""
-    return F.when(dim(a) == dim(b), True).otherwise(F.raise_error(F.lit("vectors of unequal length")).cast("boolean"))
-
-
 class Metric:
     """A measure of nearness: its value, whether more of it is nearer, and the names under which requests know it."""
 
@@ -159,7 +154,7 @@ def calculate(name: str | Metric, a: Vector, b: Vector) -> Column:
     """The distance of two vectors (dot: the product): an error for unequal lengths."""
     m = metric(name)
     value = cosine_distance(a, b) if m is COSINE else m.value(a, b)
-    return F.when(checked(a, b), value)
+    return F.when(dim(a) == dim(b), value).otherwise(F.raise_error(F.lit("vectors of unequal length")).cast("double"))
 
 
 def text_vector(text: Column | str, width: int = 512) -> Column:

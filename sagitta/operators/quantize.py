@@ -44,8 +44,8 @@ def scalar_codes(v: V.Vector, lo: list[float], hi: list[float], bits: int = 8) -
     spans = F.array(*(F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for a, b in zip(lo, hi, strict=True)))
 
     def code(x: Column, s: Column) -> Column:
-        share = (x.cast("double") - s.a) / F.nullif(s.b - s.a, F.lit(0.0))
-        return F.coalesce(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * top), F.lit(0)).cast("int")
+        share = (x.cast("double") - s.a) / (s.b - s.a)
+        return F.when(s.b > s.a, F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * top)).otherwise(0).cast("int")
 
     return F.zip_with(V.column(v), spans, code)
 

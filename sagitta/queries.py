@@ -71,7 +71,7 @@ MEASURES = {
     "cosine": (f"list_cosine_similarity({D}, {Q0})", "DESC"),
     "dot": (f"list_inner_product({D}, {Q0})", "DESC"),
     "l2": (f"list_distance({D}, {Q0})", "ASC"),
-    "l1": (f"list_sum(list_transform(range(1, 65), lambda i: abs({D}[i] - {Q0}[i])))", "ASC"),
+    "l1": ("(SELECT sum(abs(x - y)) FROM (SELECT unnest(e.embedding)::DOUBLE AS x, unnest((SELECT embedding FROM embeddings WHERE vec_id = 0))::DOUBLE AS y))", "ASC"),
 }
 
 
@@ -144,7 +144,7 @@ def _(spark, sf):
     return points(spark, sf).select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(10).select("id", F.round("score", 4).alias("score"))
 
 
-@query("custom_similarity", f"SELECT vec_id AS id, round(greatest(0, 1 - abs({D}[1] - {Q0}[1])), 4) AS score FROM embeddings e ORDER BY greatest(0, 1 - abs({D}[1] - {Q0}[1])) DESC, vec_id LIMIT 10")
+@query("custom_similarity", "SELECT vec_id AS id, round(greatest(0, 1 - abs(embedding[1]::DOUBLE - q)), 4) AS score FROM embeddings, (SELECT embedding[1]::DOUBLE AS q FROM embeddings WHERE vec_id = 0) ORDER BY greatest(0, 1 - abs(embedding[1]::DOUBLE - q)) DESC, vec_id LIMIT 10")
 def _(spark, sf):
     return search.custom(points(spark, sf), query_vector(spark, sf), udfs.function("builtin", "custom_similarity")).select("id", F.round("score", 4).alias("score"))
 
@@ -446,7 +446,8 @@ query("int8_quant", "SELECT vec_id AS id, list_transform(embedding, lambda x: gr
     lambda spark, sf: points(spark, sf).select("id", quantize.int8_codes("vector", 50.0, 0.01).alias("codes")))
 
 
-@query("binary_quant_hamming", f"""SELECT vec_id AS id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (embedding[i] > 0) <> ({Q0}[i] > 0) THEN 1 ELSE 0 END))::INT AS distance FROM embeddings ORDER BY distance, id LIMIT 20""")
+@query("binary_quant_hamming", """SELECT vec_id AS id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (embedding[i] > 0) <> (q[i] > 0) THEN 1 ELSE 0 END))::INT AS distance
+  FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) ORDER BY distance, id LIMIT 20""")
 def _(spark, sf):
     d = V.hamming(quantize.binary_codes("vector"), quantize.binary_codes(query_vector(spark, sf)))
     return points(spark, sf).select("id", d.alias("distance")).orderBy("distance", "id").limit(20)
@@ -524,7 +525,7 @@ def arcs(spark: SparkSession, sf: str) -> DataFrame:
 ARCS = "arcs AS (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer)"
 query("relations", f"WITH {ARCS} SELECT src, dst FROM arcs WHERE src = 'n3' OR dst = 'n3'")(lambda spark, sf: graph.relations(arcs(spark, sf), "n3"))
 _turn = "SELECT node, 0.15 / n + 0.85 * coalesce((SELECT sum(p.rank * s.share) FROM shares s JOIN {p} p ON p.node = s.src WHERE s.dst = nodes.node), 0) AS rank FROM nodes, size"
-query("pagerank", f"""WITH {ARCS}, shares AS (SELECT src, dst, count(*) / sum(count(*)) OVER (PARTITION BY src) AS share FROM arcs GROUP BY ALL), nodes AS (SELECT src AS node FROM arcs UNION SELECT dst FROM arcs),
+query("pagerank", f"""WITH {ARCS}, shares AS (SELECT src, dst, count(*) / sum(count(*)) OVER (PARTITION BY src) AS share FROM arcs GROUP BY src, dst), nodes AS (SELECT src AS node FROM arcs UNION SELECT dst FROM arcs),
 size AS (SELECT count(*) AS n FROM nodes), p0 AS (SELECT node, 1.0 / n AS rank FROM nodes, size), """ + ", ".join(f"p{k} AS ({_turn.format(p=f'p{k - 1}')})" for k in range(1, 5)) + " SELECT node, round(rank::DOUBLE, 6) AS rank FROM p4")(
     lambda spark, sf: graph.page_rank(arcs(spark, sf), turns=4).select("node", F.round("rank", 6).alias("rank")))
 query("node_distances", f"""WITH RECURSIVE {ARCS}, both_ways AS (SELECT src, dst FROM arcs UNION SELECT dst, src FROM arcs), w AS (SELECT 'c1' AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM w JOIN both_ways ON node = src WHERE depth < 4)
