@@ -102,11 +102,23 @@ class Vocabulary:
 
 
 def vocabulary(counted: DataFrame, head: int = HEAD) -> Vocabulary:
+    """The head is every token from a class of counts on, sixteen classes to a doubling: as many as come to head at most."""
     total, distinct = counted.agg(F.sum("n"), F.count(F.lit(1))).first()
-    top = counted.orderBy(F.desc("n"), "token").limit(head).select("token", "n").toPandas()
-    h, n = top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    level = F.floor(F.log2("n") * 16).cast("int")
+    least, held = None, 0
+    for r in sorted(counted.groupBy(level.alias("level")).count().collect(), reverse=True):
+        held += r["count"]
+        if held > head:
+            break
+        least = r.level
+    top = counted.where(level >= least if least is not None else F.lit(False)).select("token", "n").toArrow()
+    h, n = top.column("token").to_numpy(), top.column("n").to_numpy()
+    by_count = np.lexsort((h, -n))
+    h, n = h[by_count], n[by_count]
+    first = h[:SINGLE]
+    h = h.view(np.uint64)
     order = np.argsort(h)
-    single = [int(x) for x in top["token"][:SINGLE]]
+    single = [int(x) for x in first]
     shared = counted.where(~F.col("token").isin(single)) if single else counted
     places = np.ones(CLASSES)
     for r in shared.groupBy((F.col("ending") % SHARED).alias("c")).agg(F.sum(F.col("n") + 1).alias("n")).collect():
