@@ -85,8 +85,8 @@ def measured(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[np.nd
     again[first[:-1][first[:-1] < len(h)]] = 0
     end = data[e - 1] if len(e) else np.zeros(0, np.uint8)
     long = e - s > 1
-    before = data[np.maximum(e - 2, 0)] if len(e) else end
-    marks = (SYMBOL[end] & long & (before == end)).astype(np.int64)
+    last_but_one = data[np.maximum(e - 2, 0)] if len(e) else end
+    marks = (SYMBOL[end] & long & (last_but_one == end)).astype(np.int64)
     bars = ((e - s == 1) & SYMBOL[end]).astype(np.int64)
     stops = np.isin(end, [33, 46, 63]).astype(np.int64)
     ls, le, lines = word_spans(data, offs, IS_LINE)
@@ -103,7 +103,9 @@ def measured(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[np.nd
     at = thin[offs]
     ss, se, _ = word_spans(shape[kept], at)
     g = word_hashes(shape[kept], ss, se)
-    pair = mixed(g + np.concatenate([[np.uint64(0)], g[:-1]]) * np.uint64(3)) if len(g) else g
+    before = np.concatenate([np.zeros(1, np.uint64), g])[:-1]
+    before[first[:-1][first[:-1] < len(g)]] = 0
+    pair = mixed(g + before * np.uint64(3))
     place = lambda x, k: (k << BITS) + (x >> np.uint64(64 - BITS)).astype(np.int64)
     return stats, [place(h, 0), place(g, 1), place(pair, 2)], first
 
@@ -153,7 +155,7 @@ def accuracies(found: np.ndarray, count: np.ndarray, labellers: int, turns: int
         prior = float((count * post).sum() + 1) / (count.sum() + 2)
         logs = [np.log(shares[y][np.arange(labellers), v]).sum(1) + np.log(prior if y else 1 - prior) for y in (0, 1)]
         now = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
-        if np.abs(now - post).max() < 1e-9:
+        if np.abs(now - post).max(initial=0.0) < 1e-9:
             break
         post = now
     return post, shares, prior
