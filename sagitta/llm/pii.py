@@ -32,7 +32,7 @@ PATTERNS = {
     "date": r"(?<![\w.-])(?:(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]|(?:19|20)[0-9]{2}/[01][0-9]/[0-3][0-9]|[0-3][0-9][./-][01][0-9][./-](?:19|20)[0-9]{2})(?![\w-]|[.][0-9])",
     "ip": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-    "phone": r"(?<![\w.+(-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![\w-]|\.[0-9])|(?<![\w.+-])\+[0-9]{8,15}(?![\w-]|\.[0-9])",
+    "phone": r"(?<![\w.+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![\w-]|\.[0-9])|(?<![\w.+-])\+[0-9]{8,15}(?![\w-]|\.[0-9])",
     "card": r"(?<![\w.-])[0-9]{4}(?:[ -]?[0-9]){9,15}(?![\w-]|\.[0-9])",
 }
 ANY = "|".join(PATTERNS.values())
