@@ -144,28 +144,71 @@ def features(rank: np.ndarray, ending: np.ndarray, at: np.ndarray) -> np.ndarray
     return np.stack([back[0], CONTEXT + back[1], 2 * CONTEXT + pair])
 
 
-def log_shares(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """The log of every class's probability, for each token."""
-    z = weights[f[0]] + weights[f[1]]
-    z += weights[f[2]]
-    z += bias
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+class Space:
+    """Room for a batch's scores, used again for every batch."""
+
+    def __init__(self):
+        self.z, self.t = np.empty((BATCH, CLASSES), np.float32), np.empty((BATCH, CLASSES), np.float32)
+
+    def scores(self, weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
+        """Every class's score for each token of a batch, at most 0."""
+        z, t = self.z[: f.shape[1]], self.t[: f.shape[1]]
+        np.take(weights, f[0], axis=0, out=z, mode="clip")
+        for rows in f[1:]:
+            np.take(weights, rows, axis=0, out=t, mode="clip")
+            z += t
+        z += bias
+        z -= z.max(axis=1, keepdims=True)
+        return z
 
 
-def step(weights: np.ndarray, squares: np.ndarray, bias: np.ndarray, f: np.ndarray, y: np.ndarray) -> None:
+def log_shares(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """The log of every class's probability, for each token of a batch."""
+    z = Space().scores(weights, bias, f)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
+def chosen_logs(weights: np.ndarray, bias: np.ndarray, f: np.ndarray, y: np.ndarray, space: Space) -> np.ndarray:
+    """The log of the probability of each token's own class."""
+    out = np.empty(len(y))
+    for i in range(0, len(y), BATCH):
+        z = space.scores(weights, bias, f[:, i : i + BATCH])
+        own = z[np.arange(len(z)), y[i : i + BATCH]]
+        np.exp(z, out=z)
+        out[i : i + BATCH] = own - np.log(z.sum(axis=1))
+    return out
+
+
+def run_sums(x: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows: long runs one by one, short ones together, place by place."""
+    size = np.diff(np.append(start, len(x)))
+    out = x[start]
+    for k in np.flatnonzero(size > 16):
+        x[start[k] : start[k] + size[k]].sum(axis=0, out=out[k])
+    short = np.flatnonzero((size > 1) & (size <= 16))
+    place = 1
+    while len(short):
+        out[short] += x[start[short] + place]
+        place += 1
+        short = short[size[short] > place]
+    return out
+
+
+def step(weights: np.ndarray, squares: np.ndarray, bias: np.ndarray, f: np.ndarray, y: np.ndarray, space: Space) -> None:
     """One AdaGrad update, in place, from a batch of tokens."""
-    g = np.exp(log_shares(weights, bias, f))
+    g = space.scores(weights, bias, f)
+    np.exp(g, out=g)
+    g /= g.sum(axis=1, keepdims=True)
     g[np.arange(len(y)), y] -= 1
     for rows in f:
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows.astype(np.int16), kind="stable")
         row = rows[order]
         start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        total = np.add.reduceat(g[order], start, axis=0)
+        total = run_sums(np.take(g, order, axis=0, out=space.t[: len(y)], mode="clip"), start)
         row = row[start]
         squares[row] += np.einsum("ij,ij->i", total, total) / CLASSES
-        weights[row] -= (RATE / np.sqrt(squares[row] + 1e-8))[:, None] * total
+        total *= (RATE / np.sqrt(squares[row] + 1e-8))[:, None]
+        weights[row] -= total
 
 
 def train(docs: DataFrame, known: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +224,7 @@ def train(docs: DataFrame, known: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         return pa.RecordBatch.from_arrays([pa.array([part] * len(pieces), pa.int64()), pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary()), pa.array([n] * len(pieces), pa.int64())], names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, done, part = shared.value, 0, 0
+        v, done, part, space = shared.value, 0, 0, Space()
         weights, squares = np.zeros((FEATURES, CLASSES), np.float32), np.full(FEATURES, 1e-2, np.float32)
         for batch in batches:
             if not batch.num_rows:
@@ -193,7 +236,7 @@ def train(docs: DataFrame, known: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
                 _, rank = v.look_up(h)
                 f, y = features(rank, ending, at), classes(rank, ending)
                 for i in range(0, len(y), BATCH):
-                    step(weights, squares, start, f[:, i : i + BATCH], y[i : i + BATCH])
+                    step(weights, squares, start, f[:, i : i + BATCH], y[i : i + BATCH], space)
                 done += len(y)
         if done:
             yield emitted(part, weights, done)
@@ -237,17 +280,14 @@ def score(docs: DataFrame, counted: DataFrame, known: Vocabulary, weights: np.nd
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, w, b = shared.value
-        inside = np.log10(v.places)
+        inside, space = np.log10(v.places), Space()
         for batch in batches:
             data, offs = utf8(batch.column(2))
             for lo, hi, p, a in blocks(data, offs):
                 h, ending, at = tokens(p, a)
                 n, rank = v.look_up(h)
                 y, f, first = classes(rank, ending), features(rank, ending, at), at[:-1]
-                chosen = np.empty(len(y))
-                for i in range(0, len(y), BATCH):
-                    z = log_shares(w, b, f[:, i : i + BATCH])
-                    chosen[i : i + BATCH] = z[np.arange(len(z)), y[i : i + BATCH]]
+                chosen = chosen_logs(w, b, f, y, space)
                 plain = np.log10(n + 1.0)
                 model = chosen / np.log(10) + np.where(y < SINGLE, 0.0, plain - inside[y])
                 far = rank < 0
