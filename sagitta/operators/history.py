@@ -202,3 +202,8 @@ def window_limited(rows: DataFrame, by: str, time: str, limit: int, seconds: int
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.bool_())], [*kept, "allowed"])
 
     return ready.mapInArrow(work, schema)
+
+
+def too_many(rows: DataFrame, metric: str, label: str, most: int) -> DataFrame:
+    """The metrics whose labels have over most different values, by an estimate: metric and values."""
+    return rows.groupBy(metric).agg(F.approx_count_distinct(label, 0.01).alias("values")).where(F.col("values") > most)

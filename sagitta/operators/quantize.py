@@ -191,3 +191,54 @@ def deltas(neighbours: Column) -> Column:
 
 def from_deltas(steps: Column) -> Column:
     return F.transform(steps, lambda x, i: F.aggregate(F.slice(steps, F.lit(1), i + 1), F.lit(0).cast("long"), lambda s, y: s + y))
+
+
+@dataclass
+class Additive:
+    """A vector as a sum of one centre from each of several books, found by a beam search over all of them."""
+
+    books: list[np.ndarray]
+    beam: int = 16
+
+    @classmethod
+    def train(cls, x: np.ndarray, stages: int = 2, centres: int = 64, turns: int = 20, beam: int = 16) -> Additive:
+        return cls(Residual.train(x, stages, centres, turns).books, beam)
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        codes, left = np.zeros((len(x), 1, 0), int), x[:, None, :]
+        for b in self.books:
+            d = np.square(left).sum(2)[:, :, None] - 2 * left @ b.T + np.square(b).sum(1)
+            flat = d.reshape(len(x), -1)
+            best = np.argsort(flat, axis=1, kind="stable")[:, : self.beam]
+            at, c = best // len(b), best % len(b)
+            codes = np.concatenate([np.take_along_axis(codes, at[:, :, None], 1), c[:, :, None]], axis=2)
+            left = np.take_along_axis(left, at[:, :, None], 1) - b[c]
+        return codes[:, 0]
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return sum(b[c] for b, c in zip(self.books, codes.T, strict=True))
+
+
+@dataclass
+class Stacked:
+    """Product codes of a vector, then of what they leave over."""
+
+    layers: list[Product]
+
+    @classmethod
+    def train(cls, x: np.ndarray, layers: int = 2, parts: int = 4, centres: int = 16, turns: int = 20) -> Stacked:
+        made, left = [], x
+        for _ in range(layers):
+            made.append(Product.train(left, parts, centres, turns))
+            left = left - made[-1].decode(made[-1].encode(left))
+        return cls(made)
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        codes, left = [], x
+        for layer in self.layers:
+            codes.append(layer.encode(left))
+            left = left - layer.decode(codes[-1])
+        return np.concatenate(codes, axis=1)
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return sum(layer.decode(c) for layer, c in zip(self.layers, np.split(codes, len(self.layers), axis=1), strict=True))

@@ -599,3 +599,32 @@ query("numeric_ids", "SELECT p_partkey FROM part")(lambda spark, sf: table(spark
 query("sequence_numbers", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS sequence FROM orders")(lambda spark, sf: collections.numbered(table(spark, sf, "orders"), "o_custkey", "o_orderkey").select("o_orderkey", "sequence"))
 query("context_window", "SELECT doc_id, coalesce(lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id), -1) AS before, coalesce(lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id), -1) AS after FROM documents")(
     lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.coalesce(F.lag("doc_id").over(Window.partitionBy("source").orderBy("doc_id")), F.lit(-1)).alias("before"), F.coalesce(F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id")), F.lit(-1)).alias("after")))
+
+# more quantisers and checks
+
+
+@query("additive_quant_error")
+def _(spark, sf):
+    aq = quantize.Additive.train(quantize.sample(points(spark, sf), "vector"), 2, 16)
+    return quantize.encoded(points(spark, sf), aq).agg(F.avg("error").alias("mean_error"))
+
+
+@query("stacked_quant_error")
+def _(spark, sf):
+    sq = quantize.Stacked.train(quantize.sample(points(spark, sf), "vector"), 2, 8, 16)
+    return quantize.encoded(points(spark, sf), sq).agg(F.avg("error").alias("mean_error"))
+
+
+@query("serializability_cycles", "SELECT 'a' AS src, 'b' AS dst UNION ALL SELECT 'b', 'c' UNION ALL SELECT 'c', 'a'")
+def _(spark, sf):
+    more = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string")
+    return graph.on_cycles(arcs(spark, sf).union(more))
+
+
+query("cardinality_guard", "SELECT event_type FROM events GROUP BY 1 HAVING count(DISTINCT user_id) > 20")(lambda spark, sf: history.too_many(table(spark, sf, "events"), "event_type", "user_id", 20).select("event_type"))
+
+
+@query("cross_metric_distance", f"SELECT vec_id AS id, round(list_inner_product({D}, {Q0}), 4) AS dot, round(1 - list_cosine_similarity({D}, {Q0}), 4) AS cosine FROM embeddings e")
+def _(spark, sf):
+    q = query_vector(spark, sf)
+    return points(spark, sf).select("id", F.round(V.calculate("ip", "vector", q), 4).alias("dot"), F.round(V.calculate("cosine", "vector", q), 4).alias("cosine"))

@@ -1,12 +1,14 @@
 import datetime as dt
+import json
+import uuid
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from sagitta.functions import records, text
-from sagitta.operators import graph, history, replication
-from sagitta.sources import binary, formats
+from sagitta.operators import cache, graph, history, replication
+from sagitta.sources import backup, binary, connectors, formats
 from sagitta.streaming import changes
 
 INTENTS = {
@@ -155,3 +157,56 @@ def test_stream_limiter_keeps_state(spark, tmp_path):
         stream = stream or changes.limited(spark.readStream.schema("u string, ts timestamp").parquet(src), "u", "ts", 2, 10)
         stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "o")).awaitTermination()
     assert [r.allowed for r in spark.read.parquet(str(tmp_path / "o")).orderBy("at").collect()] == [True, True, False]
+
+
+def test_connectors(spark, tmp_path):
+    points = [{"id": i, "vector": {"default": [i, 1]} if i % 2 else [i, 1], "payload": {"k": i}} for i in range(5)]
+
+    def scroll(offset, limit):
+        at = offset or 0
+        return {"result": {"points": points[at : at + limit], "next_page_offset": at + limit if at + limit < 5 else None}}
+
+    got = connectors.imported(spark, scroll, "scroll", str(tmp_path / "a"), 2).orderBy("id").collect()
+    assert [(r.id, r.vector[0], r.metadata) for r in got] == [(str(i), float(i), f'{{"k": {i}}}') for i in range(5)]
+    rows = [{"id": i, "embedding": [1.0], "tag": "x"} for i in range(4)]
+    assert sum(map(len, connectors.pages(lambda o, n: {"data": rows[o : o + n]}, "entities", 2))) == 4
+    graph_rows = {"data": {"Get": {"A": [{"t": "x", "_additional": {"id": "u", "vector": [1, 2]}}]}}}
+    assert list(connectors.pages(lambda o, n: graph_rows, "graph")) == [[("u", [1.0, 2.0], '{"t": "x"}')]]
+    assert list(connectors.pages(lambda o, n: {"matches": [{"id": "m", "values": [3]}]}, "matches")) == [[("m", [3.0], None)]]
+    out = tmp_path / "sent"
+    out.mkdir()
+
+    def send(batch):
+        (out / uuid.uuid4().hex).write_text(json.dumps(batch))
+
+    connectors.exported(spark.read.parquet(str(tmp_path / "a")), send, 2)
+    assert sum(len(json.loads(p.read_text())) for p in out.iterdir()) == 5
+
+
+def test_backup(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "d"))
+    name = backup.create(spark, str(tmp_path / "d"), str(tmp_path / "b"), "one")
+    spark.range(9).write.mode("overwrite").parquet(str(tmp_path / "d"))
+    backup.restore(spark, str(tmp_path / "b"), name, str(tmp_path / "d"))
+    assert spark.read.parquet(str(tmp_path / "d")).count() == 3 and [b["name"] for b in backup.listed(spark, str(tmp_path / "b"))] == ["one"]
+    with pytest.raises(ValueError):
+        backup.create(spark, str(tmp_path / "d"), str(tmp_path / "b"), "one")
+
+
+def test_result_cache(spark):
+    now = [0.0]
+    kept = cache.Results(2, 10, lambda: now[0])
+    first = kept.get("a", lambda: spark.range(1), 1)
+    assert kept.get("a", lambda: spark.range(2), 1) is first and kept.get("a", lambda: spark.range(2), 2).count() == 2
+    now[0] = 20
+    assert kept.get("a", lambda: spark.range(3), 2).count() == 3
+    for k in "bc":
+        kept.get(k, lambda: spark.range(1))
+    assert kept.statistics() == {"entries": 2, "hits": 1, "misses": 5, "hit_rate": pytest.approx(1 / 6)}
+    kept.clear()
+
+
+def test_cycles(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src long, dst long")
+    assert graph.on_cycles(edges).count() == 0
+    assert graph.on_cycles(edges.union(spark.createDataFrame([(3, 1)], edges.schema))).count() == 3

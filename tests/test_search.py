@@ -175,6 +175,8 @@ def test_quantisers(spark):
     rq1, rq2 = (quantize.Residual.train(x, s, 16) for s in (1, 2))
     error = lambda q: np.square(q.decode(q.encode(x)) - x).mean()
     assert error(rq2) < error(rq1)
+    assert error(quantize.Additive(rq2.books)) <= error(rq2) + 1e-12
+    assert error(quantize.Stacked.train(x, 2)) < error(quantize.Product.train(x, 4, 16))
     assert one(spark, quantize.binary_codes([1.0, -1.0, 0.0, 2.0, 0, 0, 0, 0, 3.0])) == [9, 1]
     assert one(spark, quantize.int8_codes([0.5, -0.5, 200.0], 1.0)) == [1, -1, 127]
     assert one(spark, quantize.scalar_codes([0.5, 2.0, 7.0], [0.0, 0.0, 7.0], [1.0, 1.0, 7.0])) == [127, 255, 0]
