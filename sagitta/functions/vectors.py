@@ -63,7 +63,13 @@ def cosine_similarity(a: Vector, b: Vector) -> Column:
 
 
 def _over(inner: Column, norms: Column) -> Column:
-    return F.when(norms == 0, F.when(inner.isNotNull(), 0.0)).otherwise(inner / F.nullif(norms, F.lit(0.0)))
+    """inner / norms, each evaluated once; 0 for norms of 0."""
+    return F.coalesce(F.try_divide(inner, norms), F.when(inner.isNotNull(), 0.0))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once for a row, also where a lambda inside body uses it for every element."""
+    return F.transform(F.array(value), body)[0]
 
 
 def cosine_distance(a: Vector, b: Vector) -> Column:
@@ -72,8 +78,7 @@ def cosine_distance(a: Vector, b: Vector) -> Column:
 
 def normalize(v: Vector) -> Column:
     v = column(v)
-    size = norm(v)
-    return F.when(size > 0, F.transform(v, lambda x: _double(x) / size)).otherwise(F.transform(v, _double))
+    return let(norm(v), lambda size: F.when(size > 0, F.transform(v, lambda x: _double(x) / size)).otherwise(F.transform(v, _double)))
 
 
 def hamming(a: Column | str, b: Column | str) -> Column:
