@@ -7,7 +7,7 @@ the operators' docstrings say; extra columns pass through all stages but the las
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sagitta.llm import bpe, mixing, neardup, pii, toxicity
@@ -15,15 +15,40 @@ from sagitta.llm.common import cut, read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the scorer, learned from the labels that may be learned from, calls clean."""
+    """The documents that the scorer, learned from the labels that may be learned from, calls clean.
+
+    A document is judged by its own text, also if others have its id. Only ids and hashes of texts come back.
+    """
     model = toxicity.learn(spark, docs, sf_dir)
-    return toxicity.scored(docs, model, extra=[c for c in docs.columns if c not in ("doc_id", "text")], keep_text=True).where("score < 0.5").select(*docs.columns)
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    toxic = toxicity.scored(keyed, model, extra=["key"]).where("score >= 0.5").select("doc_id", "key").distinct()
+    return without(docs, toxic, key=F.xxhash64("text"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document of the smallest id; rows that repeat an id and its text count once."""
-    kept = neardup.classes(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id"))).drop("_kept_id").dropDuplicates(["doc_id", "text"])
+    """Of each group the document of the smallest id. Rows of one id (or without an id) stay if one of them does.
+
+    Of rows that are equal in id and text one stays. Only ids move between tasks: those to drop go to the documents if
+    they are few enough, and only documents whose id repeats are compared by their texts.
+    """
+    found = cut(neardup.classes(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "kept")
+    out = without(docs, found.where("not kept"))
+    repeated = found.where("kept and rows > 1")
+    if repeated.isEmpty():
+        return out
+    return without(out, repeated).unionByName(without(out, found.where("rows = 1 or not kept")).dropDuplicates(["doc_id", "text"]))
+
+
+def without(docs: DataFrame, gone: DataFrame, key: Column | None = None) -> DataFrame:
+    """docs but for those ids, null being one; with a key, but for those pairs of an id and a key.
+
+    What is gone goes to all executors if it is few rows, else the documents are dealt by id.
+    """
+    gone = cut(gone.select(F.col("doc_id").alias("_gone_id"), *([F.col("key").alias("_gone_key")] if key is not None else [])), "gone")
+    same = F.col("doc_id").eqNullSafe(F.col("_gone_id"))
+    if key is not None:
+        same = same & (key == F.col("_gone_key"))
+    return docs.join(F.broadcast(gone) if gone.count() <= neardup.BROADCAST_ROWS else gone, same, "left_anti")
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,19 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: Bytes of rows that Arrow sends to a Python worker at a time, about; one row may have more.
+BATCH_BYTES = 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Limits Arrow batches by bytes, so that long texts don't add up, unless the session has a limit of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.conf.get(name, None):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -43,6 +55,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read again; the files go when the session ends."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm

@@ -25,6 +25,8 @@ MOST = 3
 SEED = "mix-1"
 #: Rows that a lot of one size class holds, about.
 LOT_ROWS = 200_000
+#: Up to so many documents, their numbers of copies are sent to all executors; beyond, the join is a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def word_count(text: Column) -> Column:
@@ -92,9 +94,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 def emit(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: docs, each row as often as it is taken. Rows with one id share a number of copies, the highest."""
-    taken = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    name = options.get("doc_id", "doc_id")
-    joined = docs.join(taken.withColumnRenamed("doc_id", "_mix_id"), F.col(name).eqNullSafe(F.col("_mix_id")))
+    taken = cut(mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies")), "mix-taken").withColumnRenamed("doc_id", "_mix_id")
+    name, few = options.get("doc_id", "doc_id"), taken.count() <= BROADCAST_ROWS
+    joined = docs.join(F.broadcast(taken) if few else taken, F.col(name).eqNullSafe(F.col("_mix_id")))
     return joined.where("_copies > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copies", "_copy", "_mix_id")
 
 

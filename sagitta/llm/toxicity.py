@@ -193,12 +193,11 @@ def statistics(rows: DataFrame, model: Model, extra: list[str] = ()) -> DataFram
     return scored(rows, model, extra).selectExpr("doc_id", *extra, "n_tokens", "coalesce(array_max(transform(passages, p -> p.score)), 0D) as top", "transform(passages, p -> p.score) as logs")
 
 
-def scored(rows: DataFrame, model: Model, extra: list[str] = (), keep_text: bool = False) -> DataFrame:
-    """doc_id, extra columns, n_tokens, statistic, score and passages (character spans, score, chance); text if kept.
+def scored(rows: DataFrame, model: Model, extra: list[str] = ()) -> DataFrame:
+    """doc_id, extra columns, n_tokens, statistic, score and passages (character spans, score, chance).
 
-    A column of rows that clashes with one of these names and is not among extra does not get in the way.
+    Columns of rows that are not among extra do not get in the way, whatever their names.
     """
-    extra = [*extra, *(["text"] if keep_text else [])]
     shared = rows.sparkSession.sparkContext.broadcast(model)
     passage = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("score", pa.float64()), ("chance", pa.float64())]))
     names = ["doc_id", *extra, "n_tokens", "statistic", "score", "passages"]
@@ -220,9 +219,7 @@ def scored(rows: DataFrame, model: Model, extra: list[str] = (), keep_text: bool
 
     kinds = dict(rows.dtypes)
     schema = ", ".join(["doc_id long", *(f"{c} {kinds[c]}" for c in extra), "n_tokens long, statistic double, score double, passages array<struct<start:long,stop:long,score:double,chance:double>>"])
-    # columns go by place: those of extra may have any names
-    placed = rows.select("doc_id", F.col("text").alias("_text"), *extra).toDF(*(f"_{k}" for k in range(len(extra) + 2)))
-    return placed.mapInArrow(work, schema)
+    return rows.select("doc_id", "text", *extra).mapInArrow(work, schema)
 
 
 def learn(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
