@@ -628,3 +628,28 @@ query("cardinality_guard", "SELECT event_type FROM events GROUP BY 1 HAVING coun
 def _(spark, sf):
     q = query_vector(spark, sf)
     return points(spark, sf).select("id", F.round(V.calculate("ip", "vector", q), 4).alias("dot"), F.round(V.calculate("cosine", "vector", q), 4).alias("cosine"))
+
+# small operators of the surrounding work
+
+query("promoted_key", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 7")(
+    lambda spark, sf: collections.promoted(events(spark, sf), "k", "integer").where("k > 7").select("event_id", "k"))
+
+
+@query("vector_extraction", "SELECT vec_id AS id, round(list_sum(embedding::DOUBLE[]), 3) AS total FROM embeddings WHERE vec_id < 100")
+def _(spark, sf):
+    named = F.when(F.col("id") % 2 == 0, F.to_json(F.struct(F.col("vector").alias("embedding")))).otherwise(F.to_json(F.struct(F.col("vector").alias("vec"))))
+    found = records.vector_of(F.parse_json(named))
+    return points(spark, sf).where("id < 100").select("id", F.round(V.total(F.transform(found, lambda x: x.cast("double"))), 3).alias("total"))
+
+
+query("durations", """SELECT o_orderkey, CASE WHEN h > 0 THEN h || 'h ' || m || 'm ' || s || 's' WHEN m > 0 THEN m || 'm ' || s || 's' ELSE s || 's' END AS duration
+FROM (SELECT o_orderkey, o_orderkey // 3600 AS h, o_orderkey % 3600 // 60 AS m, o_orderkey % 60 AS s FROM orders)""")(
+    lambda spark, sf: table(spark, sf, "orders").select("o_orderkey", records.duration(F.col("o_orderkey")).alias("duration")))
+query("fault_tolerance", "SELECT p_partkey, round(greatest(0, (50 - p_size) / 50 - p_size / 50), 6)::DOUBLE AS score FROM part")(
+    lambda spark, sf: table(spark, sf, "part").select("p_partkey", F.round(history.fault_tolerance(F.lit(50), F.col("p_size")), 6).alias("score")))
+query("record_batch", "SELECT p_partkey AS id, p_name FROM part ORDER BY 1 LIMIT 20 OFFSET 30")(lambda spark, sf: formats.fetched(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_name"), 30, 20))
+query("score_with_payload", nearest_sql("dot", limit=6).replace("round(score, 4) AS score", "round(score, 4) AS score, (SELECT label FROM embeddings x WHERE x.vec_id = s.id) AS label"))(
+    lambda spark, sf: search.search(with_payload(spark, sf), search.Request(query_vector(spark, sf), 6, metric="IP", with_payload=["label"])).select("rank", "id", F.round("score", 4).alias("score"), F.try_variant_get("payload", "$.label", "int").alias("label")))
+query("range_scan", "SELECT vec_id AS id, label FROM embeddings WHERE vec_id BETWEEN 10 AND 40")(lambda spark, sf: points(spark, sf).where(F.col("id").between(10, 40)).orderBy("id").select("id", "label"))
+query("group_consecutive_writes", "SELECT user_id, sum(CASE WHEN event_type = before THEN 1 ELSE 0 END)::BIGINT AS repeats FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) GROUP BY 1")(
+    lambda spark, sf: table(spark, sf, "events").withColumn("before", F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))).groupBy("user_id").agg(F.sum(F.when(F.col("event_type") == F.col("before"), 1).otherwise(0)).alias("repeats")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sagitta.functions import records, text
 from sagitta.operators import cache, graph, history, replication
-from sagitta.sources import backup, binary, connectors, formats
+from sagitta.sources import backup, binary, checkpoints, connectors, formats
 from sagitta.streaming import changes
 
 INTENTS = {
@@ -210,3 +210,13 @@ def test_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src long, dst long")
     assert graph.on_cycles(edges).count() == 0
     assert graph.on_cycles(edges.union(spark.createDataFrame([(3, 1)], edges.schema))).count() == 3
+
+
+def test_checkpoints(spark, tmp_path):
+    c = checkpoints.Checkpoints(spark, str(tmp_path / "c"))
+    assert c.load("a") is None and c.list() == []
+    c.save("a", 10, 10, source="x")
+    c.save("a", 20, 19, 1)
+    c.save("b", 5, 5)
+    assert c.load("a")["offset"] == 20 and c.statistics() == {"jobs": 2, "processed": 24, "failed": 1}
+    assert c.remove_older(3600) == 0 and c.remove("a") and [x["job"] for x in c.list()] == ["b"]
