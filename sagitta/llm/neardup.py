@@ -32,7 +32,9 @@ WORDS = 5
 LEAST = 75
 BANDS, ROWS = 40, 5
 SKETCH_BITS = 512
+#: Rounds of leaders at most; they end when a later one finds fewer links than this share of the nodes still open.
 ROUNDS = 3
+FEW = 0.1
 #: Up to so many ids, a set of ids is sent to all executors; beyond, the join is a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -119,27 +121,33 @@ def shingled(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(work, "node long, members array<long>")
 
 
+def sent(rows: DataFrame, n: int) -> DataFrame:
+    """rows, marked to be sent to all executors if they are n at most BROADCAST_ROWS; else a join with them is a shuffle."""
+    return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (u, v): root is its component's smallest node.
 
     Large and small stars in turn: every pass is joins and aggregations, and a node of many edges is no group of its own.
     """
-    def stars(pairs: DataFrame, large: bool) -> DataFrame:
+    def stars(pairs: DataFrame, n: int, large: bool) -> DataFrame:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else pairs
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        far = both.join(least, "u").where(F.col("v") > F.col("u") if large else F.col("v") != F.col("m"))
+        far = both.join(sent(least, 2 * n), "u").where(F.col("v") > F.col("u") if large else F.col("v") != F.col("m"))
         far = far.select(F.col("v").alias("u"), F.col("m").alias("v"))
         if not large:
             far = far.union(least.select("u", F.col("m").alias("v")))
-        return far.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        return far.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
-    now, before = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), None
+    now, before = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), None
+    n = now.count()
     while True:
-        now = cut(stars(stars(now, True), False), "stars")
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
+        now = cut(stars(stars(now, n, True), n, False).distinct(), "stars")
+        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = mark
+        before, n = mark, mark[0]
 
 
 def _near(a: str, b: str, least: int) -> Column:
@@ -150,18 +158,14 @@ def _near(a: str, b: str, least: int) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * least) & (differ <= screen_bits(least))
 
 
-def _named(nodes: DataFrame, prefix: str) -> DataFrame:
-    return nodes.select(*(F.col(c).alias(prefix + c) for c in ("node", "n", "sketch")))
-
-
 def full_sets(wanted: DataFrame, docs: DataFrame, origin: DataFrame) -> DataFrame:
     """node and its whole set (members) for the wanted nodes. origin has a row (node, doc_id) for each node."""
-    needed = cut(wanted.select("node").distinct().join(origin, "node"), "needed")
-    ids = needed.select("doc_id").distinct()
-    few = needed.count() <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    members = shingled(texts).dropDuplicates(["node"])
-    return cut(members.join(F.broadcast(needed.select("node")) if few else needed.select("node"), "node", "left_semi"), "members")
+    nodes = cut(wanted.select("node").distinct(), "wanted")
+    n = nodes.count()
+    needed = cut(origin.join(sent(nodes, n), "node"), "needed")
+    texts = docs.join(sent(needed.select("doc_id"), n), "doc_id", "left_semi")
+    members = cut(shingled(texts).join(sent(nodes, n), "node", "left_semi"), "members")
+    return members if members.count() == n else cut(members.dropDuplicates(["node"]), "members")
 
 
 def _linked(a: str, b: str, least: int) -> Column:
@@ -184,7 +188,8 @@ def across(live: DataFrame, nodes: DataFrame, docs: DataFrame, origin: DataFrame
     The join's own condition confirms a pair, so a pair is a row only if it is a link: sketches first, then whether this is
     the first band that both share, then the whole sets.
     """
-    known = live.join(nodes.select("node", "n", "sketch", "bands"), "node").join(full_sets(live, docs, origin), "node")
+    whole = full_sets(live, docs, origin).join(nodes.select("node", "bands"), "node")
+    known = live.join(whole, "node")
     u, v = (known.select("bucket", *(F.col(c).alias(p + c) for c in ("node", "part", "band", "n", "sketch", "bands", "members"))) for p in ("u_", "v_"))
     first = F.array_position(F.zip_with("u_bands", "v_bands", lambda x, y: x == y), True) == F.col("u_band") + 1
     cheap = (F.col("u_node") < F.col("v_node")) & (F.col("u_part") != F.col("v_part")) & _near("u_", "v_", least)
@@ -199,30 +204,33 @@ def classes(docs: DataFrame, least: int = LEAST, rounds: int = ROUNDS) -> DataFr
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = cut(nodes, "nodes")
     origin = nodes.select("node", "doc_id")
-    entries = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", "band", F.xxhash64("band", "value").alias("bucket"))
+    entries = nodes.select("node", "n", "sketch", F.posexplode("bands").alias("band", "value")).select("node", "n", "sketch", "band", F.xxhash64("band", "value").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     live = cut(entries.join(shared.select("bucket"), "bucket"), "entries").withColumn("part", F.col("node"))
-    roots, links = None, None
+    roots, links, found, last = None, None, None, False
     for turn in range(rounds + 1):
-        lead = F.col("node") if not turn else F.xxhash64(F.lit(turn), F.col("node"))
-        if turn < rounds:
-            leaders = live.groupBy("bucket").agg(F.min(F.struct(lead.alias("rank"), "node", "part")).alias("lead"))
-            pairs = live.join(leaders, "bucket").where("part != lead.part").select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v")).distinct()
-            pairs = pairs.join(_named(nodes, "u_"), F.col("u") == F.col("u_node")).join(_named(nodes, "v_"), F.col("v") == F.col("v_node")).where(_near("u_", "v_", least))
-            found = confirmed(pairs.select("u", "v"), docs, origin, least)
-        else:
+        last = last or turn == rounds
+        if last:
             found = cut(across(live, nodes, docs, origin, least), "links")
+        else:
+            rank = F.col("node") if not turn else F.xxhash64(F.lit(turn), F.col("node"))
+            leaders = live.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "node", "part", "n", "sketch")).alias("lead"))
+            leaders = leaders.select("bucket", *(F.col(f"lead.{c}").alias(f"l_{c}") for c in ("node", "part", "n", "sketch")))
+            pairs = live.join(leaders, (live["bucket"] == leaders["bucket"]) & (F.col("part") != F.col("l_part")) & _near("", "l_", least))
+            found = confirmed(pairs.select(F.least("node", "l_node").alias("u"), F.greatest("node", "l_node").alias("v")).distinct(), docs, origin, least)
         links = found if links is None else roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found)
         roots = components(links)
-        if turn == rounds:
+        if last:
             break
-        live = live.drop("part").join(roots, "node", "left").select("node", "band", "bucket", F.coalesce("root", "node").alias("part"))
-        live = cut(live, "parts")
+        live = cut(live.drop("part").join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"), "parts")
         # two members: their one pair is settled
         open_ = live.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count(F.lit(1)).alias("size")).where("a != b and size > 2")
         live = cut(live.join(open_.select("bucket"), "bucket"), "live")
-        if live.isEmpty():
+        left = live.agg(F.count_distinct("node")).first()[0]
+        if not left:
             break
+        # leaders that find few links more have done their part
+        last = turn > 0 and found.count() < FEW * left
     named = origin.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least_id = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     labels = named.join(least_id, "root").select("node", "component_id")
