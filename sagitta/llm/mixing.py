@@ -15,6 +15,8 @@ all every target is 0 and nothing is taken. Extra columns are left alone.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +25,8 @@ from sagitta.llm.common import WORD_PATTERN, cut, read
 WEIGHTS = (1, 2, 3)
 MOST = 3
 SEED = "mix-1"
-#: Rows that a lot of one size class holds, about.
-LOT_ROWS = 200_000
+#: A class has as many lots as the square root of the number of rows over this: lots and the rows of a lot grow alike.
+LOT_SHARE = 8
 #: Up to so many documents, their numbers of copies are sent to all executors; beyond, the join is a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -74,7 +76,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     key = F.when(F.col(source).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source)))
     sized = cut(docs.select(F.col(doc_id).alias("doc_id"), key.alias("source_key"), word_count(F.col(text)).alias("size")), "mix-sizes")
     total = sized.count()
-    lots = max(1, -(-total // LOT_ROWS))
+    lots = max(1, math.isqrt(total) // LOT_SHARE)
     placed = sized.withColumn("band", size_class(F.col("size"))).withColumn("order", hashed(F.lit(seed), F.col("doc_id")))
     placed = placed.withColumn("lot", F.floor(F.col("order") * lots / 2**32).cast("long"))
     counted = placed.groupBy("source_key", "band", "lot").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("size"))
@@ -104,7 +106,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def sql(weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, lot_rows: int = LOT_ROWS) -> str:
+def sql(weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> str:
     """The same mix for DuckDB, with plain windows over each source."""
     choose = " ".join(f"WHEN {k} THEN {w}" for k, w in enumerate(weights))
     return f"""
