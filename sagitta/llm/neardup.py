@@ -204,9 +204,11 @@ def classes(docs: DataFrame, least: int = LEAST, rounds: int = ROUNDS) -> DataFr
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = cut(nodes, "nodes")
     origin = nodes.select("node", "doc_id")
-    entries = nodes.select("node", "n", "sketch", F.posexplode("bands").alias("band", "value")).select("node", "n", "sketch", "band", F.xxhash64("band", "value").alias("bucket"))
+    entries = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", "band", F.xxhash64("band", "value").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    live = cut(entries.join(shared.select("bucket"), "bucket"), "entries").withColumn("part", F.col("node"))
+    # only what shares a bucket with others carries its sketch
+    live = entries.join(shared.select("bucket"), "bucket").join(nodes.select("node", "n", "sketch"), "node")
+    live = cut(live, "entries").withColumn("part", F.col("node"))
     roots, links, found, last = None, None, None, False
     for turn in range(rounds + 1):
         last = last or turn == rounds
