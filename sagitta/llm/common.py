@@ -1,6 +1,6 @@
 """What the text operators share: reading tables, cutting lineage and splitting UTF-8 buffers into words.
 
-The numpy half works on raw UTF-8 buffers, a block of about a megabyte at a time, so a worker's memory is bounded
+The numpy half works on raw UTF-8 buffers, a block of about a quarter of a megabyte at a time, so a worker's memory is bounded
 by its largest single text, not by the batch that Arrow happens to send.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: The bytes that separate words: space and tab to carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 GAP_PATTERN = r"[\x20\x09-\x0D]+"
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 IS_WORD = np.ones(256, bool)
@@ -28,7 +28,7 @@ LOWER[65:91] += 32
 
 
 #: Bytes of rows that Arrow sends to a Python worker at a time, about; one row may have more.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -37,6 +37,8 @@ FEATURES = 2 * CONTEXT + PAIRS
 HEAD = 1 << 20
 END = np.uint64(1)
 BATCH = 4096
+#: Bytes of texts whose tokens are batched together.
+BLOCK = 1 << 20
 RATE = 0.1
 FAN = 32
 PIECE = 512
@@ -231,7 +233,7 @@ def train(docs: DataFrame, known: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
                 continue
             part = batch.column(1)[0].as_py()
             data, offs = utf8(batch.column(0))
-            for _, _, p, a in blocks(data, offs):
+            for _, _, p, a in blocks(data, offs, BLOCK):
                 h, ending, at = tokens(p, a)
                 _, rank = v.look_up(h)
                 f, y = features(rank, ending, at), classes(rank, ending)
@@ -283,7 +285,7 @@ def score(docs: DataFrame, counted: DataFrame, known: Vocabulary, weights: np.nd
         inside, space = np.log10(v.places), Space()
         for batch in batches:
             data, offs = utf8(batch.column(2))
-            for lo, hi, p, a in blocks(data, offs):
+            for lo, hi, p, a in blocks(data, offs, BLOCK):
                 h, ending, at = tokens(p, a)
                 n, rank = v.look_up(h)
                 y, f, first = classes(rank, ending), features(rank, ending, at), at[:-1]
