@@ -1,8 +1,9 @@
 """Toxicity by maximum-scoring segments.
 
 Tokens are letter runs. From labelled documents each token gets a log-odds ratio between toxic and clean documents
-under an informative Dirichlet prior (the tokens' shares over both kinds); tokens whose ratio stands out from its
-standard error keep it, all others are pooled and share the pool's own, slightly negative, ratio. A linear-time scan
+under an informative Dirichlet prior (the tokens' shares over both kinds); tokens whose counts stand out by the signed
+root of their log-likelihood ratio keep it (a standard error would punish tokens that no clean document has), all others
+are pooled and share the pool's own, slightly negative, ratio. A linear-time scan
 over a text's scores finds every maximal scoring segment: the toxic passages. As scores are log ratios of
 probabilities, the segments' scores in clean text follow an extreme-value law with rate 1, whose constant is estimated
 from clean documents; it turns a passage's score and the text's length into an expected number of such passages by
@@ -29,8 +30,8 @@ from sagitta.llm.common import LOWER, blocks, bounded_sample, fold, read, utf8,
 #: Labelled rows of each kind that training sees, at most about.
 SAMPLE_ROWS = 10_000
 LEXICON = 4096
-LEAST_Z = 5.0
-LEAST_DOCUMENTS = 5
+LEAST_Z = 3.0
+LEAST_DOCUMENTS = 3
 LEAST_ODDS = 1.0
 #: The prior's weight as a share of all token counts.
 PRIOR_SHARE = 0.02
@@ -146,7 +147,10 @@ def lexicon(counts: DataFrame, size: int = LEXICON, least_z: float = LEAST_Z) ->
     prior, whole = (F.col("toxic") + F.col("clean")) * PRIOR_SHARE, (n1 + n0) * PRIOR_SHARE
     odds = lambda y, n: F.log((y + prior) / (n + whole - y - prior))
     scored = counts.withColumn("odds", odds(F.col("toxic"), n1) - odds(F.col("clean"), n0))
-    scored = scored.withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)))
+    # how far the counts are from those of a token that both kinds have alike
+    excess = lambda y, n: F.when(y > 0, y * F.log(y * (n1 + n0) / ((F.col("toxic") + F.col("clean")) * n))).otherwise(0.0)
+    surprise = F.greatest(2 * (excess(F.col("toxic"), n1) + excess(F.col("clean"), n0)), F.lit(0.0))
+    scored = scored.withColumn("z", F.signum("odds") * F.sqrt(surprise))
     top = scored.where((F.col("toxic") >= LEAST_DOCUMENTS) & (F.col("z") >= least_z) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("z"), "token").limit(size).collect()
     top.sort(key=lambda r: r.token % 2**64)
     in1, in0 = sum(r.toxic for r in top), sum(r.clean for r in top)

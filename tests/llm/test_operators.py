@@ -135,6 +135,23 @@ def test_toxicity_on_held_out_rows(spark):
     assert got.score.between(0, 1).all()
 
 
+def test_toxicity_finds_toxic_rows_of_every_language(spark):
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.query(spark, sf).toPandas().merge(table("labels", sf), on="doc_id").merge(table("documents", sf)[["doc_id", "lang"]], on="doc_id")
+    held = got[got.held_out]
+    toxic = held[held.toxic == 1]
+    assert set(toxic.lang) == {"de", "en", "es", "fr"}
+    assert (toxic.groupby("lang").predicted.mean() >= 0.85).all()
+    assert ((held.predicted == 1) & (held.toxic == 0)).mean() < 0.005
+
+
+def test_rare_tokens_without_clean_rows_are_told(spark):
+    # 12 of 352 toxic documents and no clean one have token 1; token 2 is as common in both kinds
+    rows = [(1, 12, 0), (2, 20, 160), (3, 320, 2640)]
+    tokens, weights, _ = toxicity.lexicon(spark.createDataFrame(rows, "token long, toxic long, clean long"))
+    assert tokens.tolist() == [1] and weights[0] > 1
+
+
 def test_toxic_passages_are_spans(spark):
     token = common.word_hashes(np.frombuffer(b"vile", np.uint8), np.array([0]), np.array([4]))
     model = toxicity.Model(token, np.array([5.0]), -0.01, 1e-4, 2.0, -3.0)
