@@ -2,7 +2,8 @@
 
 What is found: e-mail addresses, telephone numbers, payment card numbers (13 to 19 digits with a right check digit),
 US social security numbers and IBANs (validated), IPv4 addresses (numbers up to 255), dates that exist (day, month and
-year in the usual orders) and secrets (long hexadecimal or mixed keys after a name such as token, key, password).
+year in the usual orders) and secrets (long hexadecimal or mixed keys after a name such as token, client_secret, API_KEY).
+Telephone numbers after a plus sign may be in groups of any size; one with a single dot is taken for a decimal number.
 Numbers and dates are permuted by a keyed Feistel network within their format: a card becomes another card of as many
 digits and the same separators with a right check digit, a date another date that exists, written alike. Equal
 values therefore stay equal in all documents, different ones stay different. The names in addresses and secrets get a
@@ -14,6 +15,7 @@ repeated rows and very long texts need no special care; all other columns, whate
 
 from __future__ import annotations
 
+import calendar
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,17 +29,17 @@ ROUNDS = 6
 #: One pattern for each kind, in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![\w.+-])[\w+-](?:[\w.+-]{0,62}[\w+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![\w-])",
-    "secret": r"(?i:(?<=\b(?:token|secret|password|passwd|apikey|api_key|api-key|access_key|key)\s{0,3}[=:]\s{0,3}[\"']?))[A-Za-z0-9+/_=-]{16,512}",
+    "secret": r"(?i:(?<=(?<![\p{L}\p{N}])(?:token|secret|password|passwd|apikey|api_key|api-key|access_key|key)\s{0,3}[=:]\s{0,3}[\"']?))[A-Za-z0-9+/_=-]{16,512}",
     "iban": r"(?<!\w)[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w)",
-    "date": r"(?<![\w.-])(?:(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]|(?:19|20)[0-9]{2}/[01][0-9]/[0-3][0-9]|[0-3][0-9][./-][01][0-9][./-](?:19|20)[0-9]{2})(?![\w-]|[.][0-9])",
+    "date": r"(?<![\w.-])(?:(?:19|20)[0-9]{2}-[0-9]{1,2}-[0-9]{1,2}|(?:19|20)[0-9]{2}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2})(?![\w-]|[.][0-9])",
     "ip": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-    "phone": r"(?<![\w.+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![\w-]|\.[0-9])|(?<![\w.+-])\+[0-9]{8,15}(?![\w-]|\.[0-9])",
+    "phone": r"(?<![\w.+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![\w-]|\.[0-9])|(?<![\w.+-])\+(?![0-9]+\.[0-9]+(?![ .-]?[0-9]))[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]){6,12}(?![\w-]|\.[0-9])",
     "card": r"(?<![\w.-])[0-9]{4}(?:[ -]?[0-9]){9,15}(?![\w-]|\.[0-9])",
 }
 ANY = "|".join(PATTERNS.values())
 #: No match without one of these.
-HINT = r"@|[0-9]{4}|[0-9]\.[0-9]|(?i:token|secret|passw|key)"
+HINT = r"@|[0-9]{4}|[0-9]\.[0-9]|\+[0-9]|(?i:token|secret|passw|key)"
 KINDS = list(PATTERNS)
 
 
@@ -115,23 +117,60 @@ def new_ip(text: Column) -> Column:
     return let(out, lambda x: F.concat_ws(".", *(F.pmod(F.shiftright(x, k), F.lit(256)).cast("string") for k in (24, 16, 8, 0))))
 
 
+def padded_digits(text: Column) -> Column:
+    """The digits of a date, its day and month in two each."""
+    return F.concat_ws("", F.transform(F.split(text, "[./-]"), lambda p: F.lpad(p, F.greatest(F.length(p), F.lit(2)), "0")))
+
+
+def is_month_first(text: Column) -> Column:
+    """Whether only reading the month first gives a date: then the second number is above 12."""
+    return ~text.rlike("^[0-9]{4}") & (F.substring(padded_digits(text), 3, 2) > "12")
+
+
 def date_of(text: Column) -> Column:
     """The date, null if there is none such: year first as it stands; else day first, or month first if only that exists."""
-    d = digits_of(text)
-    first = F.try_to_timestamp(d, F.lit("yyyyMMdd"))
-    day = F.try_to_timestamp(d, F.lit("ddMMyyyy"))
-    return F.when(text.rlike("^[0-9]{4}"), first).otherwise(day).cast("date")
+    def read_as(d: Column) -> Column:
+        first, day, month = (F.try_to_timestamp(d, F.lit(f)) for f in ("yyyyMMdd", "ddMMyyyy", "MMddyyyy"))
+        return F.when(text.rlike("^[0-9]{4}"), first).otherwise(F.coalesce(day, F.when(is_month_first(text), month))).cast("date")
+
+    return let(padded_digits(text), read_as)
 
 
 #: Dates are permuted among the days from 1900 to 2099.
 FIRST_DAY, DAYS_LEFT, DAYS_RIGHT = "1900-01-01", 49, 1490
+#: Month and day of all days above the 12th but 29 February.
+LATE_DAYS = [f"{m:02}{d:02}" for m in range(1, 13) for d in range(13, calendar.monthrange(1901, m)[1] + 1)]
+
+
+def month_first_date(d: Column) -> Column:
+    """MMddyyyy with a day above 12, permuted among such dates, as no date with the day first is written like one of them.
+
+    29 February is permuted among the 49 leap years of the two centuries.
+    """
+    year, long = F.substring(d, 5, 4).cast("long") - 1900, lambda n: F.lit(n).cast("long")
+    late = F.array(*(F.lit(x) for x in LATE_DAYS))
+    leap = let(feistel(F.floor(year / 4).cast("long") - 1, long(7), long(7), F.lit("leap")), lambda x: F.concat(F.lit("0229"), (1904 + 4 * x).cast("string")))
+    value = year * len(LATE_DAYS) + F.array_position(late, F.substring(d, 1, 4)) - 1
+    other = let(feistel(value, long(200), long(len(LATE_DAYS)), F.lit("late")), lambda x: F.concat(F.element_at(late, (F.pmod(x, long(len(LATE_DAYS))) + 1).cast("int")), (1900 + F.floor(x / len(LATE_DAYS))).cast("string")))
+    return F.when(F.substring(d, 1, 4) == "0229", leap).otherwise(other)
 
 
 def new_date(text: Column) -> Column:
-    """Another date from 1 January 1900 on, among 73,010 days, written alike."""
+    """Another date from 1 January 1900 on, among 73,010 days, written alike: without leading zeros if one is missing."""
     number = F.datediff(date_of(text), F.lit(FIRST_DAY).cast("date")).cast("long")
     out = F.date_add(F.lit(FIRST_DAY).cast("date"), feistel(number, F.lit(DAYS_LEFT).cast("long"), F.lit(DAYS_RIGHT).cast("long"), F.lit("date")).cast("int"))
-    return in_format(text, F.when(text.rlike("^[0-9]{4}"), F.date_format(out, "yyyyMMdd")).otherwise(F.date_format(out, "ddMMyyyy")))
+    digits = F.when(text.rlike("^[0-9]{4}"), F.date_format(out, "yyyyMMdd")).when(is_month_first(text), month_first_date(padded_digits(text))).otherwise(F.date_format(out, "ddMMyyyy"))
+
+    def written(d: Column) -> Column:
+        sizes = F.when(text.rlike("^[0-9]{4}"), F.array(F.lit(4), F.lit(2), F.lit(2))).otherwise(F.array(F.lit(2), F.lit(2), F.lit(4)))
+        starts = F.when(text.rlike("^[0-9]{4}"), F.array(F.lit(1), F.lit(5), F.lit(7))).otherwise(F.array(F.lit(1), F.lit(3), F.lit(5)))
+        parts = F.zip_with(starts, sizes, lambda a, n: F.substr(d, a, n))
+        short = text.rlike("(?<![0-9])[0-9](?![0-9])")
+        marks = F.regexp_extract_all(text, F.lit("([./-])"), F.lit(1))
+        shown = F.transform(parts, lambda p: F.when(short, F.regexp_replace(p, "^0", "")).otherwise(p))
+        return F.concat_ws("", F.zip_with(shown, marks, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))))
+
+    return let(digits, written)
 
 
 def is_ssn(text: Column) -> Column:
@@ -209,7 +248,7 @@ def kind_of(match: Column) -> Column:
     """The kind of a match of ANY, null if its value fails its validation. The shape alone tells the kinds apart."""
     tests = {
         "email": match.contains("@"),
-        "date": match.rlike("^(?:[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}|[0-9]{2}[./-][0-9]{2}[./-][0-9]{4})$"),
+        "date": match.rlike("^(?:[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4})$"),
         "ip": match.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"),
         "ssn": match.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"),
         "iban": match.rlike("^[A-Z]{2}[0-9]{2}") & match.rlike(r"^[A-Z0-9 ]*$") & is_iban(match),

@@ -284,6 +284,38 @@ def test_pseudonyms_leave_clean_documents(spark):
     assert mails and not any(m in t for t in got.text for m in mails)
 
 
+def test_formats_of_dates_phones_and_secrets(spark):
+    import datetime
+
+    hidden = {
+        "date": ["12/25/2024", "12/15/2024", "3/4/2020", "2/29/2024", "2020-3-4", "25.12.2024", "9.10.2020"],
+        "phone": ["+44 20 7946 0958", "+49 30 1234567", "+33 1 23 45 67 89", "+33.1.23.45.67.89", "+44 (20) 7946 0958"],
+        "secret": ["access_token=abcdefgh12345678", "client_secret=abcdefgh12345678", "API_TOKEN: abcdefgh12345678", "my-key = abcdefgh12345678"],
+    }
+    kept = ["13/25/2024", "2/30/2023", "+3.14159265", "+1 2 3", "monkey=abcdefgh12345678", "1/2/3/2020x"]
+    rows = [(kind, x) for kind, all_ in hidden.items() for x in all_] + [(None, x) for x in kept]
+    got = {r.was: r for r in pii.pseudonymised(spark.createDataFrame([(k, x, f"on {x}, so") for k, x in rows], "kind string, was string, text string"), found="kinds").collect()}
+    for kind, x in rows:
+        assert got[x].kinds == ([kind] if kind else []), x
+        assert (got[x].text == f"on {x}, so") == (kind is None), x
+    for x in hidden["phone"]:
+        assert re.sub("[0-9]", "0", got[x].text) == re.sub("[0-9]", "0", f"on {x}, so") and got[x].text.startswith(f"on {x[:3]}")
+    for x in ("12/25/2024", "12/15/2024", "2/29/2024"):
+        m, d, y = map(int, got[x].text[3:-4].split("/"))
+        assert d > 12 and datetime.date(y, m, d)
+    assert re.fullmatch("on [1-9][0-9]?/[1-9][0-9]?/[0-9]{4}, so", got["3/4/2020"].text)
+    assert all(got[x].text.startswith(f"on {x[: -len('abcdefgh12345678')]}") for x in hidden["secret"])
+
+
+def test_dates_with_month_first_are_permuted(spark):
+    import datetime
+
+    days = [datetime.date(1900, 1, 1) + datetime.timedelta(k) for k in range(73_049)]
+    late = [f"{d:%m%d%Y}" for d in days if d.day > 12]
+    got = [r[0] for r in spark.createDataFrame([(d,) for d in late], "d string").select(pii.month_first_date(F.col("d"))).collect()]
+    assert sorted(got) == sorted(late)
+
+
 # 6
 
 
