@@ -163,7 +163,9 @@ def full_sets(wanted: DataFrame, docs: DataFrame, origin: DataFrame) -> DataFram
     nodes = cut(wanted.select("node").distinct(), "wanted")
     n = nodes.count()
     needed = cut(origin.join(sent(nodes, n), "node"), "needed")
-    texts = docs.join(sent(needed.select("doc_id"), n), "doc_id", "left_semi")
+    # a node whose rows all have a null id is fetched by it too
+    ids = needed.select(F.col("doc_id").alias("_id")).distinct()
+    texts = docs.join(sent(ids, n), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     members = cut(shingled(texts).join(sent(nodes, n), "node", "left_semi"), "members")
     return members if members.count() == n else cut(members.dropDuplicates(["node"]), "members")
 

@@ -466,6 +466,15 @@ def test_near_duplicates_against_brute_force(spark, tmp_path):
     assert got == plain_classes(texts)
 
 
+def test_rows_without_id_link_and_bridge(spark):
+    words = [f"w{i}" for i in range(100)]
+    ends = [" ".join(words), " ".join(words[8:] + [f"x{i}" for i in range(8)]), " ".join(words[16:] + [f"x{i}" for i in range(16)])]
+    other = " ".join(f"z{i}" for i in range(60))
+    rows = [(1, ends[0]), (None, ends[1]), (2, ends[2]), (3, other), (None, other + " end")]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 96): 1, (None, 96): 1, (2, 96): 1, (3, 56): 3, (None, 57): 3}
+
+
 def test_buckets_of_several_parts_are_compared_across(spark, tmp_path):
     """Without any round of leaders all links come from the comparison across parts."""
     texts = {r.doc_id: r.text for r in table("documents", "/root/testdata/sf0.001").itertuples()}
