@@ -84,13 +84,13 @@ def page_rank(edges: DataFrame, damping: float = 0.85, turns: int = 10) -> DataF
     return ranks
 
 
-def on_cycles(edges: DataFrame, most: int = 50) -> DataFrame:
+def on_cycles(edges: DataFrame) -> DataFrame:
     """The edges that are left when edges from or to nodes without others behind or before them are taken away in turn.
 
-    None are left exactly if the graph has no cycle (within so many turns).
+    None are left exactly if the graph has no cycle. The turns end when one takes nothing away.
     """
     left = cut(edges.select("src", "dst").distinct())
-    for _ in range(most):
+    while True:
         n = left.count()
         left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         if left.count() in (0, n):

@@ -212,6 +212,11 @@ def test_cycles(spark):
     assert graph.on_cycles(edges.union(spark.createDataFrame([(3, 1)], edges.schema))).count() == 3
 
 
+def test_long_chains_are_no_cycles(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(104)], "src long, dst long")
+    assert graph.on_cycles(chain).count() == 0
+
+
 def test_checkpoints(spark, tmp_path):
     c = checkpoints.Checkpoints(spark, str(tmp_path / "c"))
     assert c.load("a") is None and c.list() == []
