@@ -64,6 +64,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of a step's own, which no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, mod n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
