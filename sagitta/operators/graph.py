@@ -2,26 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sagitta.sources import files
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder that all executors share and read again; it goes when the session ends."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        top = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-        spark.sparkContext.setCheckpointDir(top)
-    path = f"{top}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    fs, at = files._at(spark, path)
-    fs.deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+from sagitta.sources.files import cut, done
 
 
 def relations(edges: DataFrame, entity) -> DataFrame:
@@ -43,7 +27,8 @@ def shortest_path(edges: DataFrame, start, goal, most: int = 5) -> list | None:
         frontier = seen.where(F.col("depth") == depth - 1).select(F.col("node").alias("src"))
         new = both.join(frontier, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
         new = new.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
-        seen = cut(seen.unionByName(new))
+        seen, old = cut(seen.unionByName(new), "seen"), seen
+        done(old)
         if not seen.where(F.col("node") == goal).isEmpty():
             path = [goal]
             while path[-1] != start:
@@ -62,7 +47,8 @@ def distances(edges: DataFrame, start, most: int = 5) -> DataFrame:
     for depth in range(1, most + 1):
         frontier = seen.where(F.col("depth") == depth - 1).select(F.col("node").alias("src"))
         new = both.join(frontier, "src").select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        seen = cut(seen.unionByName(new.withColumn("depth", F.lit(depth))))
+        seen, old = cut(seen.unionByName(new.withColumn("depth", F.lit(depth))), "seen"), seen
+        done(old)
         if seen.where(F.col("depth") == depth).isEmpty():
             break
     return seen
@@ -72,15 +58,15 @@ def page_rank(edges: DataFrame, damping: float = 0.85, turns: int = 10) -> DataF
     """node and rank. Every node begins with 1 / n; parallel edges count each; what ends in a node without edges is lost."""
     arcs = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times"))
     arcs = arcs.withColumn("share", F.col("times") / F.sum("times").over(Window.partitionBy("src"))).select("src", "dst", "share")
-    arcs = cut(arcs)
-    nodes = cut(arcs.select(F.col("src").alias("node")).union(arcs.select("dst")).distinct())
+    arcs = cut(arcs, "arcs")
+    nodes = cut(arcs.select(F.col("src").alias("node")).union(arcs.select("dst")).distinct(), "nodes")
     n = nodes.count()
     ranks = nodes.withColumn("rank", F.lit(1.0 / n) if n else F.lit(0.0))
     for turn in range(turns):
         given = arcs.join(ranks.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         ranks = nodes.join(given, "node", "left").select("node", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         if turn % 3 == 2:
-            ranks = cut(ranks)
+            ranks = cut(ranks, "ranks")
     return ranks
 
 
@@ -89,10 +75,13 @@ def on_cycles(edges: DataFrame) -> DataFrame:
 
     None are left exactly if the graph has no cycle. The turns end when one takes nothing away.
     """
-    left = cut(edges.select("src", "dst").distinct())
-    while True:
-        n = left.count()
-        left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        if left.count() in (0, n):
+    left = cut(edges.select("src", "dst").distinct(), "edges")
+    n = left.count()
+    while n:
+        inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        left, old = cut(inner.select("src", "dst"), "edges"), left
+        done(old)
+        n, before = left.count(), n
+        if n == before:
             break
     return left

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -14,6 +13,7 @@ from sagitta.functions import vectors as V
 from sagitta.operators import collections, filters, graph, history, index, quantize, replication, search
 from sagitta.plans import dialects
 from sagitta.sources import formats
+from sagitta.sources.files import temporary
 from sagitta.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,18 +51,6 @@ def query_vector(spark: SparkSession, sf: str, vec_id: int = 0) -> list[float]:
     return [float(x) for x in table(spark, sf, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0]]
 
 
-def temporary(spark: SparkSession, name: str) -> str:
-    return f"{graph_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def graph_dir(spark: SparkSession) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        top = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-        spark.sparkContext.setCheckpointDir(top)
-    return top
-
-
 # nearest neighbours
 
 D = "e.embedding::DOUBLE[]"

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _at(spark: SparkSession, path: str):
@@ -45,3 +49,42 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     fs.delete(p, False)
     if not fs.rename(beside, p):
         raise OSError(f"cannot write {path}")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where the session names none it is set here: on one machine to a temporary folder, on a cluster to one in the warehouse.
+    """
+    kept = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not kept:
+        if re.match(r"local(\[|$)", spark.sparkContext.master):
+            kept = tempfile.mkdtemp(prefix="sagitta-")
+        else:
+            kept = f"{spark.conf.get('spark.sql.warehouse.dir')}/_temporary-{uuid.uuid4().hex}"
+        spark.sparkContext.setCheckpointDir(kept)
+    return kept
+
+
+def temporary(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other has; what is there goes when the session ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, at = _at(spark, path)
+    fs.deleteOnExit(at)
+    return path
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet in the shared folder and read again: its lineage ends there."""
+    path = temporary(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def done(*frames: DataFrame | None) -> None:
+    """Deletes the files of frames that cut has written, once nothing will read them."""
+    for df in frames:
+        if path := getattr(df, "kept_at", None):
+            delete(df.sparkSession, path)
