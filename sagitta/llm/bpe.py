@@ -2,11 +2,11 @@
 
 Every byte is mapped to one printable character, so each vocabulary entry becomes a sentencepiece piece; its score is
 minus its rank, so that sentencepiece's best-scoring merge is the lowest-ranked one. Normalisation is the identity and
-no prefix is added. The model is applied to each match of the split pattern separately; decoding maps ids back to
-bytes. A match that is itself an entry is that entry, whether or not merges lead to it.
+no prefix is added. The model is applied to each match of the split pattern separately; decoding maps ids to the model's
+pieces and these, by the inverse of the map, back to bytes. A match that is itself an entry is that entry, whether or not merges lead to it.
 
 Nulls are empty texts: no tokens and the hashes of empty strings. Rows are independent: repeated rows give repeated
-results, an empty table an empty one, and columns besides id and text are ignored (or kept by ``encode``).
+results, an empty table an empty one; texts are read whole, one at a time, whatever their length; columns besides id and text are ignored (or kept by ``encode``).
 """
 
 from __future__ import annotations
@@ -93,7 +93,9 @@ class Codec:
         self.whole = {word: [rank] for rank, word in enumerate(self.entries)}
         self.split = regex.compile(pattern).findall
         self.shown = {b: ord(c) for b, c in enumerate(byte_characters())}
+        self.bytes = {c: chr(b) for b, c in self.shown.items()}
         self.kept: dict[str, list[int]] = {}
+        self.pieces: dict[int, bytes] = {}
 
     def _match(self, piece: str) -> list[int]:
         raw = piece.encode()
@@ -113,7 +115,13 @@ class Codec:
         return out
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.entries.__getitem__, ids))
+        """The bytes of ids: each one's piece in the model, its characters mapped back to bytes."""
+        out, known = [], self.pieces
+        for i in ids:
+            if (raw := known.get(i)) is None:
+                raw = known[i] = self.model.IdToPiece(i).translate(self.bytes).encode("latin-1")
+            out.append(raw)
+        return b"".join(out)
 
 
 _codecs: dict[tuple[str, str], Codec] = {}

@@ -6,15 +6,17 @@ by its largest single text, not by the batch that Arrow happens to send.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sagitta.sources import files
+from sagitta.sources.files import done  # noqa: F401
+
 #: The bytes that separate words: space and tab to carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 GAP_PATTERN = r"[\x20\x09-\x0D]+"
@@ -39,29 +41,15 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the folder. The session's Arrow batches are bounded from here on, as every operator that needs it reads here."""
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. It is set here only where the session names none."""
-    kept = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not kept:
-        kept = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-        spark.sparkContext.setCheckpointDir(kept)
-    return kept
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read again; the files go when the session ends."""
-    spark = df.sparkSession
-    bound_batches(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    """df written once as Parquet in the shared folder and read again."""
+    bound_batches(df.sparkSession)
+    return files.cut(df, name)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -177,19 +165,35 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, n: int = 5) -> tuple[np
     return out, place
 
 
-def bounded_sample(rows: DataFrame, key: str, n: int, by: str | None = None) -> DataFrame:
-    """At most about n rows of each value of ``by``, chosen by a hash of key: the same rows on every run.
+def bounded_sample(rows: DataFrame, n: int, by: str | None = None, groups: int = 1000, text: str = "text") -> DataFrame:
+    """At most n rows of each value of ``by``, and of at most ``groups`` values, the most frequent: the same rows on every run.
 
-    The counts take one pass over ``by`` alone; at most 1,000 values of it are told apart (the most frequent).
+    Rows are chosen by a hash of id and text. A share that the counts allow is taken first; of what it leaves the n least hashes
+    of each value stay, so repeated ids or rows do not add up. Every partition drops its own surplus before the shuffle.
     """
-    part = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-    if by is None:
-        return rows.where(part < n / max(1, rows.count()))
-    counts = rows.groupBy(by).count().orderBy(F.desc("count"), by).limit(1000).collect()
+    part, rank, group = fresh(rows, "part", "rank", "group")
+    rows = rows.withColumn(part, F.pmod(F.xxhash64(F.lit("sample"), "doc_id", text), F.lit(1 << 30)) / float(1 << 30))
+    rows = rows.withColumn(group, F.col(by) if by else F.lit(0))
+    counts = rows.groupBy(group).count().orderBy(F.desc("count"), group).limit(groups).collect()
     if not counts:
-        return rows
-    shares = F.create_map(*(x for value, count in counts for x in (F.lit(value), F.lit(min(1.0, n / count)))))
-    return rows.where(part < F.coalesce(shares[F.col(by)], F.lit(0.0)))
+        return rows.drop(part, group)
+    # half as many again, as a hash does not hit a share exactly
+    shares = F.create_map(*(x for value, count in counts for x in (F.lit(value), F.lit(min(1.0, (1.5 * n + 50) / count)))))
+    near = rows.where(F.col(part) < F.coalesce(shares[F.col(group)], F.lit(0.0)))
+    least = F.row_number().over(Window.partitionBy(group).orderBy(part, "doc_id"))
+    return near.withColumn(rank, least).where(F.col(rank) <= n).drop(part, rank, group)
+
+
+#: Training sees all of a text of up to as many characters; of a longer one as many windows, spread over it.
+WHOLE_CHARS, WINDOWS, WINDOW_CHARS = 8000, 5, 1600
+
+
+def excerpt(text: Column) -> Column:
+    """A bounded stand-in for a text in a training sample: the text, or windows at even distances from start to end, a line each."""
+    n = F.length(text)
+    step = (n - WINDOW_CHARS) / float(WINDOWS - 1)
+    windows = [F.substr(text, (F.floor(step * k) + 1).cast("int"), F.lit(WINDOW_CHARS)) for k in range(WINDOWS)]
+    return F.when(n <= WHOLE_CHARS, text).otherwise(F.concat_ws("\n", *windows))
 
 
 def has_letter(column: pa.Array) -> np.ndarray:

@@ -6,8 +6,9 @@ and softmax are trained together by stochastic gradient descent in numpy on a bo
 model is linear, scoring sums one row of class scores for each n-gram. Rows set aside from training fix a temperature,
 so that the score is a probability, and a threshold under which a prediction is rejected.
 
-Null texts, and texts without a letter, are ``und`` with score 0. With no labelled rows every text is ``und``. Long
-texts are read whole; repeated rows give repeated results; extra columns are ignored.
+Null texts, and texts without a letter, are ``und`` with score 0. With no labelled rows every text is ``und``; of equally
+probable languages the first by code point is predicted. Long texts are read whole (training sees windows of them); repeated rows give
+repeated results, an empty table an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagitta.llm.common import blocks, bounded_sample, fold, has_letter, read, utf8
+from sagitta.llm.common import blocks, bounded_sample, excerpt, fold, has_letter, read, utf8
 
 BUCKETS = 1 << 16
 WIDTH = 16
 SIZES = (2, 3, 4)
-#: The sample that training sees: rows of each language, and the longest text that may be in it.
+#: The sample that training sees: rows of each language, and languages (the most frequent). Of long texts it sees windows.
 SAMPLE_ROWS = 1500
-SAMPLE_CHARS = 30_000
+LANGUAGES = 1000
 EPOCHS = 6
 REJECT_SHARE = 0.01
 
@@ -150,11 +151,10 @@ def train(texts: list[str], langs: list[str], epochs: int = EPOCHS, seed: int =
     return model
 
 
-def fit(docs: DataFrame, learnable: Column, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Model | None:
-    """A model from at most about sample_rows of each language among the learnable rows."""
-    rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = bounded_sample(rows, "doc_id", sample_rows, "lang").where(F.length("text") <= sample_chars)
-    got = sorted((r.doc_id, r.text, r.lang) for r in rows.select("doc_id", "text", "lang").toLocalIterator())
+def fit(docs: DataFrame, learnable: Column, sample_rows: int = SAMPLE_ROWS, languages: int = LANGUAGES) -> Model | None:
+    """A model from at most sample_rows of each of at most so many languages among the learnable rows."""
+    rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", excerpt(F.col("text")).alias("text"), "lang")
+    got = sorted((r.doc_id, r.text, r.lang) for r in bounded_sample(rows, sample_rows, "lang", languages).toLocalIterator())
     return train([t for _, t, _ in got], [x for _, _, x in got])
 
 

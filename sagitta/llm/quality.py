@@ -8,7 +8,7 @@ shapes and the statistics' levels. The scorer, not the votes, scores the corpus,
 the labellers abstain.
 
 Null and empty texts have no words: the labeller of length calls them bad, all others abstain. With no documents there is
-no scorer and no row. Texts are read whole, repeated rows give repeated results, extra columns are ignored.
+no scorer and no row. Texts are read whole (the scorer's training sees windows of long ones), repeated rows give repeated results, extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagitta.llm.common import LOWER, blocks, bounded_sample, mixed, read, utf8, word_hashes, word_spans
+from sagitta.llm.common import LOWER, blocks, bounded_sample, excerpt, mixed, read, utf8, word_hashes, word_spans
 
 #: Labeller: statistic; (lowest, highest) value for a good vote; the same for a bad one. Between them it abstains.
 LABELLERS = {
@@ -40,9 +40,8 @@ NAMES = list(LABELLERS)
 FEW_WORDS = 10
 BITS = 15
 TABLE = 4 << BITS
-#: Documents in the scorer's training sample at most about, and their longest text.
+#: Documents in the scorer's training sample at most. Of long texts it sees windows; statistics and votes are always the whole text's.
 SAMPLE_ROWS = 6000
-SAMPLE_CHARS = 30_000
 
 SHAPES = np.arange(256, dtype=np.uint8)
 SHAPES[97:123] = SHAPES[128:] = 97
@@ -182,16 +181,16 @@ def rated(weights: np.ndarray, stats: np.ndarray, places: list[np.ndarray], firs
     return weights[-1] + weights[levels(stats)].sum(axis=1) + sum(_added(weights[p], first) / n for p in places)
 
 
-def train(texts: list[str], posts: np.ndarray, epochs: int = 8, seed: int = 3) -> np.ndarray:
-    """The scorer's weights, the last one its bias, by stochastic gradient descent on posterior labels."""
+def train(texts: list[str], stats: np.ndarray, posts: np.ndarray, epochs: int = 8, seed: int = 3) -> np.ndarray:
+    """The scorer's weights, the last one its bias, by stochastic gradient descent on posterior labels. stats: the whole texts'."""
     weights = np.zeros(TABLE + 1)
     examples = []
-    for t, y in zip(texts, posts, strict=True):
+    for t, s, y in zip(texts, stats, posts, strict=True):
         raw = np.frombuffer(t.encode(), np.uint8)
-        stats, places, _ = measured(raw, np.array([0, len(raw)]))
+        _, places, _ = measured(raw, np.array([0, len(raw)]))
         row, n = np.unique(np.concatenate(places), return_counts=True)
-        row = np.concatenate([row, levels(stats)[0], [TABLE]])
-        examples.append((row, np.concatenate([n / max(1, len(places[0])), np.ones(stats.shape[1] + 1)]), y))
+        row = np.concatenate([row, levels(s[None])[0], [TABLE]])
+        examples.append((row, np.concatenate([n / max(1, len(places[0])), np.ones(len(s) + 1)]), y))
     rng, done, total = np.random.default_rng(seed), 0, max(1, epochs * len(examples))
     for _ in range(epochs):
         for k in rng.permutation(len(examples)):
@@ -202,17 +201,30 @@ def train(texts: list[str], posts: np.ndarray, epochs: int = 8, seed: int = 3) -
     return weights
 
 
-def scored(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
+def sampled(docs: DataFrame, rows: int) -> tuple[list[str], np.ndarray]:
+    """Excerpts and whole texts' statistics of at most so many documents, in an order of their own."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = utf8(batch.column(1))
+            found = [measured(p, at)[0] for _, _, p, at in blocks(data, offs)]
+            stats = np.concatenate(found) if found else np.zeros((0, len(NAMES)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(stats), pa.list_(pa.float64()))], ["doc_id", "excerpt", "stats"])
+
+    chosen = bounded_sample(docs.select("doc_id", "text"), rows).select("doc_id", "text", excerpt(F.coalesce("text", F.lit(""))).alias("excerpt"))
+    made = chosen.mapInArrow(work, "doc_id long, excerpt string, stats array<double>")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.excerpt, r.stats) for r in made.toLocalIterator())
+    return [t for *_, t, _ in got], np.array([s for *_, s in got], float).reshape(-1, len(NAMES))
+
+
+def scored(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, weak_score (the posterior of its votes) and score (the scorer's), 0 to 1, higher is better."""
     spark = docs.sparkSession
     tallied = patterns(docs).groupBy("pattern").count().orderBy("pattern").toPandas()
     found, count = tallied["pattern"].to_numpy(np.int64), tallied["count"].to_numpy(np.int64)
     post, _, _ = accuracies(found, count, len(NAMES))
-    sample = bounded_sample(docs, "doc_id", sample_rows).where(F.length("text") <= sample_chars).select("doc_id", "text")
-    rows = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in sample.toLocalIterator())
-    texts = [t for *_, t in rows]
-    own = [pattern(votes(measured(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]))[0] for t in texts]
-    weights = train(texts, post[np.searchsorted(found, own)] if own else np.zeros(0))
+    texts, stats = sampled(docs, sample_rows)
+    weights = train(texts, stats, post[np.searchsorted(found, pattern(votes(stats)))] if len(texts) else np.zeros(0))
     shared = spark.sparkContext.broadcast((weights, found, post))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

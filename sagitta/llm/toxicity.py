@@ -3,7 +3,8 @@
 Tokens are letter runs. From labelled documents each token gets a log-odds ratio between toxic and clean documents
 under an informative Dirichlet prior (the tokens' shares over both kinds); tokens whose counts stand out by the signed
 root of their log-likelihood ratio keep it (a standard error would punish tokens that no clean document has), all others
-are pooled and share the pool's own, slightly negative, ratio. A linear-time scan
+are pooled and share the pool's own, slightly negative, ratio. How far they must stand out is chosen by the rows that also
+calibrate. A linear-time scan
 over a text's scores finds every maximal scoring segment: the toxic passages. As scores are log ratios of
 probabilities, the segments' scores in clean text follow an extreme-value law with rate 1, whose constant is estimated
 from clean documents; it turns a passage's score and the text's length into an expected number of such passages by
@@ -11,7 +12,7 @@ chance. The documents' statistic, minus the log of the joint significance, is ca
 rows that the token scores have not seen.
 
 Null and empty texts have no passages; their score is the curve's value there. With no labels of one kind every score
-is the smoothed share of toxic labels. Texts are read whole; repeated rows give repeated results; extra columns are
+is the smoothed share of toxic labels. An empty table gives an empty result. Texts are read whole; repeated rows give repeated results; extra columns are
 ignored; a document with several labels counts once for each.
 """
 
@@ -22,15 +23,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sagitta.llm.common import LOWER, blocks, bounded_sample, fold, read, utf8, word_hashes, word_spans
+from sagitta.llm.common import LOWER, blocks, bounded_sample, cut, done, fold, read, utf8, word_hashes, word_spans
 
 #: Labelled rows of each kind that training sees, at most about.
 SAMPLE_ROWS = 10_000
 LEXICON = 4096
-LEAST_Z = 3.0
+#: How far a token's counts must stand out: the value that serves the calibration rows best.
+LEAST_Z = (2.0, 2.5, 3.0, 3.5, 4.0, 5.0)
 LEAST_DOCUMENTS = 3
 LEAST_ODDS = 1.0
 #: The prior's weight as a share of all token counts.
@@ -139,48 +141,35 @@ def token_counts(rows: DataFrame) -> DataFrame:
     return counted.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def lexicon(counts: DataFrame, size: int = LEXICON, least_z: float = LEAST_Z) -> tuple[np.ndarray, np.ndarray, float]:
-    """The tokens that tell toxic documents, at most size of them, with their log-odds; and the pool's log-odds."""
+def standing_out(counts: DataFrame, least_z: float = min(LEAST_Z), size: int = LEXICON) -> tuple[list, int, int]:
+    """The tokens (token, toxic, clean, odds, z) that may tell toxic documents, at most size; and the counts of both kinds."""
     n1, n0 = counts.agg(F.sum("toxic"), F.sum("clean")).first()
     if not n1 or not n0:
-        return np.zeros(0, np.uint64), np.zeros(0), -1e-3
+        return [], n1 or 0, n0 or 0
     prior, whole = (F.col("toxic") + F.col("clean")) * PRIOR_SHARE, (n1 + n0) * PRIOR_SHARE
     odds = lambda y, n: F.log((y + prior) / (n + whole - y - prior))
-    scored = counts.withColumn("odds", odds(F.col("toxic"), n1) - odds(F.col("clean"), n0))
+    found = counts.withColumn("odds", odds(F.col("toxic"), n1) - odds(F.col("clean"), n0))
     # how far the counts are from those of a token that both kinds have alike
     excess = lambda y, n: F.when(y > 0, y * F.log(y * (n1 + n0) / ((F.col("toxic") + F.col("clean")) * n))).otherwise(0.0)
     surprise = F.greatest(2 * (excess(F.col("toxic"), n1) + excess(F.col("clean"), n0)), F.lit(0.0))
-    scored = scored.withColumn("z", F.signum("odds") * F.sqrt(surprise))
-    top = scored.where((F.col("toxic") >= LEAST_DOCUMENTS) & (F.col("z") >= least_z) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("z"), "token").limit(size).collect()
-    top.sort(key=lambda r: r.token % 2**64)
+    found = found.withColumn("z", F.signum("odds") * F.sqrt(surprise))
+    top = found.where((F.col("toxic") >= LEAST_DOCUMENTS) & (F.col("z") >= least_z) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("z"), "token").limit(size)
+    return top.select("token", "toxic", "clean", "odds", "z").collect(), n1, n0
+
+
+def lexicon(found: list, n1: int, n0: int, least_z: float) -> Model:
+    """A model of the tokens that stand out by least_z: their log-odds, and those of all others together."""
+    top = sorted((r for r in found if r.z >= least_z), key=lambda r: r.token % 2**64)
+    if not top:
+        return Model()
     in1, in0 = sum(r.toxic for r in top), sum(r.clean for r in top)
     gap = float(np.log((1 - (in1 + 0.5) / (n1 + 1)) / (1 - (in0 + 0.5) / (n0 + 1))))
-    return np.array([r.token for r in top], np.int64).view(np.uint64), np.array([r.odds for r in top]), min(gap, -1e-6)
+    return Model(np.array([r.token for r in top], np.int64).view(np.uint64), np.array([r.odds for r in top]), min(gap, -1e-6))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model from labels (doc_id, toxic) and their documents: token scores from three quarters, the rest calibrates."""
-    labels = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    totals = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
-    chosen = bounded_sample(labels, "doc_id", sample_rows, "toxic")
-    # the sample is bounded by its parameter, so it may go to every executor
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), F.col("doc_id")), F.lit(4)))
-    tokens, weights, gap = lexicon(token_counts(rows.where("part > 0")))
-    model = Model(tokens, weights, gap)
-    seen = statistics(rows.where("part = 0"), model, extra=["toxic"]).select("toxic", "n_tokens", "top", "logs").toPandas()
-    y = seen["toxic"].to_numpy(float)
-    share = (totals.get(1, 0) + 1) / (sum(totals.values()) + 2)
-    model.base = float(np.log(share / (1 - share)))
-    if not len(tokens) or y.sum() in (0, len(y)):
-        return model
-    clean = seen[y == 0]
-    level = float(np.median(weights))
-    model.constant = float((np.sum(clean["top"] >= level) + 1) * np.exp(level) / max(1, clean["n_tokens"].sum()))
-    x = np.array([np.log1p(model.statistic(n, [(0, 0, v) for v in logs])) for n, logs in zip(seen["n_tokens"], seen["logs"], strict=True)])
-    # rows of a kind stand for all of that kind
-    w = np.where(y == 1, totals[1] / y.sum(), totals[0] / (len(y) - y.sum()))
-    w /= w.mean()
-    a, b = model.base, 0.0
+def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, base: float) -> tuple[float, float]:
+    """Base and slope (0 at least) of a logistic curve, by Newton's steps from a flat one."""
+    a, b = base, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-(a + b * x)))
         g = np.array([np.sum(w * (y - p)), np.sum(w * (y - p) * x) - 1e-2 * b])
@@ -188,13 +177,74 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         hess = np.array([[v.sum(), (v * x).sum()], [(v * x).sum(), (v * x * x).sum() + 1e-2]])
         step = np.linalg.solve(hess, g)
         a, b = a + float(np.clip(step[0], -2, 2)), b + float(np.clip(step[1], -2, 2))
-    model.base, model.slope = a, max(0.0, b)
-    return model
+    return a, max(0.0, b)
+
+
+def calibrate(model: Model, n_tokens: np.ndarray, logs: list[list[float]], y: np.ndarray, totals: dict[int, int]) -> float:
+    """Sets the model's constant and curve from rows that its lexicon has not seen; returns their loss, each half's by the other's curve."""
+    if not len(model.tokens) or y.sum() in (0, len(y)):
+        return np.inf
+    clean = y == 0
+    level = float(np.median(model.weights))
+    best = np.array([max(v, default=0.0) for v in logs])
+    model.constant = float((np.sum(best[clean] >= level) + 1) * np.exp(level) / max(1, n_tokens[clean].sum()))
+    x = np.array([np.log1p(model.statistic(n, [(0, 0, v) for v in found])) for n, found in zip(n_tokens, logs, strict=True)])
+    # rows of a kind stand for all of that kind
+    w = np.where(y == 1, totals[1] / y.sum(), totals[0] / clean.sum())
+    w /= w.mean()
+    loss, half = 0.0, np.arange(len(y)) % 2 == 0
+    for part in (half, ~half):
+        a, b = logistic(x[~part], y[~part], w[~part], model.base)
+        p = np.clip(1 / (1 + np.exp(-(a + b * x[part]))), 1e-9, 1 - 1e-9)
+        loss -= float(np.sum(w[part] * (y[part] * np.log(p) + (1 - y[part]) * np.log(1 - p))))
+    model.base, model.slope = logistic(x, y, w, model.base)
+    return loss
 
 
-def statistics(rows: DataFrame, model: Model, extra: list[str] = ()) -> DataFrame:
-    """doc_id, extra columns, n_tokens, the best segment's score and all segments' scores."""
-    return scored(rows, model, extra).selectExpr("doc_id", *extra, "n_tokens", "coalesce(array_max(transform(passages, p -> p.score)), 0D) as top", "transform(passages, p -> p.score) as logs")
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """A model from labels (doc_id, toxic) and their documents: token scores from three quarters, the rest calibrates.
+
+    The calibration rows also choose how far a token must stand out to be scored.
+    """
+    labels = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    totals = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
+    chosen = bounded_sample(labels, sample_rows, "toxic", text="toxic")
+    # the sample is bounded by its parameter, so it may go to every executor; documents that share an id are bounded once more
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    own = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64(F.lit("own"), "doc_id", "text"), "doc_id"))
+    rows = rows.withColumn("own", own).where(F.col("own") <= sample_rows).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), F.col("doc_id")), F.lit(4)))
+    rows = cut(rows.drop("own"), "toxicity-sample")
+    found, n1, n0 = standing_out(token_counts(rows.where("part > 0")))
+    share = (totals.get(1, 0) + 1) / (sum(totals.values()) + 2)
+    base = float(np.log(share / (1 - share)))
+    models = [lexicon(found, n1, n0, z) for z in LEAST_Z]
+    for m in models:
+        m.base = base
+    if not found:
+        return models[0]
+    seen = statistics(rows.where("part = 0"), models).toPandas().sort_values(["doc_id", "key"])
+    done(rows)
+    losses = []
+    for k, m in enumerate(models):
+        own = seen[seen["model"] == k]
+        losses.append(calibrate(m, own["n_tokens"].to_numpy(), [list(v) for v in own["logs"]], own["toxic"].to_numpy(float), totals))
+    # of equal ones the strictest
+    return min(zip(losses, (-z for z in LEAST_Z), models, strict=True), key=lambda t: t[:2])[2]
+
+
+def statistics(rows: DataFrame, models: list[Model]) -> DataFrame:
+    """For each row of (doc_id, toxic, text) and each model: doc_id, key (the text's hash), toxic, model, n_tokens and the segments' scores (logs)."""
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+    names = ["doc_id", "key", "toxic", "model", "n_tokens", "logs"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = utf8(batch.column(3))
+            for k, m in enumerate(shared.value):
+                told = [(n, [v for *_, v in found]) for _, _, part, at in blocks(data, offs) for n, found in m.scan(part, at)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([k] * len(told), pa.int32()), pa.array([n for n, _ in told], pa.int64()), pa.array([v for _, v in told], pa.list_(pa.float64()))], names)
+
+    return rows.select("doc_id", F.xxhash64("text").alias("key"), "toxic", "text").mapInArrow(work, "doc_id long, key long, toxic int, model int, n_tokens long, logs array<double>")
 
 
 def scored(rows: DataFrame, model: Model, extra: list[str] = ()) -> DataFrame:

@@ -149,8 +149,64 @@ def test_toxicity_finds_toxic_rows_of_every_language(spark):
 def test_rare_tokens_without_clean_rows_are_told(spark):
     # 12 of 352 toxic documents and no clean one have token 1; token 2 is as common in both kinds
     rows = [(1, 12, 0), (2, 20, 160), (3, 320, 2640)]
-    tokens, weights, _ = toxicity.lexicon(spark.createDataFrame(rows, "token long, toxic long, clean long"))
-    assert tokens.tolist() == [1] and weights[0] > 1
+    found, n1, n0 = toxicity.standing_out(spark.createDataFrame(rows, "token long, toxic long, clean long"))
+    assert [r.token for r in found] == [1] and (n1, n0) == (352, 2800) and toxicity.lexicon(found, n1, n0, 3.0).weights[0] > 1
+
+
+def test_lexicon_and_statistic_against_plain_ones(spark):
+    """Counts, log-odds, standing out and the statistic of every text, from their definitions."""
+    rng = random.Random(6)
+    common_, vile = [f"word{chr(97 + k)}" for k in range(20)], ["vilex", "viley"]
+    texts = [(i, " ".join([*rng.choices(common_, k=30), *(rng.choices(vile, k=2) if i % 4 == 0 else [])]), int(i % 4 == 0)) for i in range(120)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    found, n1, n0 = toxicity.standing_out(toxicity.token_counts(rows))
+    counts = defaultdict(lambda: [0, 0])
+    for _, t, y in texts:
+        for w in set(t.split()):
+            counts[w][y] += 1
+    assert (n1, n0) == tuple(sum(c[y] for c in counts.values()) for y in (1, 0))
+    plain = {}
+    for w, (clean, toxic) in counts.items():
+        prior, whole = 0.02 * (clean + toxic), 0.02 * (n1 + n0)
+        odds = math.log((toxic + prior) / (n1 + whole - toxic - prior)) - math.log((clean + prior) / (n0 + whole - clean - prior))
+        term = lambda k, n: k * math.log(k * (n1 + n0) / ((clean + toxic) * n)) if k else 0.0  # noqa: B023, E731
+        z = math.copysign(math.sqrt(max(0.0, 2 * (term(toxic, n1) + term(clean, n0)))), odds)
+        if toxic >= 3 and z >= 2 and odds >= 1:
+            plain[w] = odds
+    assert set(plain) == set(vile)
+    hashes = {int(common.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0]): w for w in counts}
+    assert {hashes[r.token % 2**64]: round(r.odds, 9) for r in found} == {w: round(v, 9) for w, v in plain.items()}
+    model = toxicity.lexicon(found, n1, n0, 2.0)
+    in1, in0 = (sum(counts[w][y] for w in vile) for y in (1, 0))
+    assert model.gap == pytest.approx(math.log((1 - (in1 + 0.5) / (n1 + 1)) / (1 - (in0 + 0.5) / (n0 + 1))))
+    model.constant, model.base, model.slope = 1e-4, -3.0, 2.0
+    for r in toxicity.scored(rows, model).collect():
+        words = dict((i, t) for i, t, _ in texts)[r.doc_id].split()
+        best = plain_segments([plain.get(w, model.gap) for w in words])
+        expected = -sum(x for x in (math.log(1e-4 * len(words)) - v for *_, v in best) if x < math.log(toxicity.CHANCE))
+        assert r.statistic == pytest.approx(expected, abs=1e-6) and r.score == pytest.approx(1 / (1 + math.exp(3 - 2 * math.log1p(expected))), abs=1e-6)
+
+
+def test_samples_are_bounded_and_cover_long_texts(spark):
+    rows = spark.createDataFrame([(1, f"text {i % 7}", "en") for i in range(3000)] + [(i, "x", "de") for i in range(40)] + [(None, None, None)], "doc_id long, text string, lang string")
+    got = {r.lang: r["count"] for r in common.bounded_sample(rows, 100, "lang").groupBy("lang").count().collect()}
+    assert got["en"] <= 100 and got["de"] == 40 and common.bounded_sample(rows, 100).count() <= 100
+    assert [r.lang for r in common.bounded_sample(rows, 100, "lang", groups=1).select("lang").distinct().collect()] == ["en"]
+    text = "".join(chr(97 + i // 1000) for i in range(20_000))
+    short = spark.createDataFrame([("ab",), (text,)], "t string").select(common.excerpt(F.col("t"))).collect()
+    assert short[0][0] == "ab" and {"a", "t", "j"} <= set(short[1][0]) and len(short[1][0]) == 5 * 1600 + 4
+
+
+def test_long_texts_teach_languages_and_quality(spark, tmp_path):
+    rng = random.Random(2)
+    words = {"de": ["der", "nicht", "und", "schön"], "en": ["the", "with", "that", "nice"]}
+    rows = [(i, " ".join(rng.choices(words[k], k=9000 if k == "de" else 40)), k, "s") for i, k in enumerate(["de", "en"] * 40)]
+    sf = written(spark, tmp_path, rows)
+    got = langid.query(spark, sf).toPandas().merge(duckdb.sql(f"SELECT doc_id, lang FROM '{sf}/documents.parquet/*.parquet'").df(), on="doc_id")
+    assert (got.lang_pred == got.lang).all()
+    junk = [(100 + i, "$$ || ## " * 4000, "en", "s") for i in range(40)]
+    sf = written(spark, tmp_path / "junk", [(r[0], ". ".join(r[1].split()), *r[2:]) for r in rows if r[2] == "de"] + junk)
+    assert quality.query(spark, sf).toPandas().score.std() > 0.01
 
 
 def test_toxic_passages_are_spans(spark):
