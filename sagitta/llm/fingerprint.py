@@ -9,7 +9,8 @@ likeness, which estimates the Jaccard similarity of the shingle sets (standard e
 
 A text of fewer words than a shingle has its whole sequence as its one shingle. Null and empty texts have the empty
 fingerprint, which is like itself (1) and like no other (0). Extra columns are left alone. ``neighbours`` orders rows by
-id with null ids first and equal ids by a hash of their texts; a table of one row is its own neighbour.
+id with null ids first and equal ids by a hash of their texts; a table of one row is its own neighbour. Texts are read whole,
+also very long ones; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sagitta.llm.common import GAP_PATTERN, let, read
+from sagitta.llm.common import GAP_PATTERN, fresh, let, read
 
 WORDS = 5
 BINS = 256
@@ -103,19 +104,18 @@ def neighbours(docs: DataFrame, carried: dict[str, Column]) -> DataFrame:
 
     Rows are dealt by ranges of ids; the first row of each range also goes, as a guest, to the end of the range before.
     """
-    key = F.coalesce(F.col("doc_id"), F.lit(FIRST).cast("long"))
-    bounds = ranges(docs, key)
-    rows = docs.withColumns({"_key": key, **{f"_own_{n}": c for n, c in carried.items()}})
-    if not bounds:
-        bounds = [0]
-    at = rows.withColumn("_range", range_of(F.col("_key"), bounds))
-    first = F.col("_key") == F.get(F.array(*(F.lit(b).cast("long") for b in bounds)), F.col("_range"))
-    own = F.struct(F.col("_range").alias("at"), F.lit(0).alias("guest"))
-    guest = F.struct(F.pmod(F.col("_range") - 1, F.lit(len(bounds))).alias("at"), F.lit(1).alias("guest"))
-    dealt = at.withColumn("_place", F.explode(F.when(first, F.array(own, guest)).otherwise(F.array(own)))).withColumns({"_at": F.col("_place.at"), "_guest": F.col("_place.guest")})
-    along = Window.partitionBy("_at").orderBy("_guest", "_key", F.xxhash64(*(f"_own_{n}" for n in carried)))
-    out = dealt.withColumns({f"next_{n}": F.lead(f"_own_{n}").over(along) for n in carried}).where("_guest = 0")
-    return out.select(*docs.columns, *(F.col(f"_own_{n}").alias(n) for n in carried if n not in docs.columns), *(f"next_{n}" for n in carried))
+    names = fresh(docs, "key", "range", "place", "at", "guest", *(f"own_{n}" for n in carried))
+    key, range_, place, at, guest, *own = names
+    bounds = ranges(docs, F.coalesce(F.col("doc_id"), F.lit(FIRST).cast("long"))) or [0]
+    rows = docs.withColumns({key: F.coalesce(F.col("doc_id"), F.lit(FIRST).cast("long")), **dict(zip(own, carried.values(), strict=True))})
+    rows = rows.withColumn(range_, range_of(F.col(key), bounds))
+    first = F.col(key) == F.get(F.array(*(F.lit(b).cast("long") for b in bounds)), F.col(range_))
+    here = F.struct(F.col(range_).alias("at"), F.lit(0).alias("guest"))
+    there = F.struct(F.pmod(F.col(range_) - 1, F.lit(len(bounds))).alias("at"), F.lit(1).alias("guest"))
+    dealt = rows.withColumn(place, F.explode(F.when(first, F.array(here, there)).otherwise(F.array(here)))).withColumns({at: F.col(f"{place}.at"), guest: F.col(f"{place}.guest")})
+    along = Window.partitionBy(at).orderBy(guest, key, F.xxhash64(*own))
+    out = dealt.withColumns({f"next_{n}": F.lead(o).over(along) for n, o in zip(carried, own, strict=True)}).where(F.col(guest) == 0)
+    return out.select(*docs.columns, *(F.col(o).alias(n) for n, o in zip(carried, own, strict=True) if n not in docs.columns), *(f"next_{n}" for n in carried))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,28 +5,27 @@ Sources in code point order (null last) weigh 1, 2, 3, 1, 2, 3 ... and share the
 copies is its source's target over its source's words. The expected copies are summed along the source, a random
 offset is added to the sum, and a document is emitted once for each whole number that its stretch of the sum crosses.
 Documents stand along the source by size class, so every stretch of sizes gets its share and the words taken come
-near the target, then by a hash, so that a class can be split into lots of bounded size: the sum over lots is taken
-on one row a lot, and within a lot on its own rows. No task needs all rows of a source.
+near the target, then by a hash of the id. Rows of one id, source and text are counted first and are one stretch of the sum
+together. The stretches are dealt by ranges of their order: sums over ranges are taken on one row a range and source, sums within a
+range on its own rows, so no task needs all rows of a source or of an id.
 
 Null texts have size 0. Null sources are one source. Repeated rows are documents of their own; rows that are equal in
-id and text may change places without any effect on the result. An empty table gives an empty result; with no words at
-all every target is 0 and nothing is taken. Extra columns are left alone.
+id, source and text may change places without any effect on the result, and so may rows without an id. An empty table gives an
+empty result; with no words at all every target is 0 and nothing is taken. Texts are read whole; extra columns are left alone.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sagitta.llm.common import WORD_PATTERN, cut, read
+from sagitta.llm.common import WORD_PATTERN, cut, done, fresh, read
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
 SEED = "mix-1"
-#: A class has as many lots as the square root of the number of rows over this: lots and the rows of a lot grow alike.
-LOT_SHARE = 8
+#: Equal rows are dealt anew in blocks of so many.
+BLOCK_ROWS = 100_000
 #: Up to so many documents, their numbers of copies are sent to all executors; beyond, the join is a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -48,7 +47,7 @@ def hashed(*parts: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """One row for each source: source_key, source_size, target. sizes has source_key, size and no, its number of rows.
+    """One row for each source: source_key, source_size, target. sizes has source_key and size, as many rows as it likes.
 
     A common level L with sum(min(most * size, L * weight)) = all words fixes the targets: sources in order of
     size / weight reach their limit first, so L comes from running sums over one row for each source.
@@ -70,36 +69,70 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return ranked.select("source_key", "source_size", F.least(F.col("common") * F.col("weight"), (F.col("source_size") * most).cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """For each document: doc_id, size, source_size, target (its source's) and copies, how often the mix takes it."""
-    # a source's key sorts by code point with null last
-    key = F.when(F.col(source).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source)))
-    sized = cut(docs.select(F.col(doc_id).alias("doc_id"), key.alias("source_key"), word_count(F.col(text)).alias("size")), "mix-sizes")
-    total = sized.count()
-    lots = max(1, math.isqrt(total) // LOT_SHARE)
-    placed = sized.withColumn("band", size_class(F.col("size"))).withColumn("order", hashed(F.lit(seed), F.col("doc_id")))
-    placed = placed.withColumn("lot", F.floor(F.col("order") * lots / 2**32).cast("long"))
-    counted = placed.groupBy("source_key", "band", "lot").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("size"))
-    counted = cut(counted, "mix-lots")
-    # lots of one source number at most classes times lots: whole-number sums over a row each
-    along = Window.partitionBy("source_key").orderBy("band", "lot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counted.withColumn("before", F.coalesce(F.sum("rows").over(along), F.lit(0)))
-    offsets = offsets.join(targets(counted, weights, most), "source_key").select("source_key", "band", "lot", "before", "source_size", "target")
-    within = Window.partitionBy("source_key", "band", "lot").orderBy("order", "doc_id", "size")
-    ranked = placed.withColumn("no", F.row_number().over(within)).join(offsets, ["source_key", "band", "lot"])
+def _source_key(source: Column) -> Column:
+    """A key that sorts by code point with null last."""
+    return F.when(source.isNull(), "1").otherwise(F.concat(F.lit("0"), source))
+
+
+def stretches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """For each different (doc_id, source_key, size, text_key) its number of rows, source_size, target, rate, offset and end.
+
+    Of the source's places the rows have those from end - rows + 1 to end; a place is taken as often as rate * place + offset
+    passes a whole number there.
+    """
+    sized = docs.select(F.col(doc_id).alias("doc_id"), _source_key(F.col(source)).alias("source_key"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("text_key"))
+    counted = sized.groupBy("doc_id", "source_key", "size", "text_key").agg(F.count(F.lit(1)).alias("rows"))
+    placed = cut(counted.withColumn("band", size_class(F.col("size"))).withColumn("order", hashed(F.lit(seed), F.col("doc_id"))), "mix-counted")
+    along = ["band", "order", "doc_id", "size", "text_key"]
+    ranged = cut(placed.repartitionByRange("source_key", *along).withColumn("range", F.spark_partition_id()), "mix-ranged")
+    sums = cut(ranged.groupBy("source_key", "range").agg(F.sum("rows").alias("count"), F.sum(F.col("size") * F.col("rows")).alias("size")), "mix-sums")
+    done(placed)
+    before = Window.partitionBy("source_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).join(targets(sums, weights, most), "source_key")
+    offsets = offsets.select("source_key", "range", "before", "source_size", "target")
+    within = Window.partitionBy("source_key", "range").orderBy(*along).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    offset = hashed(F.lit(seed), F.col("source_key")) / F.lit(float(2**32))
-    end = F.col("before") + F.col("no")
-    crossed = F.floor(rate * end + offset) - F.floor(rate * (end - 1) + offset)
-    return ranked.select("doc_id", "size", "source_size", "target", F.least(crossed, F.lit(most)).cast("long").alias("copies"))
-
-
-def emit(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: docs, each row as often as it is taken. Rows with one id share a number of copies, the highest."""
-    taken = cut(mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies")), "mix-taken").withColumnRenamed("doc_id", "_mix_id")
-    name, few = options.get("doc_id", "doc_id"), taken.count() <= BROADCAST_ROWS
-    joined = docs.join(F.broadcast(taken) if few else taken, F.col(name).eqNullSafe(F.col("_mix_id")))
-    return joined.where("_copies > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copies", "_copy", "_mix_id")
+    out = ranged.withColumn("end", F.sum("rows").over(within)).join(offsets, ["source_key", "range"])
+    return out.select(
+        "doc_id", "source_key", "size", "text_key", "rows", "source_size", "target", rate.alias("rate"),
+        (hashed(F.lit(seed), F.col("source_key")) / F.lit(float(2**32))).alias("offset"), (F.col("before") + F.col("end")).alias("end"),
+    )
+
+
+def _passed(place: Column) -> Column:
+    return F.floor(F.col("rate") * place + F.col("offset"))
+
+
+def mix(docs: DataFrame, most: int = MOST, **options) -> DataFrame:
+    """For each document: doc_id, size, source_size, target (its source's) and copies, how often the mix takes it."""
+    found = cut(stretches(docs, most=most, **options), "mix-stretches")
+    blocks = found.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / BLOCK_ROWS))))
+    if (found.agg(F.max("rows")).first()[0] or 0) > BLOCK_ROWS:
+        blocks = blocks.repartition("doc_id", "source_key", "text_key", "block")
+    first = F.col("end") - F.col("rows") + F.col("block") * BLOCK_ROWS + 1
+    each = blocks.withColumn("place", F.explode(F.sequence(first, F.least(first + BLOCK_ROWS - 1, F.col("end")))))
+    copies = F.least(_passed(F.col("place")) - _passed(F.col("place") - 1), F.lit(most)).cast("long")
+    return each.select("doc_id", "size", "source_size", "target", copies.alias("copies"))
+
+
+def emit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", most: int = MOST, **options) -> DataFrame:
+    """The mix itself: docs, each row as often as it is taken.
+
+    Rows that are equal in id, source and text share their copies evenly; what does not divide goes to one of them, as they
+    are alike but for extra columns.
+    """
+    found = stretches(docs, doc_id, text, source, most=most, **options)
+    copies = F.least(_passed(F.col("end")) - _passed(F.col("end") - F.col("rows")), most * F.col("rows")).cast("long")
+    names = fresh(docs, "id_", "source_", "text_", "each", "rest", "copy")
+    i, s, t, each, rest, copy = names
+    found = found.withColumn("copies", copies).where("copies > 0")
+    taken = cut(found.select(F.col("doc_id").alias(i), F.col("source_key").alias(s), F.col("text_key").alias(t), F.floor(F.col("copies") / F.col("rows")).alias(each), (F.col("copies") % F.col("rows")).alias(rest)), "mix-taken")
+    n, uneven = taken.agg(F.count(F.lit(1)), F.max(rest)).first()
+    same = F.col(doc_id).eqNullSafe(F.col(i)) & (_source_key(F.col(source)) == F.col(s)) & (F.xxhash64(text) == F.col(t))
+    joined = docs.join(F.broadcast(taken) if n <= BROADCAST_ROWS else taken, same)
+    many = lambda rows, c: rows.where(F.col(c) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(c)))).drop(*names)
+    out = many(joined, each)
+    return out if not uneven else out.unionByName(many(joined.where(F.col(rest) > 0).dropDuplicates([i, s, t]), rest))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

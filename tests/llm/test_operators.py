@@ -253,6 +253,33 @@ def test_mix_stops_at_the_limit(spark, tmp_path):
     assert out.columns == docs.columns and out.where("doc_id = 1").count() == 3
 
 
+def test_mix_of_rows_that_share_ids(spark, monkeypatch):
+    """Rows without an id, rows of one id and equal rows: emit hands out what the query takes, whatever the blocks."""
+    rows = [(None, f"w{i} x y", "a") for i in range(90)] + [(7, f"z{i} " * (1 + i % 3), "b") for i in range(60)] + [(8, "same text here", "c")] * 50 + [(i, "one two " * (i % 9), "c") for i in range(100, 160)]
+    docs = spark.createDataFrame([(i, t, s, 1, "x") for i, t, s in rows], "doc_id long, text string, source string, copy long, _each string").repartition(5)
+    size = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "abc"}
+    results = []
+    for block in (mixing.BLOCK_ROWS, 7):
+        monkeypatch.setattr(mixing, "BLOCK_ROWS", block)
+        got = mixing.mix(docs).collect()
+        assert len(got) == len(rows) and all(r.copies <= 3 for r in got)
+        results.append(sorted((r.doc_id or -1, r.size, r.copies) for r in got))
+    assert results[0] == results[1]
+    out = mixing.emit(docs)
+    assert out.columns == docs.columns
+    made = Counter((r.doc_id, r.text, r.source) for r in out.collect())
+    held = Counter(rows)
+    assert all(made[k] <= 3 * held[k] for k in made)
+    words = defaultdict(int)
+    for (_, t, s), n in made.items():
+        words[s] += n * len(t.split())
+    taken = defaultdict(int)
+    for r in got:
+        taken[round(r.target, 6)] += r.size * r.copies
+    assert sorted(words.values()) == sorted(taken.values())
+    assert all(abs(n - t) <= 1.5 * 16 for t, n in taken.items()) and sum(words.values()) == pytest.approx(sum(size.values()), abs=40)
+
+
 # 4
 
 
