@@ -9,7 +9,9 @@ are rarer still to be lost. Every link is confirmed by intersecting the full set
 
 A bucket of nodes that share a band is never paired off: each round links its members to one leader (a random one in
 later rounds), components are formed, and buckets within one component are done with. Only buckets that the rounds leave
-with several components are compared across those components; there a pair is a row only if its sketches pass.
+with several components are compared across those components. A large one is split into blocks, and each pair of blocks is
+dealt on its own, so no task has all of a bucket. Sketches first tell which nodes may have a link there at all; only
+these bring their sets, and a pair is a row only if it is a link.
 
 Null texts and texts without words have the empty set, link with nothing and form their own component. Rows with one
 id are rows of their own. A null id never names a component that has another. Texts are read whole, an empty table gives
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagitta.llm.common import BYTE_CODES, LOWER, blocks, cut, mixed, read, shingle_hashes, utf8, word_hashes, word_spans
+from sagitta.llm.common import BYTE_CODES, LOWER, blocks, cut, done, mixed, read, shingle_hashes, utf8, word_hashes, word_spans
 
 WORDS = 5
 #: Similarity at least, in hundredths.
@@ -37,6 +39,8 @@ ROUNDS = 3
 FEW = 0.1
 #: Up to so many ids, a set of ids is sent to all executors; beyond, the join is a shuffle.
 BROADCAST_ROWS = 500_000
+#: Nodes of a bucket that are compared with one another in one task, about.
+BLOCK_NODES = 256
 
 _rng = np.random.default_rng(20)
 MULTIPLIERS = _rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -81,8 +85,8 @@ def node_keys(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """For each row: doc_id, n_shingles, node (its set's key), bands and sketch (null for an empty set)."""
-    names = ["doc_id", "n_shingles", "node", "bands", "sketch"]
+    """For each row: doc_id, key (its text's hash), n_shingles, node (its set's key), bands and sketch (null for an empty set)."""
+    names = ["doc_id", "key", "n_shingles", "node", "bands", "sketch"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,9 +104,9 @@ def sketched(docs: DataFrame) -> DataFrame:
                     for i, x in enumerate((keys, odd)):
                         ends = np.concatenate([[0], np.cumsum(full * x.shape[1])]).astype(np.int32)
                         lists[i] = pa.ListArray.from_arrays(pa.array(ends), pa.array(x.ravel()), mask=pa.array(~full))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size), pa.array(node, mask=~full), *lists], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(size), pa.array(node, mask=~full), *lists], names)
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, node long, bands array<long>, sketch array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(work, "doc_id long, key long, n_shingles long, node long, bands array<long>, sketch array<long>")
 
 
 def shingled(docs: DataFrame) -> DataFrame:
@@ -143,7 +147,8 @@ def components(edges: DataFrame) -> DataFrame:
     now, before = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), None
     n = now.count()
     while True:
-        now = cut(stars(stars(now, n, True), n, False).distinct(), "stars")
+        now, old = cut(stars(stars(now, n, True), n, False).distinct(), "stars"), now
+        done(old)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -167,7 +172,11 @@ def full_sets(wanted: DataFrame, docs: DataFrame, origin: DataFrame) -> DataFram
     ids = needed.select(F.col("doc_id").alias("_id")).distinct()
     texts = docs.join(sent(ids, n), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     members = cut(shingled(texts).join(sent(nodes, n), "node", "left_semi"), "members")
-    return members if members.count() == n else cut(members.dropDuplicates(["node"]), "members")
+    if members.count() != n:
+        members, old = cut(members.dropDuplicates(["node"]), "members"), members
+        done(old)
+    done(nodes, needed)
+    return members
 
 
 def _linked(a: str, b: str, least: int) -> Column:
@@ -181,68 +190,126 @@ def confirmed(pairs: DataFrame, docs: DataFrame, origin: DataFrame, least: int)
     pairs = cut(pairs, "pairs")
     members = full_sets(pairs.select(F.col("u").alias("node")).union(pairs.select("v")), docs, origin)
     both = pairs.join(members.select(F.col("node").alias("u"), F.col("members").alias("a")), "u").join(members.select(F.col("node").alias("v"), F.col("members").alias("b")), "v")
-    return cut(both.where(_linked("a", "b", least)).select("u", "v"), "links")
+    links = cut(both.where(_linked("a", "b", least)).select("u", "v"), "links")
+    done(pairs, members)
+    return links
+
+
+def block_pairs(live: DataFrame, block_nodes: int = BLOCK_NODES) -> tuple[DataFrame, DataFrame]:
+    """live twice, its columns with u_ and v_ before their names, dealt to units: a bucket's pairs of blocks.
+
+    Every pair of a bucket's nodes stands in just one unit, the one of its two blocks.
+    """
+    sizes = cut(live.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block_nodes).alias("blocks")), "sizes")
+    rows = live.join(sent(sizes, sizes.count()), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    kept = [c for c in live.columns if c != "bucket"]
+
+    def side(prefix: str, others: Column, first: Column, second: Column) -> DataFrame:
+        dealt = rows.withColumn("other", F.explode(others)).withColumns({"i": first, "j": second})
+        return dealt.select("bucket", "i", "j", *(F.col(c).alias(prefix + c) for c in kept))
+
+    return side("u_", F.sequence(F.col("block"), F.col("blocks") - 1), F.col("block"), F.col("other")), side("v_", F.sequence(F.lit(0).cast("long"), F.col("block")), F.col("other"), F.col("block"))
 
 
 def across(live: DataFrame, nodes: DataFrame, docs: DataFrame, origin: DataFrame, least: int) -> DataFrame:
     """All links (u, v) between different parts of one bucket of live.
 
-    The join's own condition confirms a pair, so a pair is a row only if it is a link: sketches first, then whether this is
-    the first band that both share, then the whole sets.
+    The joins' own conditions judge a pair, so none is a row that is no link. Nodes without any pair that the sketches let pass,
+    at the first band that both share, are left out before sets are fetched.
     """
-    whole = full_sets(live, docs, origin).join(nodes.select("node", "bands"), "node")
-    known = live.join(whole, "node")
-    u, v = (known.select("bucket", *(F.col(c).alias(p + c) for c in ("node", "part", "band", "n", "sketch", "bands", "members"))) for p in ("u_", "v_"))
+    same = lambda u, v: (u["bucket"] == v["bucket"]) & (u["i"] == v["i"]) & (u["j"] == v["j"])
+    # within a block each pair is met from both sides
+    cheap = ((F.col("i_") != F.col("j_")) | (F.col("u_node") < F.col("v_node"))) & (F.col("u_part") != F.col("v_part")) & _near("u_", "v_", least)
     first = F.array_position(F.zip_with("u_bands", "v_bands", lambda x, y: x == y), True) == F.col("u_band") + 1
-    cheap = (F.col("u_node") < F.col("v_node")) & (F.col("u_part") != F.col("v_part")) & _near("u_", "v_", least)
+
+    def sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        u, v = block_pairs(rows)
+        return u.withColumns({"i_": F.col("i"), "j_": F.col("j")}), v
+
+    known = cut(live.join(nodes.select("node", "bands"), "node"), "known")
+    u, v = sides(known)
+    passes = F.when(cheap, first).otherwise(False)
+    open_ = u.join(v, same(u, v) & passes, "left_semi").select(F.col("u_node").alias("node")).union(v.join(u, same(u, v) & passes, "left_semi").select(F.col("v_node").alias("node")))
+    open_ = cut(open_.distinct(), "open")
+    n = open_.count()
+    if not n:
+        done(known, open_)
+        return open_.select(F.col("node").alias("u"), F.col("node").alias("v"))
+    members = full_sets(open_, docs, origin)
+    u, v = sides(known.join(sent(open_, n), "node", "left_semi").join(members, "node"))
     link = F.when(~cheap, False).when(~first, False).otherwise(_linked("u_members", "v_members", least))
-    return u.join(v, (u["bucket"] == v["bucket"]) & link).select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    links = cut(u.join(v, same(u, v) & link).select(F.col("u_node").alias("u"), F.col("v_node").alias("v")), "links")
+    done(known, open_, members)
+    return links
 
 
-def classes(docs: DataFrame, least: int = LEAST, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id that links reach) and kept, for each row of docs."""
+def labelled(docs: DataFrame, least: int = LEAST, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, key, n_shingles, node) and, for every node, (node, root, component_id)."""
     docs = docs.select("doc_id", "text")
     rows = cut(sketched(docs), "sketched")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = cut(nodes, "nodes")
     origin = nodes.select("node", "doc_id")
     entries = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", "band", F.xxhash64("band", "value").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = cut(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket"), "shared")
     # only what shares a bucket with others carries its sketch
-    live = entries.join(shared.select("bucket"), "bucket").join(nodes.select("node", "n", "sketch"), "node")
-    live = cut(live, "entries").withColumn("part", F.col("node"))
-    roots, links, found, last = None, None, None, False
+    live = cut(entries.join(sent(shared, shared.count()), "bucket").join(nodes.select("node", "n", "sketch"), "node").withColumn("part", F.col("node")), "entries")
+    done(shared)
+    roots, links, last = None, None, False
     for turn in range(rounds + 1):
         last = last or turn == rounds
         if last:
-            found = cut(across(live, nodes, docs, origin, least), "links")
+            found = across(live, nodes, docs, origin, least)
         else:
             rank = F.col("node") if not turn else F.xxhash64(F.lit(turn), F.col("node"))
             leaders = live.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "node", "part", "n", "sketch")).alias("lead"))
-            leaders = leaders.select("bucket", *(F.col(f"lead.{c}").alias(f"l_{c}") for c in ("node", "part", "n", "sketch")))
-            pairs = live.join(leaders, (live["bucket"] == leaders["bucket"]) & (F.col("part") != F.col("l_part")) & _near("", "l_", least))
+            leaders = cut(leaders.select(F.col("bucket").alias("l_bucket"), *(F.col(f"lead.{c}").alias(f"l_{c}") for c in ("node", "part", "n", "sketch"))), "leaders")
+            pairs = live.join(sent(leaders, leaders.count()), (F.col("bucket") == F.col("l_bucket")) & (F.col("part") != F.col("l_part")) & _near("", "l_", least))
             found = confirmed(pairs.select(F.least("node", "l_node").alias("u"), F.greatest("node", "l_node").alias("v")).distinct(), docs, origin, least)
+            done(leaders)
         links = found if links is None else roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found)
         roots = components(links)
         if last:
             break
-        live = cut(live.drop("part").join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"), "parts")
+        named = live.drop("part").join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+        parts = cut(named.select(*live.columns), "parts")
         # two members: their one pair is settled
-        open_ = live.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count(F.lit(1)).alias("size")).where("a != b and size > 2")
-        live = cut(live.join(open_.select("bucket"), "bucket"), "live")
+        open_ = parts.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count(F.lit(1)).alias("size")).where("a != b and size > 2").select("bucket")
+        open_ = cut(open_, "open")
+        live, old = cut(parts.join(sent(open_, open_.count()), "bucket", "left_semi"), "live"), live
+        done(old, parts, open_)
         left = live.agg(F.count_distinct("node")).first()[0]
         if not left:
             break
         # leaders that find few links more have done their part
         last = turn > 0 and found.count() < FEW * left
+    done(live)
     named = origin.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least_id = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labels = named.join(least_id, "root").select("node", "component_id")
-    out = rows.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return rows.select("doc_id", "key", "n_shingles", "node"), named.join(least_id, "root").select("node", "root", "component_id")
+
+
+def classes(docs: DataFrame, least: int = LEAST, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id that links reach) and kept, for each row of docs."""
+    rows, labels = labelled(docs, least, rounds)
+    out = rows.join(labels, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+def survivors(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """doc_id, key (xxhash64 of the text), rows and kept, once for each different pair of them.
+
+    Of each component one pair is kept: of the smallest id (a null one only if there is no other), then of the smallest key.
+    """
+    rows, labels = labelled(docs, least)
+    pairs = cut(rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("rows"), F.first("node").alias("node")).join(labels.select("node", "root"), "node", "left"), "pairs")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("key"))
+    lead = pairs.where("root is not null").groupBy("root").agg(F.min(order).alias("lead"))
+    out = pairs.join(lead, "root", "left")
+    # without words there is no component, and nothing to be a copy of
+    return out.select("doc_id", "key", "rows", (F.col("root").isNull() | order.eqNullSafe(F.col("lead"))).alias("kept"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(read(spark, sf_dir, "documents"))
 

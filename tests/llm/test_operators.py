@@ -671,6 +671,34 @@ def test_buckets_of_several_parts_are_compared_across(spark, tmp_path):
     assert got == plain_classes(texts)
 
 
+def test_block_pairs_meet_every_pair_once(spark):
+    rows = [(b, node, 0) for b, n in ((1, 1), (2, 7), (3, 23)) for node in range(100 * b, 100 * b + n)]
+    u, v = neardup.block_pairs(spark.createDataFrame(rows, "bucket long, node long, part long"), 5)
+    met = Counter()
+    for r in u.join(v, ["bucket", "i", "j"]).collect():
+        if r.i != r.j or r.u_node < r.v_node:
+            met[min(r.u_node, r.v_node), max(r.u_node, r.v_node)] += 1
+    assert met == Counter(p for b, n in ((1, 1), (2, 7), (3, 23)) for p in itertools.combinations(range(100 * b, 100 * b + n), 2))
+
+
+def test_large_buckets_are_split(spark, monkeypatch):
+    """Unlike documents that share most of their text, and copies of some: in small blocks, without rounds of leaders."""
+    monkeypatch.setattr(neardup, "block_pairs", lambda live, f=neardup.block_pairs: f(live, 8))
+    rng = random.Random(9)
+    passage = [f"p{k}" for k in range(60)]
+    texts = {i: " ".join([*passage, *(f"{'abcd'[i % 4]}{rng.randrange(10**6)}" for _ in range(rng.randrange(10, 40)))]) for i in range(120)}
+    texts |= {200 + i: texts[i] + " end" for i in range(0, 120, 9)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.classes(docs, rounds=0).collect()} == plain_classes(texts)
+
+
+def test_survivors(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, base), (None, base + " x"), (5, "other words that nobody has at all"), (5, "other words that nobody has at all"), (7, base.replace("w", "v")), (7, base.replace("w", "v") + " y"), (None, ""), (8, "")]
+    got = neardup.survivors(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.rows, r.kept) for r in got) == [(0, 1, False), (0, 1, True), (0, 1, True), (5, 2, True), (7, 1, False), (7, 1, True), (8, 1, True)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50) if i != 25] + [(100, 3), (200, 201), (201, 202), (200, 202), (5, 5)]
     got = {r.node: r.root for r in neardup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
