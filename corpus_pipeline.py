@@ -7,11 +7,11 @@ the operators' docstrings say; extra columns pass through all stages but the las
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sagitta.llm import bpe, mixing, neardup, pii, toxicity
-from sagitta.llm.common import cut, read
+from sagitta.llm.common import cut, fresh, read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,17 +21,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     model = toxicity.learn(spark, docs, sf_dir)
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    toxic = toxicity.scored(keyed, model, extra=["key"]).where("score >= 0.5").select("doc_id", "key").distinct()
-    return without(docs, toxic, key=F.xxhash64("text"))
+    return without(docs, toxicity.scored(keyed, model, extra=["key"]).where("score >= 0.5").select("doc_id", "key").distinct())
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document of the smallest id. Rows of one id (or without an id) stay if one of them does.
+    """Of each group one row: of the smallest id, null only if there is no other, and of that id's texts one.
 
-    Of rows that are equal in id and text one stays. Only ids move between tasks: those to drop go to the documents if
-    they are few enough, and only documents whose id repeats are compared by their texts.
+    Documents without words are in no group; of their rows that are equal in id and text one stays as well. Only ids and hashes
+    of texts move between tasks: what is to go goes to the documents if it is few rows enough, and only rows that repeat are
+    compared by their texts.
     """
-    found = cut(neardup.classes(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "kept")
+    found = cut(neardup.survivors(docs), "survivors")
     out = without(docs, found.where("not kept"))
     repeated = found.where("kept and rows > 1")
     if repeated.isEmpty():
@@ -39,15 +39,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return without(out, repeated).unionByName(without(out, found.where("rows = 1 or not kept")).dropDuplicates(["doc_id", "text"]))
 
 
-def without(docs: DataFrame, gone: DataFrame, key: Column | None = None) -> DataFrame:
-    """docs but for those ids, null being one; with a key, but for those pairs of an id and a key.
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs but for the rows of those pairs of doc_id, null being one, and key, the text's hash.
 
-    What is gone goes to all executors if it is few rows, else the documents are dealt by id.
+    What is gone goes to all executors if it is few rows, else the documents are dealt by id and key.
     """
-    gone = cut(gone.select(F.col("doc_id").alias("_gone_id"), *([F.col("key").alias("_gone_key")] if key is not None else [])), "gone")
-    same = F.col("doc_id").eqNullSafe(F.col("_gone_id"))
-    if key is not None:
-        same = same & (key == F.col("_gone_key"))
+    id_, key = fresh(docs, "gone_id", "gone_key")
+    gone = cut(gone.select(F.col("doc_id").alias(id_), F.col("key").alias(key)), "gone")
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key))
     return docs.join(F.broadcast(gone) if gone.count() <= neardup.BROADCAST_ROWS else gone, same, "left_anti")
 
 
