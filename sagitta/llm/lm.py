@@ -1,24 +1,30 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). The most frequent tokens are classes of their own, all other
-words share classes by their last letters. The class factor is a maximum-entropy model whose features are the previous
-token, the one before it (a skip) and the hashed pair; rare tokens stand for themselves by their endings. It is trained
-by distributed gradient updates over all training documents: every partition takes mini-batch AdaGrad steps from the
-shared start, and the partitions' weights are averaged, by tokens, in a tree. The second factor is the smoothed share of
-the word within its class; a class holds one more place for all words that training has not seen.
-
-Counts are exact (by 64-bit hash) over all training documents. Counting and joining are spread over the cluster: the
-``HEAD`` most frequent tokens, a bounded table, go to every executor, only the rarer ones are joined by a shuffle, so no
-key of that join is frequent.
+P(word | history) = P(class | history) * P(word | class, history). The most frequent tokens are classes of their own, the other
+named ones (the next in frequency) share classes of about equal mass by frequency, all rarer words share classes by their last
+letters. Both factors are maximum-entropy models with n-gram and skip features:
+
+* The class factor's are the previous token, the one before it (a skip) and the hashed pair of both; rare tokens stand for themselves by
+  hashed endings. Its weights begin with smoothed log ratios of counts over all training documents and take rounds of synchronous updates:
+  every partition sums the gradient of its share of the round's documents at the same weights, the sums are added up in a tree and the driver
+  takes one step, preconditioned by the counts. Every training document is in one round.
+* The word factor's are the previous token's class and the class of the one before, for each named word. What it
+  needs of the corpus is counts of (word, class before), (word, class before that) and (class, both), so its updates, by iterative scaling, run
+  on these sums alone. A rare word has its smoothed share of its class, which holds one more place for all words not seen.
+
+Counts are exact (by 64-bit hash) over all training documents. How many tokens are named and how many hashed pairs there are
+grows with the square root of the training tokens, up to bounds that keep the weights in a worker's memory. No sum depends on how the documents are dealt to partitions but
+for rounding. Counting and joining are spread over the cluster: the ``HEAD`` most frequent tokens, a bounded table, go to every
+executor, only the rarer ones are joined by a shuffle, so no key of that join is frequent.
 
 Null texts are empty texts: one token, the end. With nothing to learn from, N and V are 0 and the classes' weights are
-flat. Texts are read whole; rows with one id are rows of their own; a null id is neither held out nor learned from; extra
-columns are ignored.
+flat. Texts are read whole; rows with one id are rows of their own; a null id is neither held out nor learned from; tokens of equal
+counts rank by their hashes; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,20 +34,24 @@ from pyspark.sql import functions as F
 
 from sagitta.llm.common import LOWER, blocks, cut, fold, mixed, read, utf8, word_hashes, word_spans
 
-SINGLE, SHARED = 64, 64
-CLASSES = SINGLE + SHARED
-NAMED, ENDINGS, PAIRS = 1023, 1024, 4096
-START = NAMED
-CONTEXT = NAMED + 1 + ENDINGS
-FEATURES = 2 * CONTEXT + PAIRS
+SINGLE, FREQUENCY, ENDING = 64, 32, 32
+CLASSES = SINGLE + FREQUENCY + ENDING
+#: Contexts of the word factor: the classes, and the start of a text.
+PLACES = CLASSES + 1
+#: Least and most named tokens (one less) and hashed pairs: they double with every fourfold of a million tokens.
+NAMED, PAIRS, ENDINGS = (1 << 10, 1 << 14), (1 << 12, 1 << 17), 1024
 HEAD = 1 << 20
 END = np.uint64(1)
 BATCH = 4096
 #: Bytes of texts whose tokens are batched together.
 BLOCK = 1 << 20
-RATE = 0.1
-FAN = 32
-PIECE = 512
+#: Rounds of gradient updates, their step, and the weight of each kind of feature at the start.
+ROUNDS, RATE, START_WEIGHTS = 3, 0.6, (0.5, 0.3, 0.3)
+#: Smoothing: tokens' worth of the classes' shares behind every feature, the least preconditioner, tokens' worth behind a word's contexts.
+PRIOR, LEAST, WORD_PRIOR = 10.0, 2.0, 2.0
+WORD_TURNS = 20
+#: Partitions whose sums are added in one task, and numbers of a sum that travel together.
+FAN, PIECE = 32, 1 << 13
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,7 +96,21 @@ class Vocabulary:
     rank: np.ndarray
     total: int
     distinct: int
-    places: np.ndarray  # for each class its occurrences, words and place for the unseen
+    named: int  # ranks under it are named
+    own_class: np.ndarray  # for each named rank its class
+    places: np.ndarray  # for each class of rare words their occurrences, words and a place for the unseen
+
+    @property
+    def pairs(self) -> int:
+        return PAIRS[0] << _doublings(self.total, *PAIRS)
+
+    @property
+    def context(self) -> int:
+        return self.named + 1 + ENDINGS
+
+    @property
+    def features(self) -> int:
+        return 2 * self.context + self.pairs
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts and ranks of tokens; rank -1 where the head lacks one."""
@@ -99,13 +123,31 @@ class Vocabulary:
 
     def short(self) -> Vocabulary:
         """With the named tokens only, as training needs them."""
-        few = self.rank < NAMED
-        return Vocabulary(self.head[few], self.count[few], self.rank[few], self.total, self.distinct, self.places)
+        few = self.rank < self.named
+        return Vocabulary(self.head[few], self.count[few], self.rank[few], self.total, self.distinct, self.named, self.own_class, self.places)
+
+    def classes(self, rank: np.ndarray, ending: np.ndarray) -> np.ndarray:
+        rare = SINGLE + FREQUENCY + ending % ENDING
+        if not len(self.own_class):
+            return rare
+        return np.where((rank >= 0) & (rank < len(self.own_class)), self.own_class[np.clip(rank, 0, len(self.own_class) - 1)], rare)
+
+    def by_rank(self) -> np.ndarray:
+        """The named tokens' counts, plus one each, in order of rank."""
+        few = self.rank < len(self.own_class)
+        out = np.zeros(len(self.own_class))
+        out[self.rank[few]] = self.count[few] + 1.0
+        return out
+
+
+def _doublings(total: int, least: int, most: int) -> int:
+    return min(int(np.log2(most / least)), max(0, (max(total, 1).bit_length() - 20) // 2))
 
 
 def vocabulary(counted: DataFrame, head: int = HEAD) -> Vocabulary:
     """The head is every token from a class of counts on, sixteen classes to a doubling: as many as come to head at most."""
     total, distinct = counted.agg(F.sum("n"), F.count(F.lit(1))).first()
+    total = total or 0
     level = F.floor(F.log2("n") * 16).cast("int")
     least, held = None, 0
     for r in sorted(counted.groupBy(level.alias("level")).count().collect(), reverse=True):
@@ -113,37 +155,38 @@ def vocabulary(counted: DataFrame, head: int = HEAD) -> Vocabulary:
         if held > head:
             break
         least = r.level
-    top = counted.where(level >= least if least is not None else F.lit(False)).select("token", "n").toArrow()
-    h, n = top.column("token").to_numpy(), top.column("n").to_numpy()
+    top = counted.where(level >= least if least is not None else F.lit(False)).select("token", "n", "ending").toArrow()
+    h, n, ending = (top.column(c).to_numpy() for c in ("token", "n", "ending"))
     by_count = np.lexsort((h, -n))
-    h, n = h[by_count], n[by_count]
-    first = h[:SINGLE]
-    h = h.view(np.uint64)
-    order = np.argsort(h)
-    single = [int(x) for x in first]
-    shared = counted.where(~F.col("token").isin(single)) if single else counted
+    h, n, ending = h[by_count].view(np.uint64), n[by_count], ending[by_count]
+    named = (NAMED[0] << _doublings(total, *NAMED)) - 1
+    mass = n[SINGLE:named] + 1.0
+    shared = np.searchsorted(mass.sum() * np.arange(1, FREQUENCY) / FREQUENCY, np.cumsum(mass) - mass / 2)
+    own = np.concatenate([np.arange(min(SINGLE, len(h))), SINGLE + shared]).astype(np.int64)
     places = np.ones(CLASSES)
-    for r in shared.groupBy((F.col("ending") % SHARED).alias("c")).agg(F.sum(F.col("n") + 1).alias("n")).collect():
-        places[SINGLE + r.c] += r.n
-    return Vocabulary(h[order], n[order], order.astype(np.int64), total or 0, distinct, places)
+    for r in counted.groupBy((F.col("ending") % ENDING).alias("c")).agg(F.sum(F.col("n") + 1).alias("n")).collect():
+        places[SINGLE + FREQUENCY + r.c] += r.n
+    np.subtract.at(places, SINGLE + FREQUENCY + ending[:named] % ENDING, n[:named] + 1)
+    order = np.argsort(h)
+    return Vocabulary(h[order], n[order], order.astype(np.int64), total, distinct, named, own, places)
 
 
-def classes(rank: np.ndarray, ending: np.ndarray) -> np.ndarray:
-    return np.where((rank >= 0) & (rank < SINGLE), rank, SINGLE + ending % SHARED)
+def back(own: np.ndarray, at: np.ndarray, start: int) -> np.ndarray:
+    """For each token what stands one and two places before it in its text; start where there is nothing."""
+    out = np.full((2, len(own)), start, np.int64)
+    place = np.arange(len(own)) - np.repeat(at[:-1], np.diff(at))
+    for k in (1, 2):
+        there = place[k:] >= k
+        out[k - 1, k:][there] = own[: max(0, len(own) - k)][there]
+    return out
 
 
-def features(rank: np.ndarray, ending: np.ndarray, at: np.ndarray) -> np.ndarray:
+def features(v: Vocabulary, rank: np.ndarray, ending: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The three feature rows of each token's history."""
-    own = np.where((rank >= 0) & (rank < NAMED), rank, NAMED + 1 + ending % ENDINGS)
-    first, n = at[:-1], len(own)
-    back = np.empty((2, n), np.int64)
-    for k in (1, 2):
-        back[k - 1, k:] = own[: max(0, n - k)]
-        for j in range(k):
-            starts = first[(first + j < at[1:])] + j
-            back[k - 1, starts] = START
-    pair = (mixed((back[0] * CONTEXT + back[1]).astype(np.uint64)) % np.uint64(PAIRS)).astype(np.int64)
-    return np.stack([back[0], CONTEXT + back[1], 2 * CONTEXT + pair])
+    own = np.where((rank >= 0) & (rank < v.named), rank, v.named + 1 + ending % ENDINGS)
+    one, two = back(own, at, v.named)
+    pair = (mixed((one * v.context + two).astype(np.uint64)) % np.uint64(v.pairs)).astype(np.int64)
+    return np.stack([one, v.context + two, 2 * v.context + pair])
 
 
 class Space:
@@ -182,11 +225,11 @@ def chosen_logs(weights: np.ndarray, bias: np.ndarray, f: np.ndarray, y: np.ndar
 
 
 def run_sums(x: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Sums of runs of rows: long runs one by one, short ones together, place by place."""
+    """Sums of runs of rows in double precision: long runs one by one, short ones together, place by place."""
     size = np.diff(np.append(start, len(x)))
-    out = x[start]
+    out = x[start].astype(np.float64)
     for k in np.flatnonzero(size > 16):
-        x[start[k] : start[k] + size[k]].sum(axis=0, out=out[k])
+        x[start[k] : start[k] + size[k]].sum(axis=0, dtype=np.float64, out=out[k])
     short = np.flatnonzero((size > 1) & (size <= 16))
     place = 1
     while len(short):
@@ -196,107 +239,191 @@ def run_sums(x: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
-def step(weights: np.ndarray, squares: np.ndarray, bias: np.ndarray, f: np.ndarray, y: np.ndarray, space: Space) -> None:
-    """One AdaGrad update, in place, from a batch of tokens."""
+def add_gradient(total: np.ndarray, weights: np.ndarray, bias: np.ndarray, f: np.ndarray, y: np.ndarray, space: Space) -> None:
+    """Adds a batch's gradient: for each of its feature rows, the expected less the observed classes."""
     g = space.scores(weights, bias, f)
     np.exp(g, out=g)
     g /= g.sum(axis=1, keepdims=True)
     g[np.arange(len(y)), y] -= 1
     for rows in f:
-        order = np.argsort(rows.astype(np.int16), kind="stable")
+        order = np.argsort(rows, kind="stable")
         row = rows[order]
         start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        total = run_sums(np.take(g, order, axis=0, out=space.t[: len(y)], mode="clip"), start)
-        row = row[start]
-        squares[row] += np.einsum("ij,ij->i", total, total) / CLASSES
-        total *= (RATE / np.sqrt(squares[row] + 1e-8))[:, None]
-        weights[row] -= total
+        total[row[start]] += run_sums(np.take(g, order, axis=0, out=space.t[: len(y)], mode="clip"), start)
 
 
-def train(docs: DataFrame, known: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and bias of the class model after a pass of every partition over its documents."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(known.short())
-    start = class_bias(known)
-    schema = "part long, piece int, weights binary, n long"
-    names = ["part", "piece", "weights", "n"]
+def summed(docs: DataFrame, size: int, fill: Callable[[np.ndarray, np.ndarray, np.ndarray], None], kind: type) -> np.ndarray:
+    """The sum, over all partitions, of ``size`` numbers that fill(numbers, data, offsets) adds each block of texts to.
+
+    Partitions send pieces that are not all zero, as numbers of the given kind; they are added in double precision, up to FAN in a task.
+    """
+    schema, names = "part long, piece int, data binary", ["part", "piece", "data"]
 
-    def emitted(part: int, weights: np.ndarray, n: int) -> pa.RecordBatch:
-        pieces = [weights[a : a + PIECE].tobytes() for a in range(0, FEATURES, PIECE)]
-        return pa.RecordBatch.from_arrays([pa.array([part] * len(pieces), pa.int64()), pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary()), pa.array([n] * len(pieces), pa.int64())], names)
+    def table(part: int, numbers: np.ndarray, pieces: list[int]) -> pa.RecordBatch:
+        data = [numbers[k * PIECE : (k + 1) * PIECE].astype(kind).tobytes() for k in pieces]
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(pieces), pa.int64()), pa.array(pieces, pa.int32()), pa.array(data, pa.binary())], names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, done, part, space = shared.value, 0, 0, Space()
-        weights, squares = np.zeros((FEATURES, CLASSES), np.float32), np.full(FEATURES, 1e-2, np.float32)
+        total, part = np.zeros(size, np.float64 if kind is np.float32 else np.int64), None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            part = batch.column(1)[0].as_py()
-            data, offs = utf8(batch.column(0))
-            for _, _, p, a in blocks(data, offs, BLOCK):
-                h, ending, at = tokens(p, a)
-                _, rank = v.look_up(h)
-                f, y = features(rank, ending, at), classes(rank, ending)
-                for i in range(0, len(y), BATCH):
-                    step(weights, squares, start, f[:, i : i + BATCH], y[i : i + BATCH], space)
-                done += len(y)
-        if done:
-            yield emitted(part, weights, done)
-
-    made = docs.select("text", F.spark_partition_id().cast("long").alias("part")).mapInArrow(work, schema)
-    made = cut(made, "weights")
-    parts = made.agg(F.coalesce(F.max("part"), F.lit(0)) + 1).first()[0]
-
-    def averaged(table: pa.Table) -> pa.Table:
-        total, n = None, 0
-        for w, k in zip(table.column("weights"), table.column("n"), strict=True):
-            x = np.frombuffer(w.as_buffer(), np.float32).astype(np.float64) * k.as_py()
-            total, n = x if total is None else total + x, n + k.as_py()
-        return pa.table([pa.array([table.column("part")[0].as_py()], pa.int64()), pa.array([table.column("piece")[0].as_py()], pa.int32()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], names)
-
+            if batch.num_rows:
+                part = batch.column(1)[0].as_py()
+                data, offs = utf8(batch.column(0))
+                for _, _, p, a in blocks(data, offs, BLOCK):
+                    fill(total, p, a)
+        if part is not None:
+            some = [k for k in range(-(-size // PIECE)) if total[k * PIECE : (k + 1) * PIECE].any()]
+            for i in range(0, len(some), 64):
+                yield table(part, total, some[i : i + 64])
+
+    def added(kept: type) -> Callable[[pa.Table], pa.Table]:
+        def work(rows: pa.Table) -> pa.Table:
+            out = sum(np.frombuffer(x.as_buffer(), kept).astype(np.float64) for x in rows.column("data"))
+            return pa.table([rows.column("part").slice(0, 1), rows.column("piece").slice(0, 1), pa.array([out.tobytes()], pa.binary())], names)
+
+        return work
+
+    part = F.spark_partition_id().cast("long")
+    parts = (docs.select(part.alias("part")).agg(F.max("part")).first()[0] or 0) + 1
+    made, kept = docs.select("text", part.alias("part")).mapInArrow(work, schema), kind
     while True:
-        made = made.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("part", "piece").applyInArrow(averaged, schema)
-        parts = -(-parts // FAN)
+        made = made.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("part", "piece").applyInArrow(added(kept), schema)
+        parts, kept = -(-parts // FAN), np.float64
         if parts <= 1:
             break
-    weights = np.zeros((FEATURES, CLASSES), np.float32)
-    for r in made.select("piece", "weights").collect():
-        x = np.frombuffer(r.weights, np.float32).reshape(-1, CLASSES)
-        weights[r.piece * PIECE : r.piece * PIECE + len(x)] = x
-    return weights, start
-
-
-def class_bias(known: Vocabulary) -> np.ndarray:
-    """The log shares of the classes, from the counts."""
-    n = np.ones(CLASSES)
-    own = known.rank < SINGLE
-    n[known.rank[own]] += known.count[own]
-    n[SINGLE:] = known.places[SINGLE:]
-    return np.log(n / n.sum()).astype(np.float32)
+    out = np.zeros(size)
+    for r in made.select("piece", "data").toLocalIterator():
+        x = np.frombuffer(r["data"], np.float64)
+        out[r.piece * PIECE : r.piece * PIECE + len(x)] = x
+    return out
 
 
-def score(docs: DataFrame, counted: DataFrame, known: Vocabulary, weights: np.ndarray, bias: np.ndarray) -> DataFrame:
+@dataclass
+class Model:
+    """The class factor's weights and bias; the word factor's, by named word beyond the single ones, and its normalisers."""
+
+    weights: np.ndarray
+    bias: np.ndarray
+    before: np.ndarray  # word by class before
+    further: np.ndarray  # word by the class before that
+    share: np.ndarray  # log of each word's count
+    norms: np.ndarray  # frequency class by both contexts, the log of the sum over its words
+
+    def word_logs(self, v: Vocabulary, rank: np.ndarray, y: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The log of the probability of named tokens within their frequency classes, 0 for all others."""
+        out = np.zeros(len(y))
+        mine = np.flatnonzero((y >= SINGLE) & (y < SINGLE + FREQUENCY))
+        w, c, one, two = rank[mine] - SINGLE, y[mine] - SINGLE, k[0, mine], k[1, mine]
+        out[mine] = self.share[w] + self.before[w, one] + self.further[w, two] - self.norms[c, one, two]
+        return out
+
+
+def scaled(words: np.ndarray, one: np.ndarray, two: np.ndarray, both: np.ndarray, turns: int = WORD_TURNS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The word factor of one class by iterative scaling: weights by context before and before that, and log normalisers.
+
+    words: counts that stand for a word without context; one, two: (word, context) counts; both: (context, context) counts of the class.
+    Each turn moves a weight by half the log ratio of observed to expected counts, both with WORD_PRIOR added.
+    """
+    a, b, u = np.zeros(one.shape), np.zeros(two.shape), words[:, None]
+    for _ in range(turns):
+        ea, eb = np.exp(a), np.exp(b)
+        each = both / ((u * ea).T @ eb)
+        expected_one, expected_two = u * ea * (eb @ each.T), u * eb * (ea @ each)
+        a += 0.5 * np.log((one + WORD_PRIOR) / (expected_one + WORD_PRIOR))
+        b += 0.5 * np.log((two + WORD_PRIOR) / (expected_two + WORD_PRIOR))
+    return a, b, np.log((u * np.exp(a)).T @ np.exp(b))
+
+
+def flat(known: Vocabulary) -> Model:
+    """The model before any training: shares by counts alone."""
+    n = known.by_rank()
+    words = n[SINGLE:]
+    mass = np.ones(CLASSES)
+    np.add.at(mass, known.own_class, n)
+    mass[SINGLE + FREQUENCY :] = known.places[SINGLE + FREQUENCY :]
+    inside = np.bincount(known.own_class[SINGLE:] - SINGLE, weights=words, minlength=FREQUENCY) if len(words) else np.zeros(FREQUENCY)
+    norms = np.repeat(np.log(np.maximum(inside, 1.0)), PLACES * PLACES).reshape(FREQUENCY, PLACES, PLACES)
+    none = np.zeros((len(words), PLACES))
+    return Model(np.zeros((known.features, CLASSES), np.float32), np.log(mass / mass.sum()).astype(np.float32), none, none.copy(), np.log(words), norms)
+
+
+def train(docs: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> Model:
+    """The model of all of docs: counts, the word factor from them, and rounds of gradient updates for the class factor."""
+    spark, made = docs.sparkSession, flat(known)
+    if not known.total:
+        return made
+    shared = spark.sparkContext.broadcast(known.short())
+    words, wide = len(made.share), known.features * CLASSES
+    ends = np.cumsum([wide, words * PLACES, words * PLACES, FREQUENCY * PLACES * PLACES])
+
+    def seen(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+        v = shared.value
+        h, ending, at = tokens(data, offs)
+        _, rank = v.look_up(h)
+        return rank, v.classes(rank, ending), features(v, rank, ending, at), at
+
+    def count(total: np.ndarray, data: np.ndarray, offs: np.ndarray) -> None:
+        rank, y, f, at = seen(data, offs)
+        for row in f:
+            np.add.at(total, row * CLASSES + y, 1)
+        mine = np.flatnonzero((y >= SINGLE) & (y < SINGLE + FREQUENCY))
+        one, two = back(y, at, CLASSES)[:, mine]
+        w = (rank[mine] - SINGLE) * PLACES
+        np.add.at(total, ends[0] + w + one, 1)
+        np.add.at(total, ends[1] + w + two, 1)
+        np.add.at(total, ends[2] + ((y[mine] - SINGLE) * PLACES + one) * PLACES + two, 1)
+
+    observed, one, two, both = np.split(summed(docs, int(ends[-1]), count, np.int32), ends[:-1])
+    observed, one, two, both = observed.reshape(-1, CLASSES), one.reshape(-1, PLACES), two.reshape(-1, PLACES), both.reshape(FREQUENCY, PLACES, PLACES)
+    for c in range(FREQUENCY):
+        of = np.flatnonzero(known.own_class[SINGLE:] == SINGLE + c)
+        if len(of):
+            made.before[of], made.further[of], made.norms[c] = scaled(np.exp(made.share[of]), one[of], two[of], both[c])
+    share = np.exp(made.bias.astype(np.float64))
+    smooth = observed + PRIOR * share
+    kinds = np.repeat(START_WEIGHTS, [known.context, known.context, known.pairs])[:, None]
+    weights = (kinds * np.log(smooth / ((observed.sum(axis=1, keepdims=True) + PRIOR) * share))).astype(np.float32)
+    for turn in range(rounds):
+        now = spark.sparkContext.broadcast(weights)
+
+        def gradient(total: np.ndarray, data: np.ndarray, offs: np.ndarray, now=now, space=[]) -> None:  # noqa: B006
+            if not space:
+                space.append(Space())
+            _, y, f, _ = seen(data, offs)
+            total = total.reshape(-1, CLASSES)
+            for i in range(0, len(y), BATCH):
+                add_gradient(total, now.value, made.bias, f[:, i : i + BATCH], y[i : i + BATCH], space[0])
+
+        mine = docs.where(F.pmod(F.xxhash64(F.lit("round"), "doc_id", "text"), F.lit(rounds)) == turn)
+        total = summed(mine, wide, gradient, np.float32).reshape(-1, CLASSES)
+        weights = (weights - np.clip(RATE * total / (smooth / rounds + LEAST), -1, 1)).astype(np.float32)
+        now.unpersist()
+    made.weights = weights
+    return made
+
+
+def score(docs: DataFrame, counted: DataFrame, known: Vocabulary, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score for each row."""
-    shared = docs.sparkSession.sparkContext.broadcast((known, weights, bias))
+    shared = docs.sparkSession.sparkContext.broadcast((known, model))
     names = ["row", "doc_id", "n_tokens", "n_known", "plain", "model", "rare"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, w, b = shared.value
+        v, m = shared.value
         inside, space = np.log10(v.places), Space()
         for batch in batches:
             data, offs = utf8(batch.column(2))
             for lo, hi, p, a in blocks(data, offs, BLOCK):
                 h, ending, at = tokens(p, a)
                 n, rank = v.look_up(h)
-                y, f, first = classes(rank, ending), features(rank, ending, at), at[:-1]
-                chosen = chosen_logs(w, b, f, y, space)
+                y, f, first = v.classes(rank, ending), features(v, rank, ending, at), at[:-1]
                 plain = np.log10(n + 1.0)
-                model = chosen / np.log(10) + np.where(y < SINGLE, 0.0, plain - inside[y])
+                logs = chosen_logs(m.weights, m.bias, f, y, space) + m.word_logs(v, rank, y, back(y, at, CLASSES))
+                logs = logs / np.log(10) + np.where(y < SINGLE + FREQUENCY, 0.0, plain - inside[y])
                 far = rank < 0
                 ends = np.concatenate([[0], np.cumsum(np.add.reduceat(far.astype(np.int64), first))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(at).astype(np.int64)), pa.array(np.add.reduceat((n > 0).astype(np.int64), first)),
-                    pa.array(np.add.reduceat(plain, first)), pa.array(np.add.reduceat(model, first)), pa.ListArray.from_arrays(pa.array(ends), pa.array(h[far].view(np.int64)))], names)
+                    pa.array(np.add.reduceat(plain, first)), pa.array(np.add.reduceat(logs, first)), pa.ListArray.from_arrays(pa.array(ends), pa.array(h[far].view(np.int64)))], names)
 
     local = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     local = cut(local.mapInArrow(work, "row long, doc_id long, n_tokens long, n_known long, plain double, model double, rare array<long>"), "scored")
@@ -314,8 +441,7 @@ def scored(docs: DataFrame, learnable: Column) -> DataFrame:
     learn = docs.where(F.coalesce(learnable, F.lit(False)))
     counted = cut(counts(learn), "counts")
     known = vocabulary(counted)
-    weights, bias = train(learn, known)
-    return score(docs, counted, known, weights, bias)
+    return score(docs, counted, known, train(learn, known))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -523,35 +523,151 @@ def test_language_model_base_and_gain(spark):
     assert held.score.sum() > held.base_score.sum() + 0.1 * held.n_tokens.sum()
 
 
+def small_corpus(spark, path, n=40):
+    rng = random.Random(1)
+    words = [f"{a}{b}{c}" for a in "abcdefghijkl" for b in ("x", "yy", "zzz", "w", "vu", "tsr", "q") for c in ("", "o", "no")]
+    return written(spark, path, [(i, " ".join(rng.choices(words, [1 + k * k for k in range(len(words))], k=rng.randrange(0, 120))), "en", "s") for i in range(n)])
+
+
 def test_language_model_is_a_distribution(spark, tmp_path):
     """After any history the probabilities of all known words and of one unseen word of each class add up to 1."""
-    rng = random.Random(1)
-    words = [f"{a}{b}" for a in "abcdefghij" for b in ("x", "yy", "zzz")]
-    sf = written(spark, tmp_path, [(i, " ".join(rng.choices(words, range(1, 31), k=50)), "en", "s") for i in range(40)])
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = spark.read.parquet(f"{small_corpus(spark, tmp_path)}/documents.parquet")
     counted = common.cut(lm.counts(docs), "counts")
     known = lm.vocabulary(counted)
-    weights, bias = lm.train(docs, known)
-    shares = np.exp(lm.log_shares(weights, bias, np.array([[5], [lm.CONTEXT + 3], [2 * lm.CONTEXT + 7]])))[0]
-    assert shares.sum() == pytest.approx(1, abs=1e-5)
-    ending = dict(zip(*map(list, zip(*[(r.token % 2**64, r.ending) for r in counted.collect()], strict=True)), strict=True))
-    inside = np.zeros(lm.CLASSES)
-    inside[lm.SINGLE :] = 1 / known.places[lm.SINGLE :]
-    for h, n, rank in zip(known.head.tolist(), known.count, known.rank, strict=True):
-        c = lm.classes(np.array([rank]), np.array([ending[h]]))[0]
-        inside[c] += 1 if c < lm.SINGLE else (n + 1) / known.places[c]
-    assert inside[inside > 0] == pytest.approx(np.ones((inside > 0).sum()))
-
-
-def test_rare_words_are_joined(spark, monkeypatch):
+    known.own_class, known.named = known.own_class[:150], 150  # so that there are rare words
+    full = {r.token % 2**64: (r.n, r.ending) for r in counted.collect()}
+    rank = dict(zip(known.head.tolist(), known.rank.tolist(), strict=True))
+    known.places = np.ones(lm.CLASSES)
+    for h, (n, ending) in full.items():
+        if rank[h] >= 150:
+            known.places[lm.SINGLE + lm.FREQUENCY + ending % lm.ENDING] += n + 1
+    model = lm.train(docs, known)
+    assert np.abs(model.before).max() > 0.01 and np.abs(model.weights).max() > 0.01
+    for f, one, two in (((5, 3, 7), 2, 9), ((known.named, known.named, 11), lm.CLASSES, lm.CLASSES), ((70, 1, 900), 70, 3)):
+        rows = np.array([[f[0]], [known.context + f[1]], [2 * known.context + f[2]]])
+        shares = np.exp(lm.log_shares(model.weights, model.bias, rows))[0]
+        total = 0.0
+        for h, (n, ending) in full.items():
+            r, e = np.array([rank[h]]), np.array([ending])
+            c = known.classes(r, e)
+            word = np.exp(model.word_logs(known, r, c, np.array([[one], [two]])))[0] if c[0] < lm.SINGLE + lm.FREQUENCY else (n + 1) / known.places[c[0]]
+            total += shares[c[0]] * word
+        # one unseen word of each class of rare ones; classes that no word is in have what is left
+        rare = np.arange(lm.SINGLE + lm.FREQUENCY, lm.CLASSES)
+        total += (shares[rare] / known.places[rare]).sum()
+        held = {int(known.classes(np.array([rank[h]]), np.array([e]))[0]) for h, (_, e) in full.items()} | set(rare.tolist())
+        assert total == pytest.approx(sum(shares[c] for c in held), abs=1e-5) and shares.sum() == pytest.approx(1, abs=1e-5)
+
+
+def plain_scores(texts, learn, known, rounds):
+    """The model of a small table from its definition: dictionaries, one token at a time, no batches. Ranks and classes are given."""
+    h_of = lambda w: int(common.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0])
+    rank = dict(zip(known.head.tolist(), known.rank.tolist(), strict=True))
+    docs = {}
+    for i, t in texts.items():
+        h, ending, _ = lm.tokens(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+        assert h.tolist() == [*(h_of(w) for w in WORD.findall(low(t))), int(lm.END)]
+        docs[i] = [(rank.get(x, -1), int(e)) for x, e in zip(h.tolist(), ending.tolist(), strict=True)]
+    cls = lambda r, e: int(known.own_class[r]) if 0 <= r < len(known.own_class) else lm.SINGLE + lm.FREQUENCY + e % lm.ENDING
+    own = lambda r, e: r if 0 <= r < known.named else known.named + 1 + e % lm.ENDINGS
+
+    def events(i):
+        d = docs[i]
+        for k, (r, e) in enumerate(d):
+            one, two = (own(*d[k - j]) if k >= j else known.named for j in (1, 2))
+            pair = int(common.mixed(np.array([one * known.context + two], np.uint64))[0] % np.uint64(known.pairs))
+            yield r, e, cls(r, e), (one, known.context + two, 2 * known.context + pair), tuple(cls(*d[k - j]) if k >= j else lm.CLASSES for j in (1, 2))
+
+    seen, one, two, both = Counter(), Counter(), Counter(), Counter()
+    for i in learn:
+        for r, _, c, f, k in events(i):
+            seen.update((x, c) for x in f)
+            if lm.SINGLE <= c < lm.SINGLE + lm.FREQUENCY:
+                one[r, k[0]] += 1
+                two[r, k[1]] += 1
+                both[c, *k] += 1
+    count = {r: n + 1.0 for r, n in zip(known.rank.tolist(), known.count.tolist(), strict=True)}
+    mass = np.ones(lm.CLASSES)
+    for r, n in count.items():
+        if r < len(known.own_class):
+            mass[known.own_class[r]] += n
+    mass[lm.SINGLE + lm.FREQUENCY :] = known.places[lm.SINGLE + lm.FREQUENCY :]
+    share = mass / mass.sum()
+    a, b = defaultdict(float), defaultdict(float)
+    members = defaultdict(list)
+    for r in range(lm.SINGLE, len(known.own_class)):
+        members[int(known.own_class[r])].append(r)
+    word = lambda r, k: count[r] * math.exp(a[r, k[0]] + b[r, k[1]])
+    for _ in range(lm.WORD_TURNS):
+        expected_one, expected_two = Counter(), Counter()
+        for (c, *k), n in both.items():
+            z = sum(word(r, k) for r in members[c])
+            for r in members[c]:
+                expected_one[r, k[0]] += n * word(r, k) / z
+                expected_two[r, k[1]] += n * word(r, k) / z
+        for r in range(lm.SINGLE, len(known.own_class)):
+            for k in range(lm.PLACES):
+                a[r, k] += 0.5 * math.log((one[r, k] + lm.WORD_PRIOR) / (expected_one[r, k] + lm.WORD_PRIOR))
+                b[r, k] += 0.5 * math.log((two[r, k] + lm.WORD_PRIOR) / (expected_two[r, k] + lm.WORD_PRIOR))
+    weights, rows = {}, {x for i in texts for *_, f, _ in events(i) for x in f}
+    totals = Counter()
+    for (x, _), n in seen.items():
+        totals[x] += n
+    observed = {x: np.array([seen[x, c] for c in range(lm.CLASSES)], float) for x in rows}
+    for x in rows:
+        kind = lm.START_WEIGHTS[0 if x < known.context else 1 if x < 2 * known.context else 2]
+        weights[x] = kind * np.log((observed[x] + lm.PRIOR * share) / ((totals[x] + lm.PRIOR) * share))
+    logs = lambda f: (lambda z: z - np.log(np.exp(z).sum()))(np.log(share) + sum(weights[x] for x in f))
+    for turn in range(lm.ROUNDS):
+        g = defaultdict(lambda: np.zeros(lm.CLASSES))
+        for i in learn:
+            if rounds[i] == turn:
+                for _, _, c, f, _ in events(i):
+                    p = np.exp(logs(f))
+                    p[c] -= 1
+                    for x in f:
+                        g[x] += p
+        for x, total in g.items():
+            weights[x] = weights[x] - np.clip(lm.RATE * total / ((observed[x] + lm.PRIOR * share) / lm.ROUNDS + lm.LEAST), -1, 1)
+    out = {}
+    for i in texts:
+        score = 0.0
+        for r, _, c, f, k in events(i):
+            score += logs(f)[c]
+            if lm.SINGLE <= c < lm.SINGLE + lm.FREQUENCY:
+                score += math.log(word(r, k) / sum(word(x, k) for x in members[c]))
+            elif c >= lm.SINGLE + lm.FREQUENCY:
+                score += math.log(count.get(r, 1.0) / known.places[c])
+        out[i] = score / math.log(10)
+    return out
+
+
+def test_language_model_against_a_plain_one(spark, tmp_path):
+    docs = spark.read.parquet(f"{small_corpus(spark, tmp_path, 25)}/documents.parquet").select("doc_id", "text")
+    learnable = F.col("doc_id") % 5 != 0
+    turns = {r.doc_id: r.turn for r in docs.select("doc_id", F.pmod(F.xxhash64(F.lit("round"), "doc_id", "text"), F.lit(lm.ROUNDS)).alias("turn")).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.score for r in lm.scored(docs, learnable).collect()}
+    known = lm.vocabulary(common.cut(lm.counts(docs.where(learnable)), "counts"))
+    want = plain_scores(texts, [i for i in texts if i % 5], known, turns)
+    assert got == {i: pytest.approx(x, rel=1e-5, abs=1e-5) for i, x in want.items()}
+
+
+def test_language_model_does_not_depend_on_the_split(spark):
+    docs = common.read(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    learnable = F.col("doc_id") % 7 != 2
+    scores = [{r.doc_id: r.score for r in lm.scored(docs.repartition(n, "doc_id"), learnable).collect()} for n in (2, 40)]
+    assert scores[0] == {i: pytest.approx(x, rel=1e-6) for i, x in scores[1].items()}
+
+
+def test_rare_words_are_joined(spark):
     """A head of a few words gives the same base scores as one that holds all."""
     docs = common.read(spark, SF, "documents").limit(200)
     counted = common.cut(lm.counts(docs), "counts")
     scores = []
     for head in (50, 1 << 20):
         known = lm.vocabulary(counted, head)
-        zero = np.zeros((lm.FEATURES, lm.CLASSES), np.float32)
-        scores.append({r.doc_id: (r.n_known, round(r.base_score, 6)) for r in lm.score(docs, counted, known, zero, lm.class_bias(known)).collect()})
+        scores.append({r.doc_id: (r.n_known, round(r.base_score, 6)) for r in lm.score(docs, counted, known, lm.flat(known)).collect()})
     assert scores[0] == scores[1]
 
 
