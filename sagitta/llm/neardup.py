@@ -40,7 +40,7 @@ FEW = 0.1
 #: Up to so many ids, a set of ids is sent to all executors; beyond, the join is a shuffle.
 BROADCAST_ROWS = 500_000
 #: Nodes of a bucket that are compared with one another in one task, about.
-BLOCK_NODES = 256
+BLOCK_NODES = 1024
 
 _rng = np.random.default_rng(20)
 MULTIPLIERS = _rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -214,8 +214,8 @@ def block_pairs(live: DataFrame, block_nodes: int = BLOCK_NODES) -> tuple[DataFr
 def across(live: DataFrame, nodes: DataFrame, docs: DataFrame, origin: DataFrame, least: int) -> DataFrame:
     """All links (u, v) between different parts of one bucket of live.
 
-    The joins' own conditions judge a pair, so none is a row that is no link. Nodes without any pair that the sketches let pass,
-    at the first band that both share, are left out before sets are fetched.
+    The joins' own conditions judge a pair, so none is a row that is no link, and a link is one at the first band that both
+    share. Nodes without any pair that the sketches let pass are left out before sets are fetched.
     """
     same = lambda u, v: (u["bucket"] == v["bucket"]) & (u["i"] == v["i"]) & (u["j"] == v["j"])
     # within a block each pair is met from both sides
@@ -226,20 +226,17 @@ def across(live: DataFrame, nodes: DataFrame, docs: DataFrame, origin: DataFrame
         u, v = block_pairs(rows)
         return u.withColumns({"i_": F.col("i"), "j_": F.col("j")}), v
 
-    known = cut(live.join(nodes.select("node", "bands"), "node"), "known")
-    u, v = sides(known)
-    passes = F.when(cheap, first).otherwise(False)
-    open_ = u.join(v, same(u, v) & passes, "left_semi").select(F.col("u_node").alias("node")).union(v.join(u, same(u, v) & passes, "left_semi").select(F.col("v_node").alias("node")))
+    u, v = sides(live)
+    open_ = u.join(v, same(u, v) & cheap, "left_semi").select(F.col("u_node").alias("node")).union(v.join(u, same(u, v) & cheap, "left_semi").select(F.col("v_node").alias("node")))
     open_ = cut(open_.distinct(), "open")
     n = open_.count()
     if not n:
-        done(known, open_)
         return open_.select(F.col("node").alias("u"), F.col("node").alias("v"))
     members = full_sets(open_, docs, origin)
-    u, v = sides(known.join(sent(open_, n), "node", "left_semi").join(members, "node"))
+    u, v = sides(live.join(members, "node").join(nodes.select("node", "bands"), "node"))
     link = F.when(~cheap, False).when(~first, False).otherwise(_linked("u_members", "v_members", least))
     links = cut(u.join(v, same(u, v) & link).select(F.col("u_node").alias("u"), F.col("v_node").alias("v")), "links")
-    done(known, open_, members)
+    done(open_, members)
     return links
 
 
