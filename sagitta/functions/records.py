@@ -91,6 +91,33 @@ def errors(id_: Column, vector: Column, metadata: Column, dim: int | None = None
     return F.filter(F.array(*(F.when(test, F.lit(name)) for name, test in tests.items())), lambda x: x.isNotNull())
 
 
+def metadata_errors(payload: Column) -> Column:
+    """What makes metadata of any JSON (a variant) invalid, an array of names; empty for a valid one, or none.
+
+    A text may have MOST_TEXT_BYTES, an array MOST_ELEMENTS, an object MOST_KEYS, whose names are checked too, and the whole MOST_METADATA_BYTES as JSON.
+    """
+    fields = F.try_variant_get(payload, "$", "map<string,variant>")
+    values = F.map_values(fields)
+    items = lambda v: F.coalesce(F.size(F.try_variant_get(v, "$", "array<variant>")), F.lit(0))
+    inner = lambda v: F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+    kind = lambda v, k: F.schema_of_variant(v).startswith(k)
+    bad = lambda k: ~k.rlike(KEY)
+    tests = {
+        "no object": ~F.schema_of_variant(payload).startswith("OBJECT") & ~F.is_variant_null(payload),
+        "bad key": F.exists(F.map_keys(fields), bad) | F.exists(values, lambda v: kind(v, "OBJECT") & F.exists(inner(v), bad)),
+        "many keys": (F.size(fields) > MOST_KEYS) | F.exists(values, lambda v: kind(v, "OBJECT") & (F.size(inner(v)) > MOST_KEYS)),
+        "long text": F.exists(values, lambda v: kind(v, "STRING") & (F.octet_length(F.try_variant_get(v, "$", "string")) > MOST_TEXT_BYTES)),
+        "long array": F.exists(values, lambda v: kind(v, "ARRAY") & (items(v) > MOST_ELEMENTS)),
+        "large metadata": json_size(payload) > MOST_METADATA_BYTES,
+    }
+    return F.filter(F.array(*(F.when(test, F.lit(name)) for name, test in tests.items())), lambda x: x.isNotNull())
+
+
+def json_size(payload: Column) -> Column:
+    """The bytes of a variant as compact JSON."""
+    return F.octet_length(F.to_json(payload))
+
+
 def warnings(vector: Column) -> Column:
     """zero, tiny or huge by magnitude; null for an ordinary vector."""
     size = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))

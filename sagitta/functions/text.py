@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sagitta.operators import ordering
+
 # The words and patterns of each intent, tried in this order.
 DEFINITIONAL = ["what is", "what are", "define", "definition of", "meaning of"]
 PROCEDURAL = ["how to", "how do", "steps", "guide", "tutorial", "process", "procedure"]
@@ -100,6 +102,17 @@ def document_entities(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?<!\S)(\p{Lu}\S*(?:\s+\p{Lu}\S*)*)"), F.lit(1))
 
 
+def context(rows: DataFrame, by: str, order: str, before: int = 1, after: int = 1) -> DataFrame:
+    """rows with arrays before and after: what stands in the order column that many rows around, nearest last and first.
+
+    The rows of a by are worked on in blocks, each with its neighbours' ends.
+    """
+    at = ordering.blocks(rows, [by], [order], before, after)
+    along = Window.partitionBy(by, "_block").orderBy("_no")
+    found = at.withColumns({"before": F.collect_list(order).over(along.rowsBetween(-before, -1)), "after": F.collect_list(order).over(along.rowsBetween(1, after))})
+    return found.where("not _guest").drop("_block", "_guest", "_no")
+
+
 def is_multi_hop(text: Column) -> Column:
     return _any(F.lower(text), MULTI_HOP, False) | (F.size(query_entities(text)) > 2)
 

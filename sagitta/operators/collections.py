@@ -1,7 +1,8 @@
 """Collections of points in Parquet: a catalog, upserts, deletes, reads, compaction and snapshots.
 
-A collection is a folder: config.json, the versions of its data, and current.json, which names the version in force. A
-change writes a new version and then moves the pointer, so readers see all of a change or nothing of it. Ids are whole
+A collection is a folder: config.json, runs of data, and current.json, which names the runs in force, oldest first. A change writes
+one run, of the rows that it adds or of tombstones, and then moves the pointer, so readers see all of a change or nothing of it and a small
+change is a small write. Readers merge the runs; when there are ``MOST_RUNS`` of them a change merges them into one. Ids are whole
 numbers; of several rows with one id in a batch the last one counts; a payload is a JSON text.
 """
 
@@ -17,12 +18,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sagitta.operators import filters, search
+from sagitta.operators import filters, ordering, search
 from sagitta.sources import files
 
 SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("payload", T.StringType())])
 NAME = re.compile(r"^[A-Za-z0-9_-]{1,255}$")
+RUN = T.StructType([*SCHEMA, T.StructField("deleted", T.BooleanType())])
 MOST_DIM = 65_536
+#: Runs that readers merge, at most; beyond, a change rewrites them as one.
+MOST_RUNS = 8
 
 
 def check_name(name: str) -> None:
@@ -74,23 +78,43 @@ class Collection:
         self.spark, self.path = spark, path
         self.config = json.loads(files.read_text(spark, f"{path}/config.json"))
 
+    def _current(self) -> dict:
+        return json.loads(files.read_text(self.spark, f"{self.path}/current.json"))
+
     @property
     def version(self) -> str | None:
-        return json.loads(files.read_text(self.spark, f"{self.path}/current.json"))["version"]
+        """A name of the state in force: the last run's."""
+        runs = self._current()["runs"]
+        return runs[-1] if runs else None
+
+    def _rows(self) -> DataFrame:
+        """id, vector and payload (a text) of all points."""
+        runs = self._current()["runs"]
+        if not runs:
+            return self.spark.createDataFrame([], SCHEMA)
+        read = [self.spark.read.schema(RUN).parquet(f"{self.path}/data/{r}") for r in runs]
+        # the first run has one row an id and no tombstones
+        return (read[0] if len(runs) == 1 else compacted(read)).select("id", "vector", "payload")
 
     def points(self) -> DataFrame:
         """id, vector and payload (a variant) of all points."""
-        version = self.version
-        rows = self.spark.createDataFrame([], SCHEMA) if version is None else self.spark.read.schema(SCHEMA).parquet(f"{self.path}/data/{version}")
-        return rows.withColumn("payload", F.parse_json("payload"))
-
-    def _stored(self) -> DataFrame:
-        return self.points().withColumn("payload", F.to_json("payload"))
-
-    def _write(self, rows: DataFrame) -> None:
-        version = uuid.uuid4().hex
-        rows.select(*(F.col(f.name).cast(f.dataType) for f in SCHEMA)).write.parquet(f"{self.path}/data/{version}")
-        files.write_text(self.spark, f"{self.path}/current.json", json.dumps({"version": version}))
+        return self._rows().withColumn("payload", F.parse_json("payload"))
+
+    def _write(self, rows: DataFrame, over: bool = True) -> None:
+        """Writes a run and puts it into force: over the ones there are, or in their place."""
+        now = self._current()
+        runs = now["runs"] if over else []
+        if len(runs) >= MOST_RUNS:
+            read = [self.spark.read.schema(RUN).parquet(f"{self.path}/data/{r}") for r in runs]
+            rows, runs = compacted([*read, self._run(rows)]), []
+        name = uuid.uuid4().hex
+        self._run(rows).write.parquet(f"{self.path}/data/{name}")
+        files.write_text(self.spark, f"{self.path}/current.json", json.dumps({"runs": [*runs, name], "past": [now["runs"], *now.get("past", [])][:MOST_RUNS]}))
+
+    def _run(self, rows: DataFrame) -> DataFrame:
+        if "deleted" not in rows.columns:
+            rows = rows.withColumn("deleted", F.lit(False))
+        return rows.select(*(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in RUN))
 
     def check(self, rows: DataFrame) -> None:
         """Raises if any row has no id, a vector of another dimension or a component that is not finite."""
@@ -106,21 +130,22 @@ class Collection:
         if "payload" not in rows.columns:
             rows = rows.withColumn("payload", F.lit(None).cast("string"))
         self.check(rows)
-        new = latest(rows.select("id", "vector", "payload", order), "id", order).drop(order)
-        self._write(upserted(self._stored(), new))
+        self._write(latest(rows.select("id", "vector", "payload", order), "id", order).drop(order))
 
     def append(self, rows: DataFrame) -> None:
         """Writes points without ids: they get the ones after the highest."""
-        top = self.points().agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
-        ranked = rows.rdd.zipWithIndex().map(lambda r: (r[1] + top + 1, *r[0])).toDF("id long, " + ", ".join(f"{n} {t}" for n, t in rows.dtypes))
-        self.upsert(ranked)
+        top = self._rows().agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
+        self.upsert(ordering.placed(rows, "id").withColumn("id", F.col("id") + top + 1))
 
     def delete(self, ids: list[int] | None = None, condition: filters.Condition | None = None) -> None:
         """Deletes by ids or by a condition; what no id or condition names stays."""
+        gone = None
         if ids is not None:
-            self._write(deleted(self._stored(), self.spark.createDataFrame([(i,) for i in ids], "id long")))
+            gone = self.spark.createDataFrame([(i,) for i in set(ids)], "id long")
         elif condition is not None:
-            self._write(self.points().where(~condition.column(F.col("payload"))).withColumn("payload", F.to_json("payload")))
+            gone = self.points().where(condition.column(F.col("payload"))).select("id")
+        if gone is not None and self._current()["runs"]:
+            self._write(gone.withColumn("deleted", F.lit(True)))
 
     def get(self, point_id: int) -> DataFrame:
         return self.points().where(F.col("id") == point_id)
@@ -146,11 +171,13 @@ class Collection:
         return search.retrieve(self.points(), ids)
 
     def compact(self, keep: int = 1) -> None:
-        """Rewrites the data in force and removes versions that are no longer named, but for the latest keep - 1."""
-        self._write(self._stored())
-        now = self.version
-        for old in [v for v in files.names(self.spark, f"{self.path}/data") if v != now][: -(keep - 1) or None]:
-            files.delete(self.spark, f"{self.path}/data/{old}")
+        """Rewrites the data in force as one run and removes runs that neither it nor the latest keep - 1 states before it name."""
+        self._write(self._rows(), over=False)
+        now = self._current()
+        needed = {r for runs in [now["runs"], *now["past"][: keep - 1]] for r in runs}
+        for old in files.names(self.spark, f"{self.path}/data"):
+            if old not in needed:
+                files.delete(self.spark, f"{self.path}/data/{old}")
 
     # snapshots
 
@@ -163,7 +190,7 @@ class Collection:
         """Writes a snapshot; since: only points that are new or changed, and tombstones, against that snapshot."""
         name = name or f"snapshot-{time.time_ns():020d}"
         check_name(name)
-        rows, at = self._stored().withColumn("deleted", F.lit(False)), f"{self.path}/snapshots/{name}"
+        rows, at = self._rows().withColumn("deleted", F.lit(False)), f"{self.path}/snapshots/{name}"
         if since:
             before = self._restored(since)
             changed = rows.join(before.select("id", F.xxhash64("vector", "payload").alias("_was")), "id", "left").where(~F.col("_was").eqNullSafe(F.xxhash64("vector", "payload"))).drop("_was")
@@ -191,7 +218,7 @@ class Collection:
         return compacted(chain[::-1]).drop("deleted")
 
     def restore(self, name: str) -> None:
-        self._write(self._restored(name))
+        self._write(self._restored(name), over=False)
 
     def snapshots(self) -> list[dict]:
         return [self._meta(n) for n in files.names(self.spark, f"{self.path}/snapshots")]
@@ -226,7 +253,7 @@ class Catalog:
         if self.exists(name):
             raise ValueError(f"there is a collection {name}")
         at = f"{self.path}/{name}"
-        files.write_text(self.spark, f"{at}/current.json", json.dumps({"version": None}))
+        files.write_text(self.spark, f"{at}/current.json", json.dumps({"runs": []}))
         files.write_text(self.spark, f"{at}/config.json", json.dumps(schema | {"name": name, "dim": dim, "metric": metric}))
         return Collection(self.spark, at)
 

@@ -7,12 +7,15 @@ ranks of distinct values and running counts, not from lists of all values.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sagitta.operators import ordering
+
 # Upper bounds of latency classes, in seconds.
 BOUNDS = [0.001, 0.002, 0.003, 0.005, 0.01, 0.015, 0.02, 0.03, 0.05, 0.075, 0.1, 0.15, 0.2, 0.3, 0.5, 0.75, 1.0, 2.0, 5.0, 10.0]
 
@@ -20,22 +23,28 @@ BOUNDS = [0.001, 0.002, 0.003, 0.005, 0.01, 0.015, 0.02, 0.03, 0.05, 0.075, 0.1,
 def statistics(rows: DataFrame, value: str, by: Iterable[str] = (), quantiles: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """count, min, max, mean, and for each quantile q a column p<100 q> (median is p50), for each group.
 
-    Equal values are counted first, so the windows run over distinct values; nulls do not count.
+    Equal values are counted first and running counts go over ranges of values, so no task has all of a group; nulls do not count.
     """
     by = list(by)
     tallied = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    along = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = tallied.withColumn("_end", F.sum("_n").over(along)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
+    placed = ordering.running(tallied, by, ["_v"], {"_end": F.col("_n")})
+    totals = tallied.groupBy(*by).agg(F.sum("_n").alias("_all")).select(*(F.col(b).alias(f"_t{k}") for k, b in enumerate(by)), "_all")
+    same = reduce(lambda a, b: a & b, (F.col(b).eqNullSafe(F.col(f"_t{k}")) for k, b in enumerate(by)), F.lit(True))
+    placed = placed.join(totals, same) if by else placed.join(F.broadcast(totals))  # one row
     at = [F.min(F.when(F.col("_end") > F.least(F.floor(F.col("_all") * q), F.col("_all") - 1), F.col("_v"))).alias(f"p{q * 100:g}".replace(".", "_")) for q in quantiles]
     return placed.groupBy(*by).agg(F.sum("_n").alias("count"), F.min("_v").alias("min"), F.max("_v").alias("max"), (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean"), *at)
 
 
 def rolling_quantile(rows: DataFrame, value: str, order: list[str], by: str, size: int = 1000, q: float = 0.95) -> DataFrame:
-    """rows with a column rolling: the quantile over the last size rows of the same by, the row's own included."""
-    window = Window.partitionBy(by).orderBy(*order).rowsBetween(-(size - 1), 0)
+    """rows with a column rolling: the quantile over the last size rows of the same by, the row's own included.
+
+    The rows of a by are worked on in blocks, each with the size - 1 rows before it.
+    """
+    window = Window.partitionBy(by, "_block").orderBy("_no").rowsBetween(-(size - 1), 0)
     values = F.sort_array(F.collect_list(value).over(window))
     n = F.size(values)
-    return rows.withColumn("rolling", F.get(values, F.least(F.floor(n * q).cast("int"), n - 1)))
+    found = ordering.blocks(rows, [by], order, size - 1).withColumn("rolling", F.get(values, F.least(F.floor(n * q).cast("int"), n - 1)))
+    return found.where("not _guest").drop("_block", "_guest", "_no")
 
 
 def rates(rows: DataFrame, by: str, failed: Column, succeeded: Column) -> DataFrame:
@@ -85,13 +94,20 @@ def overlapping(rows: DataFrame, by: str, start: str, end: str) -> DataFrame:
     return grouped.groupBy(by, "_group").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("_group")
 
 
-def window_rate(rows: DataFrame, time: str, value: str, by: str, seconds: int) -> DataFrame:
-    """rows with a column rate: the growth of value from the first to this row of the last so many seconds, a second."""
+def window_rate(rows: DataFrame, time: str, value: str, by: str, seconds: int, most: int | None = None) -> DataFrame:
+    """rows with a column rate: the growth of value from the first to this row of the last so many seconds, a second.
+
+    most: of the last so many rows, this one included, if these are fewer.
+    """
     rows = rows.withColumn("_at", F.unix_micros(F.col(time).cast("timestamp")))
-    window = Window.partitionBy(by).orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
-    first = F.min(F.struct("_at", value)).over(window)
-    elapsed = (F.col("_at") - first["_at"]) / 1e6
-    return rows.withColumn("rate", F.when(elapsed > 0, (F.col(value) - first[value]) / elapsed).otherwise(0.0)).drop("_at")
+    along = Window.partitionBy(by).orderBy("_at")
+    first = F.min(F.struct("_at", value)).over(along.rangeBetween(-seconds * 1_000_000, 0))
+    if most:
+        held = F.min(F.struct("_at", value)).over(Window.partitionBy(by).orderBy("_at", value).rowsBetween(-(most - 1), 0))
+        first = F.greatest(first, held)
+    found = rows.withColumn("_first", first)
+    elapsed = (F.col("_at") - F.col("_first._at")) / 1e6
+    return found.withColumn("rate", F.when(elapsed > 0, (F.col(value) - F.col(f"_first.{value}")) / elapsed).otherwise(0.0)).drop("_at", "_first")
 
 
 def out_of_order(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
@@ -99,9 +115,14 @@ def out_of_order(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
     return rows.withColumn("before", F.lag(value).over(Window.partitionBy(by).orderBy(order))).where(F.col(value) < F.col("before"))
 
 
-def sequences(rows: DataFrame, process: str, time: str, op: str) -> DataFrame:
-    """For each process its number of operations and their ids in order of time."""
-    return rows.groupBy(process).agg(F.count(F.lit(1)).alias("count"), F.transform(F.sort_array(F.collect_list(F.struct(time, op))), lambda s: s[op]).alias("ops"))
+def sequences(rows: DataFrame, process: str, time: str, op: str, block: int = 10_000) -> DataFrame:
+    """For each process its operations in order of time, in blocks: no (from 0), first number, count and their ids.
+
+    A process of any number of operations has as many rows as it needs.
+    """
+    at = ordering.numbered(rows, [process], [time, op], "_no").withColumn("no", F.floor((F.col("_no") - 1) / block))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("_no", op))), lambda s: s[op])
+    return at.groupBy(process, "no").agg(F.min("_no").alias("first"), F.count(F.lit(1)).alias("count"), listed.alias("ops"))
 
 
 def distribution(rows: DataFrame, node: Column) -> DataFrame:
@@ -110,14 +131,19 @@ def distribution(rows: DataFrame, node: Column) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("nodes"), F.min("n").alias("min"), F.max("n").alias("max"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("deviation"))
 
 
+def hashed(key: Column) -> Column:
+    """32 bits of the key's MD5, as a whole number."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long")
+
+
 def shard(key: Column, n: int) -> Column:
     """The shard of a key, from 0."""
-    return F.pmod(F.xxhash64(key), F.lit(n))
+    return hashed(key) % n
 
 
 def sampled(key: Column, rate: float) -> Column:
     """Whether a trace of this id is kept: the same answer wherever it is asked."""
-    return F.pmod(F.xxhash64(key), F.lit(10_000)) < rate * 10_000
+    return hashed(key) % 10_000 < rate * 10_000
 
 
 def stale_reads(rows: DataFrame, key: str, time: str, kind: str, ok: str) -> DataFrame:
@@ -129,18 +155,64 @@ def stale_reads(rows: DataFrame, key: str, time: str, kind: str, ok: str) -> Dat
 def register_violations(rows: DataFrame, key: str, order: list[str], kind: str, value: str) -> DataFrame:
     """Reads of a register that do not return its last write before them (null before the first).
 
-    For histories of reads, writes and compare-and-sets that took effect, which are writes here.
+    For histories of reads and writes; ``replayed`` takes compare-and-sets too.
     """
     written = F.when(F.col(kind) != "read", F.struct(F.col(value).alias("v")))
     last = F.last(written, ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn("expected", last["v"]).where((F.col(kind) == "read") & ~F.col(value).eqNullSafe(F.col("expected")))
 
 
+def replayed(rows: DataFrame, key: str, order: list[str], kind: str, value: str, old: str, ok: str) -> DataFrame:
+    """The operations that a register of its key, replayed in order, contradicts: rows with expected, the value before them.
+
+    Kinds are read, write and cas, any other is passed over; ok is whether an operation took effect. A read must return the value, null
+    before the first write; a cas that took effect must have found old, and one that did not changes nothing. After a
+    contradiction the replay goes on: a read leaves the value as it was, a cas that took effect sets its own. One pass over sorted partitions holds the current key's
+    value only.
+    """
+    kept = [c for c in rows.columns if c != "expected"]
+    ready = rows.select(*kept).repartition(key).sortWithinPartitions(key, *order)
+    kinds = dict(rows.dtypes)
+    schema = T.StructType([*ready.schema, T.StructField("expected", ready.schema[value].dataType)])
+    if kinds[value] != kinds[old]:
+        raise ValueError("old and new values must be of one type")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = object(), None
+        for batch in batches:
+            bad, expected = [], []
+            for i, (k, what, new, was, took) in enumerate(zip(*(batch.column(c).to_pylist() for c in (key, kind, value, old, ok)), strict=True)):
+                if k != now:
+                    now, state = k, None
+                wrong = took and (what == "read" and new != state or what == "cas" and was != state)
+                if wrong:
+                    bad.append(i)
+                    expected.append(state)
+                if took and what in ("write", "cas"):
+                    state = new
+            if bad:
+                some = batch.take(pa.array(bad))
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), pa.array(expected, batch.column(value).type)], [*kept, "expected"])
+
+    return ready.mapInArrow(work, schema)
+
+
 def conflicts(rows: DataFrame, transaction: str, keys: str) -> DataFrame:
-    """Pairs (a, b), a before b, of transactions that share a key, once each."""
-    flat = rows.select(transaction, F.explode(F.array_distinct(keys)).alias("_key"))
-    a, b = flat.select(F.col(transaction).alias("a"), "_key"), flat.select(F.col(transaction).alias("b"), "_key")
-    return a.join(b, "_key").where("a < b").select("a", "b").distinct()
+    """Pairs (a, b), a before b, of transactions that share a key, once each. As many rows as pairs: see ``cliques``."""
+    flat = rows.select(F.col(transaction).alias("t"), F.explode(F.array_distinct(keys)).alias("_key"))
+    a, b = ordering.block_pairs(flat, "_key", "t")
+    both = a.withColumnRenamed("t", "a").join(b.withColumnRenamed("t", "b"), ["_key", "_i", "_j"])
+    return both.where((F.col("a") < F.col("b")) | (F.col("_i") != F.col("_j"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+
+
+def cliques(rows: DataFrame, transaction: str, keys: str) -> DataFrame:
+    """The same conflicts without listing pairs: key, transaction, first (the least transaction of the key) and others.
+
+    Any two transactions with a key in common are in conflict; a key that only one has gives no row.
+    """
+    flat = rows.select(transaction, F.explode(F.array_distinct(keys)).alias("key")).distinct()
+    of = flat.groupBy("key").agg(F.min(transaction).alias("first"), (F.count(F.lit(1)) - 1).alias("others")).where("others > 0")
+    return flat.join(of, "key").select("key", transaction, "first", "others")
 
 
 def selected(rows: DataFrame, kinds: list[str] | None = None, start=None, end=None, process: int | None = None, ok: bool | None = None, columns: dict[str, str] | None = None) -> DataFrame:
@@ -161,16 +233,21 @@ def selected(rows: DataFrame, kinds: list[str] | None = None, start=None, end=No
 WORKLOAD = {"read": 0.4, "write": 0.3, "cas": 0.1, "transaction": 0.1, "append": 0.05, "increment": 0.05}
 
 
+def _drawn(seed: int, what: int) -> Column:
+    """A number from 0 up to 1 by the row's id: the same whatever the partitions."""
+    return hashed(F.concat_ws(":", F.lit(seed).cast("string"), F.lit(what).cast("string"), F.col("id").cast("string"))) / 2**32
+
+
 def workload(spark, n: int, keys: int = 10, processes: int = 5, seed: int = 0, weights: dict[str, float] | None = None) -> DataFrame:
     """A random history of n operations: id, process, key, kind and value; the same for the same seed."""
     weights = weights or WORKLOAD
-    draw = F.rand(seed) * sum(weights.values())
+    draw = _drawn(seed, 0) * sum(weights.values())
     kind, bound = None, 0.0
     for k, w in weights.items():
         bound += w
         kind = F.when(F.col("_draw") < bound, k) if kind is None else kind.when(F.col("_draw") < bound, k)
-    rows = spark.range(n).withColumn("_draw", draw).withColumn("process", F.floor(F.rand(seed + 1) * processes)).withColumn("key", F.floor(F.rand(seed + 2) * keys))
-    return rows.withColumn("kind", kind.otherwise("read")).withColumn("value", F.floor(F.rand(seed + 3) * 100)).drop("_draw")
+    rows = spark.range(n).withColumn("_draw", draw).withColumn("process", F.floor(_drawn(seed, 1) * processes)).withColumn("key", F.floor(_drawn(seed, 2) * keys))
+    return rows.withColumn("kind", kind.otherwise("read")).withColumn("value", F.floor(_drawn(seed, 3) * 100)).drop("_draw")
 
 
 def fault_tolerance(nodes: Column, violations: Column) -> Column:

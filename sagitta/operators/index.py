@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sagitta.functions import vectors as V
-from sagitta.operators import quantize
+from sagitta.operators import ordering, quantize
 
 
 @dataclass
@@ -25,9 +25,25 @@ class Lists:
         """Centroids from a bounded sample of the rows."""
         return cls(quantize.k_means(quantize.sample(rows, vector, sample_rows, id_column), lists, turns))
 
-    def assigned(self, rows: DataFrame, vector: str = "vector") -> DataFrame:
-        """rows with a column list; written partitioned by it, a search reads the probed lists only."""
+    def assigned(self, rows: DataFrame, vector: str = "vector", probes: int = 0) -> DataFrame:
+        """rows with a column list; written partitioned by it, a search reads the probed lists only.
+
+        probes: an array of so many nearest lists instead, for queries.
+        """
         shared = rows.sparkSession.sparkContext.broadcast(self.centroids)
+        if probes:
+
+            @F.pandas_udf("array<int>")
+            def nearest(v):
+                import pandas as pd
+
+                if not len(v):
+                    return pd.Series([], dtype=object)
+                c = shared.value
+                d = np.square(c).sum(1) - 2 * np.array(v.tolist(), float) @ c.T
+                return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :probes].astype(np.int32)))
+
+            return rows.withColumn("list", nearest(F.col(vector)))
 
         @F.pandas_udf("int")
         def own(v):
@@ -47,6 +63,21 @@ class Lists:
         return near.select(id_column, m.value(vector, query).alias("score")).orderBy(m.order("score"), id_column).limit(limit)
 
 
+def recall(points: DataFrame, queries: DataFrame, lists: Lists, limit: int = 10, probes: int = 8, id_column: str = "id", vector: str = "vector") -> DataFrame:
+    """queries and recall: the share of the truly nearest points (Euclidean) that probing so many lists finds, over all queries.
+
+    queries: query_id and vector. Both searches are batches over blocks; the probed lists of a query are looked up once.
+    """
+    from sagitta.operators import search
+
+    exact = search.search_batch(points, queries, limit, "euclidean", id_column, vector)
+    probed = lists.assigned(queries.select("query_id", vector), vector, probes).withColumn("list", F.explode("list"))
+    near = search.search_batch(lists.assigned(points, vector), probed, limit, "euclidean", id_column, vector, by="list")
+    best = near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("score", id_column))).where(F.col("place") <= limit)
+    hit = exact.select("query_id", id_column).join(best.select("query_id", id_column, F.lit(1).alias("hit")), ["query_id", id_column], "left")
+    return hit.agg(F.count_distinct("query_id").alias("queries"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+
+
 def hyperplanes(rows: DataFrame, dim: int, bits: int = 16, tables: int = 4, seed: int = 1, id_column: str = "id", vector: str = "vector") -> DataFrame:
     """id, table and bucket: the sides of random hyperplanes on which the vector lies."""
     planes = np.random.default_rng(seed).normal(size=(dim, tables * bits))
@@ -78,10 +109,14 @@ def learned(rows: DataFrame, key: str, pieces: int = 4) -> DataFrame:
 
     Ranks come from counts of distinct keys; a key that occurs often has its first rank.
     """
-    ordered = Window.orderBy(key)
-    ranked = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = ranked.withColumn("_rank", F.coalesce(F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double"))
-    ranked = ranked.withColumn("piece", F.ntile(pieces).over(ordered))
+    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = ordering.running(counted, [], [key], {"_end": F.col("_n"), "_no": F.lit(1).cast("long")})
+    n = ranked.agg(F.coalesce(F.max("_no"), F.lit(0))).first()[0]
+    # equal pieces of distinct keys, the first ones greater by one
+    small, larger = divmod(n, pieces)
+    at = F.col("_no") - 1
+    piece = F.when(at < larger * (small + 1), F.floor(at / (small + 1))).otherwise(larger + F.floor((at - larger * (small + 1)) / max(small, 1))) + 1
+    ranked = ranked.withColumns({"_rank": (F.col("_end") - F.col("_n")).cast("double"), "piece": piece.cast("int")})
     fit = ranked.groupBy("piece").agg(F.min(key).alias("low"), F.regr_slope("_rank", key).alias("slope"), F.regr_intercept("_rank", key).alias("intercept"), F.min("_rank").alias("first"))
     return fit.select("piece", "low", F.coalesce("slope", F.lit(0.0)).alias("slope"), F.coalesce("intercept", "first").alias("intercept"))
 

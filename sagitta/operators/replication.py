@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sagitta.operators import ordering
+
 #: The kinds of operation that can be in conflict.
 CONFLICTING = ("update", "delete")
 
@@ -24,11 +26,27 @@ def compared(a: Column, b: Column) -> Column:
 
 
 def conflicts(ops: DataFrame, key: str = "key") -> DataFrame:
-    """Pairs (a, b), a < b, of concurrent updates or deletes of one key. ops: op_id, key, kind, clock."""
-    rows = ops.where(F.col("kind").isin(*CONFLICTING)).select("op_id", key, "clock")
-    a = rows.select(F.col("op_id").alias("a"), key, F.col("clock").alias("_a"))
-    b = rows.select(F.col("op_id").alias("b"), key, F.col("clock").alias("_b"))
-    return a.join(b, key).where((F.col("a") < F.col("b")) & (compared(F.col("_a"), F.col("_b")) == "Concurrent")).select("a", "b", key)
+    """Concurrent updates or deletes of one key, by their clocks: key, a < b (the first operations of two clocks), and how many
+    operations have each (a_ops, b_ops). Every operation of the one clock is in conflict with every one of the other.
+
+    ops: op_id, key, kind, clock. Operations of a key with equal clocks are one row from the start; ``clock_classes`` tells whose
+    they are. What is left of a key is compared in blocks.
+    """
+    classes = clock_classes(ops, key).groupBy(key, "_clock").agg(F.min("op_id").alias("op"), F.count(F.lit(1)).alias("ops"))
+    a, b = ordering.block_pairs(classes.withColumn("clock", F.map_from_entries("_clock")), key, "op")
+    a, b = (side.select(key, "_i", "_j", *(F.col(c).alias(p + c) for c in ("op", "ops", "clock"))) for side, p in ((a, "a_"), (b, "b_")))
+    once = (F.col("_i") != F.col("_j")) | (F.col("a_op") < F.col("b_op"))
+    found = a.join(b, [key, "_i", "_j"]).where(once & (compared(F.col("a_clock"), F.col("b_clock")) == "Concurrent"))
+    turned = F.col("a_op") > F.col("b_op")
+    pick = lambda c: (F.when(turned, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")), F.when(turned, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")))
+    (low, high), (low_ops, high_ops) = pick("op"), pick("ops")
+    return found.select(key, low.alias("a"), high.alias("b"), low_ops.alias("a_ops"), high_ops.alias("b_ops"))
+
+
+def clock_classes(ops: DataFrame, key: str = "key") -> DataFrame:
+    """op_id, key and _clock of updates and deletes: the clock's counters that are not 0, in order, so equal clocks are equal."""
+    counters = F.sort_array(F.filter(F.map_entries("clock"), lambda e: e["value"] != 0))
+    return ops.where(F.col("kind").isin(*CONFLICTING)).select("op_id", key, counters.alias("_clock"))
 
 
 def resolved(ops: DataFrame, how: str = "last", key: str = "key", time: str = "time", tie: str = "op_id", priority: dict[str, int] | None = None, region: str = "region") -> DataFrame:

@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from sagitta.functions import vectors as V
 from sagitta.operators import filters
 
-#: Queries that go to every executor at once; more are done in turns.
-QUERY_BLOCK = 4096
+#: Bytes of queries that go to every executor at once; more are done in turns, a scan each.
+QUERY_BYTES = 64 << 20
+#: The range of ids that one row of an inverted index covers.
+POSTINGS = 100_000
 MOST_LIMIT = 10_000
 MOST_OFFSET = 1_000_000
 
@@ -54,6 +56,10 @@ class Request:
 def search(points: DataFrame, request: Request, id_column: str = "id", vector: str = "vector", payload: str = "payload") -> DataFrame:
     """rank (from 1), id, score and distance of the nearest points, and what the request asks for besides."""
     request.check()
+    return _found(points, request, id_column, vector, payload)
+
+
+def _found(points: DataFrame, request: Request, id_column: str = "id", vector: str = "vector", payload: str = "payload") -> DataFrame:
     m = V.metric(request.metric)
     found = filters.where(points, request.filter, payload)
     found = found.withColumn("score", m.value(vector, request.vector)).where("score is not null")
@@ -85,17 +91,19 @@ def _scores(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return -squares if metric == "squared_l2" else -np.sqrt(squares)
 
 
-def search_batch(points: DataFrame, queries: DataFrame, limit: int = 10, metric: str = "cosine", id_column: str = "id", vector: str = "vector", query_id: str = "query_id", by: str | None = None, skip_self: bool = False) -> DataFrame:
+def search_batch(points: DataFrame, queries: DataFrame, limit: int = 10, metric: str = "cosine", id_column: str = "id", vector: str = "vector", query_id: str = "query_id", by: str | None = None, skip_self: bool = False, condition: filters.Condition | Column | None = None, threshold: float | None = None, payload: str = "payload") -> DataFrame:
     """query_id, rank, id and score of each query's nearest points.
 
     by: a column of both tables; only points that agree with the query in it count. skip_self: a point is no neighbour of
-    the query of its own id. Queries are read in blocks of ``QUERY_BLOCK`` rows, each of which is sent to the executors.
+    the query of its own id. condition: only points that it lets pass count; threshold: only scores that reach it. Queries are read in
+    blocks of ``QUERY_BYTES``, each of which is sent to the executors and met by one scan of the points.
     """
     m = V.metric(metric)
     name = m.name
     extra = [by] if by else []
     kinds = dict(points.dtypes) | {query_id: dict(queries.dtypes)[query_id]}
     schema = f"{query_id} {kinds[query_id]}, {id_column} {kinds[id_column]}, score double"
+    points = filters.where(points, condition, payload)
     rows = queries.select(query_id, vector, *extra).where(F.col(vector).isNotNull())
     parts: list[DataFrame] = []
 
@@ -139,11 +147,13 @@ def search_batch(points: DataFrame, queries: DataFrame, limit: int = 10, metric:
         return points.select(id_column, vector, *extra).mapInArrow(work, schema)
 
     held: list = []
+    size = 0
     for r in rows.toLocalIterator():
         held.append(r)
-        if len(held) == QUERY_BLOCK:
+        size += 8 * len(r[1]) + 32
+        if size >= QUERY_BYTES:
             parts.append(block(held))
-            held = []
+            held, size = [], 0
     if held or not parts:
         parts.append(block(held))
     near = parts[0]
@@ -151,6 +161,8 @@ def search_batch(points: DataFrame, queries: DataFrame, limit: int = 10, metric:
         near = near.unionByName(p)
     if skip_self:
         near = near.where(F.col(query_id) != F.col(id_column))
+    if threshold is not None:
+        near = near.where(m.passes(F.col("score") if m.more_is_nearer else -F.col("score"), threshold))
     place = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), id_column))
     sign = F.col("score") if m.more_is_nearer else -F.col("score")
     return near.withColumn("rank", place).where(F.col("rank") <= limit).select(query_id, "rank", id_column, sign.alias("score"))
@@ -159,8 +171,9 @@ def search_batch(points: DataFrame, queries: DataFrame, limit: int = 10, metric:
 def explore(collections: dict[str, DataFrame], request: Request, **columns: str) -> DataFrame:
     """The nearest points of several collections together: collection, rank, id, score and distance."""
     m = V.metric(request.metric)
-    within = Request(**{**request.__dict__, "limit": min(MOST_LIMIT, request.limit + request.offset), "offset": 0})
-    parts = [search(points, within, **columns).withColumn("collection", F.lit(name)) for name, points in sorted(collections.items())]
+    request.check()
+    within = Request(**{**request.__dict__, "limit": request.limit + request.offset, "offset": 0})
+    parts = [_found(points, within, **columns).withColumn("collection", F.lit(name)) for name, points in sorted(collections.items())]
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
@@ -203,9 +216,12 @@ def estimated(kind: str, *parts: float) -> float:
 
 
 def inverted_index(points: DataFrame, metadata: str = "metadata", id_column: str = "id") -> DataFrame:
-    """field, value and the ascending ids that have it, from a column of maps."""
-    pairs = points.select(id_column, F.explode(metadata).alias("field", "value"))
-    return pairs.groupBy("field", "value").agg(F.sort_array(F.collect_set(id_column)).alias("ids"))
+    """field, value, block and the ascending ids that have it, from a column of maps.
+
+    Ids go to blocks of ``POSTINGS`` ids' width by their value, so a value of any number of points is many rows.
+    """
+    pairs = points.select(id_column, F.explode(metadata).alias("field", "value")).withColumn("block", F.floor(F.col(id_column) / POSTINGS))
+    return pairs.groupBy("field", "value", "block").agg(F.sort_array(F.collect_set(id_column)).alias("ids"))
 
 
 def hybrid(points: DataFrame, vector_query: list[float], words: list[str], alpha: float = 0.5, limit: int = 10, text: str = "text", id_column: str = "id", vector: str = "vector") -> DataFrame:

@@ -25,6 +25,17 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def listed(spark: SparkSession, path: str, ending: str = "") -> list:
+    """The statuses of the files at or under a path whose names have that ending, in order of path."""
+    fs, p = _at(spark, path)
+    out, found = [], fs.listFiles(p, True)
+    while found.hasNext():
+        status = found.next()
+        if status.getPath().getName().endswith(ending) and not status.getPath().getName().startswith(("_", ".")):
+            out.append(status)
+    return sorted(out, key=lambda s: s.getPath().toString())
+
+
 def delete(spark: SparkSession, path: str) -> bool:
     fs, p = _at(spark, path)
     return fs.delete(p, True)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sagitta.functions import records
-from sagitta.sources import binary
+from sagitta.sources import binary, files
 
 #: Formats by the endings of file names.
 ENDINGS = {"jsonl": "jsonl", "ndjson": "jsonl", "parquet": "parquet", "h5": "hdf5", "hdf5": "hdf5", "bin": "binary", "binary": "binary", "csv": "csv"}
@@ -87,11 +87,17 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(id_.alias("id"), vector.alias("vector"), meta.alias("metadata"))
 
 
+#: Different metadata keys that become columns, at most.
+MOST_COLUMNS = 10_000
+
+
 def write_csv(rows: DataFrame, path: str, keys: list[str] | None = None) -> None:
-    """id, vector with semicolons and a column for each metadata key in order; keys: those to write, else all there are."""
+    """id, vector with semicolons and a column for each metadata key in order; keys: those to write, else all there are (MOST_COLUMNS at most)."""
     meta = F.from_json("metadata", "map<string,string>")
     if keys is None:
-        keys = sorted(r[0] for r in rows.select(F.explode(F.map_keys(meta))).distinct().collect())
+        keys = sorted(r[0] for r in rows.select(F.explode(F.map_keys(meta))).distinct().limit(MOST_COLUMNS + 1).collect())
+        if len(keys) > MOST_COLUMNS:
+            raise ValueError(f"over {MOST_COLUMNS} metadata keys: name those to write")
     cells = [F.coalesce(meta[k], F.lit("")).alias(k) for k in keys]
     rows.select("id", F.concat_ws(";", F.transform("vector", lambda x: x.cast("string"))).alias("vector"), *cells).write.option("header", True).option("escape", '"').csv(path)
 
@@ -131,22 +137,17 @@ def fetched(rows: DataFrame, offset: int, limit: int) -> DataFrame:
 
 
 def parquet_info(spark: SparkSession, path: str) -> DataFrame:
-    """For each file of a Parquet table: its rows, row groups, columns and bytes, read from the footers on the executors."""
-    import pyarrow as pa
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
-
-    def work(batches):
-        import io
+    """For each file of a Parquet table: its rows, row groups, columns and bytes, from its footer alone.
 
-        import pyarrow.parquet as pq
-
-        for batch in batches:
-            out = []
-            for p, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                m = pq.ParquetFile(io.BytesIO(data.as_py())).metadata
-                out.append((os.path.basename(p), m.num_rows, m.num_row_groups, m.num_columns, len(data.as_py())))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["file", "rows", "row_groups", "columns", "bytes"])
-
-    return files.select("path", "content").mapInArrow(work, "file string, rows long, row_groups long, columns long, bytes long")
+    The footers are read by Hadoop's file system in the driver's JVM, a few kilobytes a file.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for status in files.listed(spark, path, ".parquet"):
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromStatus(status, conf))
+        try:
+            meta = reader.getFooter()
+            out.append((status.getPath().getName(), reader.getRecordCount(), meta.getBlocks().size(), meta.getFileMetaData().getSchema().getColumns().size(), status.getLen()))
+        finally:
+            reader.close()
+    return spark.createDataFrame(out, "file string, rows long, row_groups long, columns long, bytes long")

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from sagitta.operators import ordering
 from sagitta.operators.collections import latest
 
 EVENT = "event_id string, collection string, vector_id long, change_type string, vector array<float>, previous_vector array<float>, ts timestamp, transaction_id string, sequence long"
@@ -23,7 +25,7 @@ def difference(before: DataFrame, after: DataFrame, collection: str, transaction
     a, b = before.select("id", F.col("vector").alias("_a"), F.lit(1).alias("_in_a")), after.select("id", F.col("vector").alias("_b"), F.lit(1).alias("_in_b"))
     kind = F.when(F.col("_in_a").isNull(), "insert").when(F.col("_in_b").isNull(), "delete").when(~F.col("_a").eqNullSafe(F.col("_b")), "update")
     rows = a.join(b, "id", "full_outer").withColumn("change_type", kind).where("change_type is not null")
-    number = F.row_number().over(Window.partitionBy(F.lit(collection)).orderBy("id")) - 1 + start
+    rows, number = ordering.numbered(rows, [], ["id"], "_no"), F.col("_no") - 1 + start
     return rows.select(
         F.concat_ws("-", F.lit(collection), number.cast("string")).alias("event_id"), F.lit(collection).alias("collection"), F.col("id").alias("vector_id"), "change_type",
         F.col("_b").alias("vector"), F.col("_a").alias("previous_vector"), (at if at is not None else F.current_timestamp()).alias("ts"), F.lit(transaction_id).cast("string").alias("transaction_id"), number.cast("long").alias("sequence"),
@@ -101,20 +103,25 @@ def sessions(events: DataFrame, time: str, gap: str, by: str, late: str = "10 mi
 
 
 def limited(stream: DataFrame, by: str, time: str, limit: int, seconds: int) -> DataFrame:
-    """by, at and allowed for each row of a stream: at most limit rows of a window that begins with its first row."""
-    size = pd.Timedelta(seconds=seconds)
+    """by, at and allowed for each row of a stream: at most limit rows of a window that begins with its first row.
+
+    A key's rows of one micro-batch are taken in order of time, whatever frames they come in: their times, eight bytes a row, are
+    held together, so the source's limit of rows a batch bounds what a task holds.
+    """
+    size, step = pd.Timedelta(seconds=seconds), 10_000
 
     def turn(key: tuple, frames: Iterator[pd.DataFrame], state_) -> Iterator[pd.DataFrame]:
         began, n = state_.get if state_.exists else (None, 0)
         began = pd.Timestamp(began) if began is not None else None
-        for frame in frames:
-            times, out = frame[time].sort_values(), []
-            for t in times:
+        times = pd.Series(np.sort(np.concatenate([np.zeros(0, "datetime64[us]"), *(f[time].to_numpy("datetime64[us]") for f in frames)])))
+        for a in range(0, len(times), step):
+            out = []
+            for t in times[a : a + step]:
                 if began is None or t - began >= size:
                     began, n = t, 0
                 n += 1
                 out.append(n <= limit)
-            yield pd.DataFrame({by: [key[0]] * len(out), "at": times.to_numpy(), "allowed": out})
+            yield pd.DataFrame({by: [key[0]] * len(out), "at": times[a : a + step].to_numpy(), "allowed": out})
         state_.update((None if began is None else began.to_pydatetime(), n))
 
     kind = dict(stream.dtypes)[by]
