@@ -56,6 +56,13 @@ def deleted(old: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return old.join(ids.select(key).distinct(), key, "left_anti")
 
 
+def scanned(points: DataFrame, start: int | None = None, end: int | None = None, key: str = "id") -> DataFrame:
+    """The points from start to end, both included, by key."""
+    if start is not None:
+        points = points.where(F.col(key) >= start)
+    return (points if end is None else points.where(F.col(key) <= end)).orderBy(key)
+
+
 def compacted(runs: list[DataFrame], key: str = "id", tombstone: str = "deleted") -> DataFrame:
     """Runs from the oldest to the newest merged: of each key the newest row, none if that is a tombstone."""
     merged = None
@@ -152,10 +159,7 @@ class Collection:
 
     def scan(self, start: int | None = None, end: int | None = None) -> DataFrame:
         """Points from start to end, both included, by id."""
-        rows = self.points()
-        if start is not None:
-            rows = rows.where(F.col("id") >= start)
-        return (rows if end is None else rows.where(F.col("id") <= end)).orderBy("id")
+        return scanned(self.points(), start, end)
 
     def search(self, request: search.Request) -> DataFrame:
         request.check(self.config["dim"])

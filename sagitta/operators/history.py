@@ -115,6 +115,12 @@ def out_of_order(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
     return rows.withColumn("before", F.lag(value).over(Window.partitionBy(by).orderBy(order))).where(F.col(value) < F.col("before"))
 
 
+def repeats(rows: DataFrame, by: str, order: str, kind: str) -> DataFrame:
+    """For each by: repeats, how many rows are of the kind of the row before."""
+    before = F.lag(kind).over(Window.partitionBy(by).orderBy(order))
+    return rows.withColumn("_before", before).groupBy(by).agg(F.count_if(F.col(kind) == F.col("_before")).alias("repeats"))
+
+
 def sequences(rows: DataFrame, process: str, time: str, op: str, block: int = 10_000) -> DataFrame:
     """For each process its operations in order of time, in blocks: no (from 0), first number, count and their ids.
 

@@ -197,6 +197,18 @@ def retrieve(points: DataFrame, ids: list[int], id_column: str = "id") -> DataFr
     return points.where(F.col(id_column).isin(ids)).withColumn("ordinal", order).orderBy("ordinal")
 
 
+def similarity_stats(points: DataFrame, query: list[float], vector: str = "vector", metric: str = "cosine") -> DataFrame:
+    """mean, least and most of the points' scores against one vector."""
+    s = points.select(V.metric(metric).value(vector, query).alias("s"))
+    return s.agg(F.avg("s").alias("mean"), F.min("s").alias("least"), F.max("s").alias("most"))
+
+
+def fused(points: DataFrame, queries: list[list[float]], weights: list[float], limit: int = 10, id_column: str = "id", vector: str = "vector") -> DataFrame:
+    """The nearest points by cosine similarity to the weighted sum of several query vectors."""
+    score = V.cosine_similarity(vector, V.weighted_sum(queries, weights))
+    return points.select(id_column, score.alias("score")).orderBy(F.desc("score"), id_column).limit(limit)
+
+
 def count(points: DataFrame, condition: filters.Condition | Column | None = None, payload: str = "payload") -> DataFrame:
     return filters.where(points, condition, payload).agg(F.count(F.lit(1)).alias("count"))
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sagitta.functions import records, text, udfs
 from sagitta.functions import vectors as V
-from sagitta.operators import collections, filters, graph, history, index, quantize, replication, search
+from sagitta.operators import collections, filters, graph, history, index, quantize, replication, ring, search
 from sagitta.plans import dialects
 from sagitta.sources import formats
 from sagitta.sources.files import temporary
@@ -92,19 +92,19 @@ def _(spark, sf):
     return search.search(with_payload(spark, sf), asked.request()).select("rank", "id", F.round("score", 4).alias("certainty"), F.round("distance", 4).alias("distance"))
 
 
-def batch_sql(many: int, limit: int, same: str = "true") -> str:
+def batch_sql(limit: int, same: str = "true") -> str:
     return f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity({D}, q.embedding::DOUBLE[]) AS score
-  FROM embeddings q, embeddings e WHERE q.vec_id < {many} AND {same})
+  FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND {same})
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank, id, round(score, 4) AS score FROM s QUALIFY rank <= {limit}"""
 
 
-def batched(spark: SparkSession, sf: str, many: int, limit: int, **options) -> DataFrame:
-    queries = points(spark, sf).where(F.col("id") < many).withColumnRenamed("id", "query_id")
+def batched(spark: SparkSession, sf: str, limit: int, **options) -> DataFrame:
+    queries = points(spark, sf).where(F.col("id") % 100 == 0).withColumnRenamed("id", "query_id")
     return search.search_batch(points(spark, sf), queries, limit, **options).select("query_id", "rank", "id", F.round("score", 4).alias("score"))
 
 
-query("knn_batch", batch_sql(50, 10))(lambda spark, sf: batched(spark, sf, 50, 10))
-query("knn_by_label", batch_sql(100, 3, "q.label = e.label AND q.vec_id <> e.vec_id"))(lambda spark, sf: batched(spark, sf, 100, 3, by="label", skip_self=True))
+query("knn_batch", batch_sql(10))(lambda spark, sf: batched(spark, sf, 10))
+query("knn_by_label", batch_sql(3, "q.label = e.label AND q.vec_id <> e.vec_id"))(lambda spark, sf: batched(spark, sf, 3, by="label", skip_self=True))
 
 
 @query("explore_union", f"""WITH s AS (SELECT 'c' || label AS collection, vec_id AS id, list_cosine_similarity({D}, {Q0}) AS score FROM embeddings e WHERE label < 3)
@@ -127,9 +127,8 @@ def _(spark, sf):
   FROM embeddings a, embeddings b WHERE a.vec_id = 0 AND b.vec_id = 1)
 SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], v), 4) AS score FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], v) DESC, vec_id LIMIT 10""")
 def _(spark, sf):
-    a, b = np.array(query_vector(spark, sf, 0)), np.array(query_vector(spark, sf, 1))
-    score = V.cosine_similarity("vector", (0.7 * a + 0.3 * b).tolist())
-    return points(spark, sf).select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(10).select("id", F.round("score", 4).alias("score"))
+    found = search.fused(points(spark, sf), [query_vector(spark, sf, 0), query_vector(spark, sf, 1)], [0.7, 0.3])
+    return found.select("id", F.round("score", 4).alias("score"))
 
 
 @query("custom_similarity", "SELECT vec_id AS id, round(greatest(0, 1 - abs(embedding[1]::DOUBLE - q)), 4) AS score FROM embeddings, (SELECT embedding[1]::DOUBLE AS q FROM embeddings WHERE vec_id = 0) ORDER BY greatest(0, 1 - abs(embedding[1]::DOUBLE - q)) DESC, vec_id LIMIT 10")
@@ -159,13 +158,12 @@ def _(spark, sf):
 
 @query("similarity_stats", f"SELECT round(avg(s), 4) AS mean, round(min(s), 4) AS least, round(max(s), 4) AS most FROM (SELECT list_cosine_similarity({D}, {Q0}) AS s FROM embeddings e)")
 def _(spark, sf):
-    s = points(spark, sf).select(V.cosine_similarity("vector", query_vector(spark, sf)).alias("s"))
-    return s.agg(*(F.round(f("s"), 4).alias(n) for n, f in (("mean", F.avg), ("least", F.min), ("most", F.max))))
+    return search.similarity_stats(points(spark, sf), query_vector(spark, sf)).select(*(F.round(c, 4).alias(c) for c in ("mean", "least", "most")))
 
 
-@query("text_vectors", "SELECT doc_id, round(list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i <= length(text) THEN (unicode(text[i]) + i - 1) / 1000.0 ELSE 0 END)), 4)::DOUBLE AS total FROM documents")
+@query("text_vectors", "SELECT doc_id, round(list_sum(list_transform(range(1, 513), lambda i: CASE WHEN i <= length(text) THEN (unicode(text[i]) + i - 1) / 1000.0 ELSE 0 END)), 4)::DOUBLE AS total FROM documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.round(V.total(V.text_vector("text", 16)), 4).alias("total"))
+    return table(spark, sf, "documents").select("doc_id", F.round(V.total(V.text_vector("text")), 4).alias("total"))
 
 
 # filters and pages
@@ -199,10 +197,10 @@ query("retrieve_ids", "SELECT i::INT AS ordinal, id, label FROM (SELECT vec_id A
     lambda spark, sf: search.retrieve(points(spark, sf), [7, 3, 999_999, 11]).select(F.col("ordinal").cast("int").alias("ordinal"), "id", "label"))
 query("count_filtered", "SELECT count(*) AS count FROM embeddings WHERE label IN (1, 2)")(lambda spark, sf: search.count(with_payload(spark, sf), filters.MatchAny("label", [1, 2])))
 query("selectivity", "SELECT avg(CASE WHEN label = 4 THEN 1.0 ELSE 0.0 END) AS selectivity FROM embeddings")(lambda spark, sf: search.selectivity(with_payload(spark, sf), filters.Match("label", 4)))
-query("inverted_index", "SELECT 'label' AS field, label::VARCHAR AS value, list_sort(list(DISTINCT vec_id)) AS ids FROM embeddings GROUP BY label")(
+query("inverted_index", "SELECT 'label' AS field, label::VARCHAR AS value, vec_id // 100000 AS block, list_sort(list(DISTINCT vec_id)) AS ids FROM embeddings GROUP BY ALL")(
     lambda spark, sf: search.inverted_index(points(spark, sf).withColumn("metadata", F.create_map(F.lit("label"), F.col("label").cast("string")))))
-query("projection", "SELECT vec_id AS id, '{\"label\":' || label || '}' AS payload FROM embeddings WHERE vec_id < 20")(
-    lambda spark, sf: points(spark, sf).where("id < 20").select("id", F.to_json(filters.projected(F.parse_json(F.to_json(F.struct("label", "id"))), include=["label"])).alias("payload")))
+query("projection", "SELECT vec_id AS id, '{\"label\":' || label || '}' AS payload FROM embeddings")(
+    lambda spark, sf: points(spark, sf).select("id", F.to_json(filters.projected(F.parse_json(F.to_json(F.struct("label", "id"))), include=["label"])).alias("payload")))
 
 # points that change
 
@@ -228,10 +226,10 @@ def _(spark, sf):
     return collections.compacted(runs).select("id", "label")
 
 
-@query("collection_lifecycle", "SELECT vec_id AS id, len(embedding)::INT AS dim, CASE WHEN vec_id < 5 THEN 'new' ELSE 'old' END AS tag FROM embeddings WHERE vec_id <> 3 AND vec_id < 50")
+@query("collection_lifecycle", "SELECT vec_id AS id, len(embedding)::INT AS dim, CASE WHEN vec_id < 5 THEN 'new' ELSE 'old' END AS tag FROM embeddings WHERE vec_id <> 3")
 def _(spark, sf):
     c = collections.Catalog(spark, temporary(spark, "catalog")).create("points", 64)
-    rows = points(spark, sf).where("id < 50").select("id", "vector", F.lit('{"tag":"old"}').alias("payload"))
+    rows = points(spark, sf).select("id", "vector", F.lit('{"tag":"old"}').alias("payload"))
     c.upsert(rows)
     name = c.snapshot()
     c.delete(condition=filters.Match("tag", "old"))
@@ -300,7 +298,8 @@ def _(spark, sf):
 
 query("ordering_check", "WITH l AS (SELECT event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) SELECT event_id, value, before FROM l WHERE value < before")(
     lambda spark, sf: history.out_of_order(table(spark, sf, "events"), "user_id", "event_id", "value").select("event_id", "value", "before"))
-query("process_sequences", "SELECT user_id, count(*) AS count, list(event_id ORDER BY ts, event_id) AS ops FROM events GROUP BY 1")(lambda spark, sf: history.sequences(table(spark, sf, "events"), "user_id", "ts", "event_id"))
+query("process_sequences", """WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)
+SELECT user_id, (k - 1) // 10000 AS no, min(k) AS first, count(*) AS count, list(event_id ORDER BY k) AS ops FROM n GROUP BY ALL""")(lambda spark, sf: history.sequences(table(spark, sf, "events"), "user_id", "ts", "event_id"))
 
 
 @query("read_after_write_check", """WITH l AS (SELECT event_id, event_type, value, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events)
@@ -319,8 +318,8 @@ def _(spark, sf):
     return history.register_violations(rows, "user_id", ["event_id"], "kind", "v").select("event_id", "expected")
 
 
-query("transaction_conflicts", "WITH t AS (SELECT DISTINCT l_orderkey AS t, l_partkey AS k FROM lineitem WHERE l_orderkey < 2000) SELECT DISTINCT x.t AS a, y.t AS b FROM t x JOIN t y ON x.k = y.k AND x.t < y.t")(
-    lambda spark, sf: history.conflicts(table(spark, sf, "lineitem").where("l_orderkey < 2000").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("keys")), "l_orderkey", "keys"))
+query("transaction_conflicts", "WITH t AS (SELECT DISTINCT l_orderkey, l_partkey AS key FROM lineitem) SELECT key, l_orderkey, min(l_orderkey) OVER (PARTITION BY key) AS first, count(*) OVER (PARTITION BY key) - 1 AS others FROM t QUALIFY others > 0")(
+    lambda spark, sf: history.cliques(table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("keys")), "l_orderkey", "keys"))
 query("history_filter", "SELECT event_id FROM events WHERE event_type IN ('view', 'error') AND ts >= (SELECT min(ts) FROM events) + INTERVAL 1 DAY AND ts <= (SELECT min(ts) FROM events) + INTERVAL 3 DAY AND user_id = 5")(
     lambda spark, sf: _history_filter(table(spark, sf, "events")))
 
@@ -332,12 +331,33 @@ def _history_filter(rows: DataFrame) -> DataFrame:
     return history.selected(rows, ["view", "error"], first + datetime.timedelta(days=1), first + datetime.timedelta(days=3), 5, columns={"kind": "event_type", "time": "ts", "process": "user_id"}).select("event_id")
 
 
-query("ring_distribution", "WITH n AS (SELECT user_id % 8 AS node, count(*) AS n FROM events GROUP BY 1) SELECT count(*) AS nodes, min(n) AS min, max(n) AS max, round(avg(n), 4) AS mean, round(stddev_pop(n), 4) AS deviation FROM n")(
-    lambda spark, sf: history.distribution(table(spark, sf, "events"), F.col("user_id") % 8).withColumns({"mean": F.round("mean", 4), "deviation": F.round("deviation", 4)}))
-query("hash_partition_stats")(lambda spark, sf: history.distribution(table(spark, sf, "events"), history.shard(F.col("user_id"), 16)))
-query("rate_limiter")(lambda spark, sf: history.window_limited(table(spark, sf, "events"), "user_id", "ts", 5, 3600, "event_id").select("event_id", "allowed"))
-query("workload")(lambda spark, sf: history.workload(spark, 1000).groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
-query("trace_sampling")(lambda spark, sf: table(spark, sf, "events").where(history.sampled(F.col("event_id"), 0.25)).select("event_id"))
+HASH = "CAST('0x' || substr(md5({}::VARCHAR), 1, 8) AS BIGINT)"
+
+
+def ring_sql(nodes: int) -> str:
+    return f"""ring AS (SELECT 'node' || n AS node, {HASH.format("'node' || n || '#' || k")} AS pos FROM range({nodes}) a(n), range({ring.REPLICAS}) b(k)),
+found AS (SELECT event_id, coalesce(r.node, (SELECT arg_min(node, pos) FROM ring)) AS node FROM (SELECT event_id, {HASH.format("event_id")} AS h FROM events) e ASOF LEFT JOIN ring r ON e.h <= r.pos)"""
+
+
+def nodes(n: int) -> list[str]:
+    return [f"node{k}" for k in range(n)]
+
+
+query("ring_distribution", f"WITH {ring_sql(8)} SELECT node, count(*) AS n FROM found GROUP BY 1")(lambda spark, sf: ring.Ring(nodes(8)).distribution(table(spark, sf, "events"), "event_id"))
+query("ring_moves", f"WITH b AS (WITH {ring_sql(8)} SELECT * FROM found), a AS (WITH {ring_sql(9)} SELECT * FROM found) SELECT b.node AS old, a.node AS new, count(*) AS n FROM a JOIN b USING (event_id) WHERE a.node <> b.node GROUP BY ALL")(
+    lambda spark, sf: ring.Ring(nodes(9)).assigned(ring.Ring(nodes(8)).assigned(table(spark, sf, "events"), "event_id", "old"), "event_id", "new").where("old != new").groupBy("old", "new").agg(F.count(F.lit(1)).alias("n")))
+query("hash_partition_stats", f"WITH n AS (SELECT {HASH.format('user_id')} % 16 AS node, count(*) AS n FROM events GROUP BY 1) SELECT count(*) AS nodes, min(n) AS min, max(n) AS max, round(avg(n), 4) AS mean, round(stddev_pop(n), 4) AS deviation FROM n")(
+    lambda spark, sf: history.distribution(table(spark, sf, "events"), history.shard(F.col("user_id"), 16)).withColumns({"mean": F.round("mean", 4), "deviation": F.round("deviation", 4)}))
+LIMITED = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events),
+w AS (SELECT user_id, min(t) AS s FROM e GROUP BY 1 UNION ALL SELECT w.user_id, min(e.t) AS s FROM w JOIN e ON e.user_id = w.user_id AND e.t >= w.s + 3600000000 GROUP BY w.user_id, w.s),
+p AS (SELECT e.event_id, e.user_id, e.t, w.s FROM e ASOF JOIN w ON e.user_id = w.user_id AND e.t >= w.s),
+l AS (SELECT event_id, user_id, t, row_number() OVER (PARTITION BY user_id, s ORDER BY t, event_id) <= 5 AS allowed FROM p) """
+query("rate_limiter", LIMITED + "SELECT event_id, allowed FROM l")(lambda spark, sf: history.window_limited(table(spark, sf, "events"), "user_id", "ts", 5, 3600, "event_id").select("event_id", "allowed"))
+_kinds = list(history.WORKLOAD)
+_bounds = [sum(list(history.WORKLOAD.values())[: k + 1]) for k in range(len(_kinds))]
+_draw = f"({HASH.format(chr(39) + '0:{}:' + chr(39) + ' || id')} / 4294967296.0::DOUBLE)"
+query("workload", f"SELECT CASE {' '.join(f'WHEN d < {b!r}::DOUBLE THEN {k!r}' for k, b in zip(_kinds, _bounds, strict=True))} ELSE 'read' END AS kind, count(*) AS n FROM (SELECT {_draw.format(0)} * {sum(history.WORKLOAD.values())!r}::DOUBLE AS d FROM range(1000) r(id)) GROUP BY 1")(lambda spark, sf: history.workload(spark, 1000).groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
+query("trace_sampling", f"SELECT event_id FROM events WHERE {HASH.format('event_id')} % 10000 < 2500")(lambda spark, sf: table(spark, sf, "events").where(history.sampled(F.col("event_id"), 0.25)).select("event_id"))
 
 # change streams and replication
 
@@ -379,7 +399,8 @@ def summed_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 query("stream_tumbling", "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS count FROM events GROUP BY ALL")(summed_stream)
-query("stream_limiter")(lambda spark, sf: streamed(spark, sf, lambda s: changes.limited(s.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", 5, 3600)))
+query("stream_limiter", LIMITED + "SELECT user_id, make_timestamp(t) AS at, allowed FROM l")(
+    lambda spark, sf: streamed(spark, sf, lambda s: changes.limited(s.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", 5, 3600)).withColumn("at", F.col("at").cast("timestamp_ntz")))
 query("session_windows", """WITH l AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events),
 g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM l)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS end, count(*) AS count FROM g GROUP BY user_id, g""")(
@@ -388,13 +409,13 @@ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS end, count(*) AS
 
 def operations(spark: SparkSession, sf: str) -> DataFrame:
     """Operations of two regions on keys, from the events: op_id, key, kind, region, time and clock."""
-    clock = F.create_map(F.lit("a"), F.col("event_id") % 7, F.lit("b"), F.col("user_id") % 5)
+    clock = F.create_map(F.lit("a"), F.col("event_id") % 7, F.lit("b"), F.floor(F.col("event_id") / 7) % 5)
     kind = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "signup", "insert").otherwise("update")
     return table(spark, sf, "events").select(F.col("event_id").alias("op_id"), (F.col("user_id") % 50).alias("key"), kind.alias("kind"), F.when(F.col("event_id") % 2 == 0, "a").otherwise("b").alias("region"), F.col("ts").alias("time"), clock.alias("clock"))
 
 
-query("vector_clock_compare", """SELECT x.event_id, CASE WHEN (x.event_id % 7 < 3 AND x.user_id % 5 > 2) OR (x.event_id % 7 > 3 AND x.user_id % 5 < 2) THEN 'Concurrent' WHEN x.event_id % 7 < 3 OR x.user_id % 5 < 2 THEN 'Less'
-  WHEN x.event_id % 7 > 3 OR x.user_id % 5 > 2 THEN 'Greater' ELSE 'Equal' END AS relation, greatest(x.event_id % 7, 3) AS a, greatest(x.user_id % 5, 2) AS b FROM events x""")(
+query("vector_clock_compare", """SELECT event_id, CASE WHEN (x < 3 AND y > 2) OR (x > 3 AND y < 2) THEN 'Concurrent' WHEN x < 3 OR y < 2 THEN 'Less' WHEN x > 3 OR y > 2 THEN 'Greater' ELSE 'Equal' END AS relation,
+  greatest(x, 3) AS a, greatest(y, 2) AS b FROM (SELECT event_id, event_id % 7 AS x, event_id // 7 % 5 AS y FROM events)""")(
     lambda spark, sf: _clocks(operations(spark, sf)))
 
 
@@ -404,13 +425,13 @@ def _clocks(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("op_id").alias("event_id"), replication.compared(F.col("clock"), other).alias("relation"), both["a"].alias("a"), both["b"].alias("b"))
 
 
-query("conflict_pairs", """WITH o AS (SELECT event_id AS id, user_id % 50 AS key, event_id % 7 AS a, user_id % 5 AS b FROM events WHERE event_type <> 'signup' AND event_id < 2000)
-SELECT x.id AS a, y.id AS b, x.key FROM o x JOIN o y ON x.key = y.key AND x.id < y.id WHERE (x.a < y.a AND x.b > y.b) OR (x.a > y.a AND x.b < y.b)""")(
-    lambda spark, sf: replication.conflicts(operations(spark, sf).where("op_id < 2000")))
+query("conflict_pairs", """WITH o AS (SELECT min(event_id) AS id, count(*) AS n, user_id % 50 AS key, event_id % 7 AS a, event_id // 7 % 5 AS b FROM events WHERE event_type <> 'signup' GROUP BY ALL)
+SELECT x.id AS a, y.id AS b, x.key, x.n AS a_ops, y.n AS b_ops FROM o x JOIN o y ON x.key = y.key AND x.id < y.id WHERE (x.a < y.a AND x.b > y.b) OR (x.a > y.a AND x.b < y.b)""")(
+    lambda spark, sf: replication.conflicts(operations(spark, sf)))
 query("lww_resolve", "SELECT user_id % 50 AS key, arg_max(event_id, (ts, event_id)) AS op_id FROM events GROUP BY 1")(lambda spark, sf: replication.resolved(operations(spark, sf)).select("key", "op_id"))
 query("fww_resolve", "SELECT user_id % 50 AS key, arg_max(event_id, (-epoch_us(ts), event_id)) AS op_id FROM events GROUP BY 1")(lambda spark, sf: replication.resolved(operations(spark, sf), "first").select("key", "op_id"))
 query("priority_resolve", "SELECT user_id % 50 AS key, arg_max(event_id, (event_id % 2, ts, event_id)) AS op_id FROM events GROUP BY 1")(lambda spark, sf: replication.resolved(operations(spark, sf), "priority", priority={"a": 1, "b": 2}).select("key", "op_id"))
-query("clock_merge", "SELECT user_id % 50 AS key, max(event_id % 7) AS a, max(user_id % 5) AS b FROM events GROUP BY 1")(
+query("clock_merge", "SELECT user_id % 50 AS key, max(event_id % 7) AS a, max(event_id // 7 % 5) AS b FROM events GROUP BY 1")(
     lambda spark, sf: replication.merged_clocks(operations(spark, sf)).select("key", F.col("clock")["a"].alias("a"), F.col("clock")["b"].alias("b")))
 query("partition_gaps", "WITH l AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events) SELECT user_id, b AS start, ts AS end FROM l WHERE ts - b > INTERVAL 10800 SECOND")(
     lambda spark, sf: replication.silent(table(spark, sf, "events"), "user_id", "ts", 3600))
@@ -497,9 +518,23 @@ SELECT p_partkey, list_filter(l, lambda x, i: list_position(l, x) = i)[1:5] AS e
 query("word_variations", """SELECT p_partkey, list_filter([w, CASE WHEN ends_with(l, 'ing') THEN l[:-4] END, CASE WHEN ends_with(l, 'ed') THEN l[:-3] END, CASE WHEN ends_with(l, 's') AND length(l) > 1 THEN l[:-2] END, CASE WHEN ends_with(l, 'es') AND length(l) > 2 THEN l[:-3] END],
   lambda x: x IS NOT NULL) AS variations FROM (SELECT p_partkey, p_type || CASE p_partkey % 4 WHEN 0 THEN 'ing' WHEN 1 THEN 'ed' WHEN 2 THEN 'es' ELSE '' END AS w, lower(w) AS l FROM part)""")(
     lambda spark, sf: table(spark, sf, "part").select("p_partkey", text.variations(F.concat("p_type", F.element_at(F.array(F.lit("ing"), F.lit("ed"), F.lit("es"), F.lit("")), (F.col("p_partkey") % 4 + 1).cast("int")))).alias("variations")))
-query("document_entities")(lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.explode(text.document_entities(F.col("text"))).alias("entity")))
-query("query_entities")(lambda spark, sf: table(spark, sf, "conversations").select("conv_id", "turn", text.query_entities(F.col("text")).alias("entities")))
-query("query_plans")(lambda spark, sf: table(spark, sf, "conversations").select("conv_id", "turn", text.analysis(F.col("text")).alias("analysis")).select("conv_id", "turn", "analysis.intent", "analysis.plan"))
+query("document_entities", r"SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|\s)(\p{Lu}\S*(?:\s+\p{Lu}\S*)*)', 1)) AS entity FROM documents")(lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.explode(text.document_entities(F.col("text"))).alias("entity")))
+# each word between single spaces of its own, so that a run of words is a run of characters; a run does not begin with the first word
+ENTITIES = r"""w AS (SELECT conv_id, turn, text, lower(text) AS t, list_filter(string_split_regex(regexp_replace(text, '[^\p{L}\p{N}\p{M}\s]', ' ', 'g'), '\s+'), lambda x: x <> '') AS words FROM conversations),
+e AS (SELECT conv_id, turn, text, t, list_filter(list_transform(regexp_extract_all(array_to_string(list_transform(words[2:], lambda x: ' ' || x || ' '), ''), ' \p{Lu}+[^\p{Lu} ][^ ]* (?: (?:\p{Lu}[^ ]*|of|the|and) )*'),
+  lambda x: replace(trim(x), '  ', ' ')), lambda x: strlen(x) > 2) AS found FROM w)"""
+query("query_entities", f"WITH {ENTITIES} SELECT conv_id, turn, found AS entities FROM e")(lambda spark, sf: table(spark, sf, "conversations").select("conv_id", "turn", text.query_entities(F.col("text")).alias("entities")))
+query("query_plans", f"""WITH {ENTITIES}, i AS (SELECT *, {INTENT_SQL} AS intent, ({contains_sql(text.MULTI_HOP, False)} OR len(found) > 2) AND len(found) >= 2 AS planned FROM e)
+SELECT conv_id, turn, intent, CASE WHEN NOT planned THEN '' WHEN intent = 'Comparative' THEN found[1] || '|' || found[2] || '|Compare ' || found[1] || ' vs ' || found[2] ELSE array_to_string(found, '|') END AS steps,
+  CASE WHEN NOT planned THEN 0 WHEN intent = 'Comparative' THEN 2 ELSE len(found) - 1 END::INT AS dependencies FROM i""")(lambda spark, sf: _plans(table(spark, sf, "conversations")))
+
+
+def _plans(rows: DataFrame) -> DataFrame:
+    """The plans, flat: their steps' queries and how many dependencies these have together."""
+    told = rows.select("conv_id", "turn", text.analysis(F.col("text")).alias("a")).select("conv_id", "turn", "a.intent", "a.plan")
+    count = F.aggregate(F.transform("plan", lambda s: F.size(s.dependencies)), F.lit(0), lambda x, y: x + y)
+    return told.select("conv_id", "turn", "intent", F.coalesce(F.array_join(F.transform("plan", lambda s: s["query"]), "|"), F.lit("")).alias("steps"), F.coalesce(count, F.lit(0)).alias("dependencies"))
+
 
 # graphs
 
@@ -586,7 +621,7 @@ query("progress", "SELECT o_orderkey, round(o_orderkey / 7.5, 4)::DOUBLE AS rate
 query("numeric_ids", "SELECT p_partkey FROM part")(lambda spark, sf: table(spark, sf, "part").select(records.numeric_id(F.col("p_partkey").cast("string")).alias("p_partkey")))
 query("sequence_numbers", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS sequence FROM orders")(lambda spark, sf: collections.numbered(table(spark, sf, "orders"), "o_custkey", "o_orderkey").select("o_orderkey", "sequence"))
 query("context_window", "SELECT doc_id, coalesce(lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id), -1) AS before, coalesce(lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id), -1) AS after FROM documents")(
-    lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.coalesce(F.lag("doc_id").over(Window.partitionBy("source").orderBy("doc_id")), F.lit(-1)).alias("before"), F.coalesce(F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id")), F.lit(-1)).alias("after")))
+    lambda spark, sf: text.context(table(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id").select("doc_id", *(F.coalesce(F.get(c, F.lit(0)), F.lit(-1)).alias(c) for c in ("before", "after"))))
 
 # more quantisers and checks
 
@@ -623,11 +658,11 @@ query("promoted_key", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGIN
     lambda spark, sf: collections.promoted(events(spark, sf), "k", "integer").where("k > 7").select("event_id", "k"))
 
 
-@query("vector_extraction", "SELECT vec_id AS id, round(list_sum(embedding::DOUBLE[]), 3) AS total FROM embeddings WHERE vec_id < 100")
+@query("vector_extraction", "SELECT vec_id AS id, round(list_sum(embedding::DOUBLE[]), 3) AS total FROM embeddings")
 def _(spark, sf):
     named = F.when(F.col("id") % 2 == 0, F.to_json(F.struct(F.col("vector").alias("embedding")))).otherwise(F.to_json(F.struct(F.col("vector").alias("vec"))))
     found = records.vector_of(F.parse_json(named))
-    return points(spark, sf).where("id < 100").select("id", F.round(V.total(F.transform(found, lambda x: x.cast("double"))), 3).alias("total"))
+    return points(spark, sf).select("id", F.round(V.total(F.transform(found, lambda x: x.cast("double"))), 3).alias("total"))
 
 
 query("durations", """SELECT o_orderkey, CASE WHEN h > 0 THEN h || 'h ' || m || 'm ' || s || 's' WHEN m > 0 THEN m || 'm ' || s || 's' ELSE s || 's' END AS duration
@@ -638,6 +673,8 @@ query("fault_tolerance", "SELECT p_partkey, round(greatest(0, (50 - p_size) / 50
 query("record_batch", "SELECT p_partkey AS id, p_name FROM part ORDER BY 1 LIMIT 20 OFFSET 30")(lambda spark, sf: formats.fetched(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_name"), 30, 20))
 query("score_with_payload", nearest_sql("dot", limit=6).replace("round(score, 4) AS score", "round(score, 4) AS score, (SELECT label FROM embeddings x WHERE x.vec_id = s.id) AS label"))(
     lambda spark, sf: search.search(with_payload(spark, sf), search.Request(query_vector(spark, sf), 6, metric="IP", with_payload=["label"])).select("rank", "id", F.round("score", 4).alias("score"), F.try_variant_get("payload", "$.label", "int").alias("label")))
-query("range_scan", "SELECT vec_id AS id, label FROM embeddings WHERE vec_id BETWEEN 10 AND 40")(lambda spark, sf: points(spark, sf).where(F.col("id").between(10, 40)).orderBy("id").select("id", "label"))
+query("range_scan", "SELECT vec_id AS id, label FROM embeddings WHERE vec_id BETWEEN 10 AND 40")(lambda spark, sf: collections.scanned(points(spark, sf), 10, 40).select("id", "label"))
 query("group_consecutive_writes", "SELECT user_id, sum(CASE WHEN event_type = before THEN 1 ELSE 0 END)::BIGINT AS repeats FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) GROUP BY 1")(
-    lambda spark, sf: table(spark, sf, "events").withColumn("before", F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))).groupBy("user_id").agg(F.sum(F.when(F.col("event_type") == F.col("before"), 1).otherwise(0)).alias("repeats")))
+    lambda spark, sf: history.repeats(table(spark, sf, "events"), "user_id", "event_id", "event_type"))
+
+from sagitta import queries_more  # noqa: E402, F401
