@@ -38,13 +38,13 @@ SINGLE, FREQUENCY, ENDING = 64, 32, 32
 CLASSES = SINGLE + FREQUENCY + ENDING
 #: Contexts of the word factor: the classes, and the start of a text.
 PLACES = CLASSES + 1
-#: Least and most named tokens (one less) and hashed pairs: they double with every fourfold of a million tokens.
+#: Least and most named tokens (one less) and hashed pairs: they double with every fourfold of a million training tokens.
 NAMED, PAIRS, ENDINGS = (1 << 10, 1 << 14), (1 << 12, 1 << 17), 1024
 HEAD = 1 << 20
 END = np.uint64(1)
 BATCH = 4096
 #: Bytes of texts whose tokens are batched together.
-BLOCK = 1 << 20
+BLOCK = 4 << 20
 #: Rounds of gradient updates, their step, and the weight of each kind of feature at the start.
 ROUNDS, RATE, START_WEIGHTS = 3, 0.6, (0.5, 0.3, 0.3)
 #: Smoothing: tokens' worth of the classes' shares behind every feature, the least preconditioner, tokens' worth behind a word's contexts.
@@ -213,14 +213,26 @@ def log_shares(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarr
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
+def histories(f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different histories of a block, in order: the place of one token of each, each token's history, and how many tokens have it.
+
+    Few of a block's histories are different, and the classes' scores depend on nothing else.
+    """
+    _, one, own, count = np.unique(f[0] * (f[1].max(initial=0) + 1) + f[1], return_index=True, return_inverse=True, return_counts=True)
+    return one, own, count
+
+
 def chosen_logs(weights: np.ndarray, bias: np.ndarray, f: np.ndarray, y: np.ndarray, space: Space) -> np.ndarray:
     """The log of the probability of each token's own class."""
-    out = np.empty(len(y))
-    for i in range(0, len(y), BATCH):
-        z = space.scores(weights, bias, f[:, i : i + BATCH])
-        own = z[np.arange(len(z)), y[i : i + BATCH]]
+    out, (one, own, count) = np.empty(len(y)), histories(f)
+    order, ends = np.argsort(own, kind="stable"), np.concatenate([[0], np.cumsum(count)])
+    for i in range(0, len(one), BATCH):
+        z = space.scores(weights, bias, f[:, one[i : i + BATCH]])
+        mine = order[ends[i] : ends[i + len(z)]]
+        row = own[mine] - i
+        chosen = z[row, y[mine]]
         np.exp(z, out=z)
-        out[i : i + BATCH] = own - np.log(z.sum(axis=1))
+        out[mine] = chosen - np.log(z.sum(axis=1))[row]
     return out
 
 
@@ -239,17 +251,30 @@ def run_sums(x: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
+def sorted_rows(rows: np.ndarray) -> np.ndarray:
+    """The order of whole numbers under 2**32, by their halves of 16 bits, which numpy sorts by radix."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    if rows.max(initial=0) < 1 << 16:
+        return order
+    return order[np.argsort((rows[order] >> 16).astype(np.uint16), kind="stable")]
+
+
 def add_gradient(total: np.ndarray, weights: np.ndarray, bias: np.ndarray, f: np.ndarray, y: np.ndarray, space: Space) -> None:
-    """Adds a batch's gradient: for each of its feature rows, the expected less the observed classes."""
-    g = space.scores(weights, bias, f)
-    np.exp(g, out=g)
-    g /= g.sum(axis=1, keepdims=True)
-    g[np.arange(len(y)), y] -= 1
+    """Adds a block's gradient: for each of its feature rows, the expected less the observed classes."""
+    flat_ = total.reshape(-1)
     for rows in f:
-        order = np.argsort(rows, kind="stable")
-        row = rows[order]
-        start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        total[row[start]] += run_sums(np.take(g, order, axis=0, out=space.t[: len(y)], mode="clip"), start)
+        np.subtract.at(flat_, rows * CLASSES + y, 1.0)
+    one, _, count = histories(f)
+    for i in range(0, len(one), BATCH):
+        few = f[:, one[i : i + BATCH]]
+        g = space.scores(weights, bias, few)
+        np.exp(g, out=g)
+        g *= (count[i : i + BATCH] / g.sum(axis=1)).astype(np.float32)[:, None]
+        for rows in few:
+            order = sorted_rows(rows)
+            row = rows[order]
+            start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            total[row[start]] += run_sums(np.take(g, order, axis=0, out=space.t[: len(row)], mode="clip"), start)
 
 
 def summed(docs: DataFrame, size: int, fill: Callable[[np.ndarray, np.ndarray, np.ndarray], None], kind: type) -> np.ndarray:
@@ -383,6 +408,9 @@ def train(docs: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> Model:
     smooth = observed + PRIOR * share
     kinds = np.repeat(START_WEIGHTS, [known.context, known.context, known.pairs])[:, None]
     weights = (kinds * np.log(smooth / ((observed.sum(axis=1, keepdims=True) + PRIOR) * share))).astype(np.float32)
+    # a round has its share of the documents, so fewer partitions send sums
+    parts = docs.select(F.spark_partition_id().alias("part")).agg(F.max("part")).first()[0] + 1
+    few = max(-(-parts // rounds), min(parts, spark.sparkContext.defaultParallelism))
     for turn in range(rounds):
         now = spark.sparkContext.broadcast(weights)
 
@@ -391,10 +419,9 @@ def train(docs: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> Model:
                 space.append(Space())
             _, y, f, _ = seen(data, offs)
             total = total.reshape(-1, CLASSES)
-            for i in range(0, len(y), BATCH):
-                add_gradient(total, now.value, made.bias, f[:, i : i + BATCH], y[i : i + BATCH], space[0])
+            add_gradient(total, now.value, made.bias, f, y, space[0])
 
-        mine = docs.where(F.pmod(F.xxhash64(F.lit("round"), "doc_id", "text"), F.lit(rounds)) == turn)
+        mine = docs.where(F.pmod(F.xxhash64(F.lit("round"), "doc_id", "text"), F.lit(rounds)) == turn).coalesce(few)
         total = summed(mine, wide, gradient, np.float32).reshape(-1, CLASSES)
         weights = (weights - np.clip(RATE * total / (smooth / rounds + LEAST), -1, 1)).astype(np.float32)
         now.unpersist()
