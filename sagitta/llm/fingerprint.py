@@ -15,6 +15,9 @@ also very long ones; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,15 +81,27 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), estimate)))
 
 
-def ranges(docs: DataFrame, key: Column, rows: int = RANGE_ROWS) -> list[int]:
-    """Lower bounds of ranges of key with about equal numbers of rows. All bounds are values that occur."""
+def ranges(docs: DataFrame, key: Column, tie: Column, rows: int = RANGE_ROWS) -> list[tuple[int, int]]:
+    """Lower bounds (key, tie) of ranges of about equal numbers of rows, in order. The tie is FIRST for a key of one range.
+
+    The bounds are quantiles of the keys. A key that is several of them, as many rows have it, is cut by its rows' ties: its
+    bounds are the least ties of its parts.
+    """
     n, least = docs.agg(F.count(F.lit(1)), F.min(key)).first()
     if not n:
         return []
     k = min(RANGES, -(-n // rows))
     marks = [i / k for i in range(1, k)]
     found = docs.agg(F.percentile_approx(key, F.array(*map(F.lit, marks)), F.lit(max(10_000, 4 * k)))).first()[0] if marks else []
-    return sorted({least, *found})
+    times = Counter([least, *found])
+    hot = {x: c for x, c in times.items() if c > 1}
+    bounds = [(x, FIRST) for x in times if x not in hot]
+    if hot:
+        parts = F.create_map(*(F.lit(x).cast("long") for pair in hot.items() for x in pair))
+        cuts = docs.select(key.alias("key"), tie.alias("tie")).where(parts[F.col("key")].isNotNull())
+        cuts = cuts.groupBy("key", F.floor((F.col("tie") / 2.0**64 + 0.5) * parts[F.col("key")]).alias("part")).agg(F.min("tie").alias("tie"))
+        bounds += [(r.key, r.tie) for r in cuts.collect()]
+    return sorted(bounds)
 
 
 def range_of(key: Column, bounds: list[int]) -> Column:
@@ -99,21 +114,33 @@ def range_of(key: Column, bounds: list[int]) -> Column:
     return let(key, lambda k: let(count(coarse, k) - 1, lambda c: c * STEP + count(F.slice(every, c * STEP + 1, F.lit(STEP)), k) - 1))
 
 
-def neighbours(docs: DataFrame, carried: dict[str, Column]) -> DataFrame:
+def neighbours(docs: DataFrame, carried: dict[str, Column], text: str = "text") -> DataFrame:
     """docs with a column next_<name> for each of carried, that column of the next row by doc_id (the last: of the first).
 
-    Rows are dealt by ranges of ids; the first row of each range also goes, as a guest, to the end of the range before.
+    Rows are dealt by ranges of ids, and of texts' hashes where many rows share an id; the first row of each range also goes, as a
+    guest, to the end of the range before.
     """
-    names = fresh(docs, "key", "range", "place", "at", "guest", *(f"own_{n}" for n in carried))
-    key, range_, place, at, guest, *own = names
-    bounds = ranges(docs, F.coalesce(F.col("doc_id"), F.lit(FIRST).cast("long"))) or [0]
-    rows = docs.withColumns({key: F.coalesce(F.col("doc_id"), F.lit(FIRST).cast("long")), **dict(zip(own, carried.values(), strict=True))})
-    rows = rows.withColumn(range_, range_of(F.col(key), bounds))
-    first = F.col(key) == F.get(F.array(*(F.lit(b).cast("long") for b in bounds)), F.col(range_))
-    here = F.struct(F.col(range_).alias("at"), F.lit(0).alias("guest"))
-    there = F.struct(F.pmod(F.col(range_) - 1, F.lit(len(bounds))).alias("at"), F.lit(1).alias("guest"))
-    dealt = rows.withColumn(place, F.explode(F.when(first, F.array(here, there)).otherwise(F.array(here)))).withColumns({at: F.col(f"{place}.at"), guest: F.col(f"{place}.guest")})
-    along = Window.partitionBy(at).orderBy(guest, key, F.xxhash64(*own))
+    names = fresh(docs, "key", "tie", "range", "place", "at", "guest", *(f"own_{n}" for n in carried))
+    key, tie, range_, place, at, guest, *own = names
+    id_, hash_ = F.coalesce(F.col("doc_id"), F.lit(FIRST).cast("long")), F.xxhash64(text)
+    bounds = ranges(docs, id_, hash_) or [(0, FIRST)]
+    keys = sorted({k for k, _ in bounds})
+    starts = [bisect.bisect_left(bounds, (k, FIRST)) for k in keys]
+    cuts = {i: [t for _, t in bounds[a:b]] for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(bounds)], strict=True)) if bounds[a][1] != FIRST}
+    long = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
+    rows = docs.withColumns({key: id_, tie: hash_, **dict(zip(own, carried.values(), strict=True))})
+    rows = rows.withColumn(range_, range_of(F.col(key), keys))
+    opens, number = F.col(key) == F.get(long(keys), F.col(range_)), F.col(range_)
+    if cuts:
+        # a row of an id that is cut goes by its tie; the later ids of its range go to the last part
+        ties = F.create_map(*(x for i, ts in cuts.items() for x in (F.lit(i), long(ts))))[F.col(range_)]
+        part = F.when(ties.isNull(), 0).when(opens, F.size(F.filter(ties, lambda t: t <= F.col(tie))) - 1).otherwise(F.size(ties) - 1)
+        number = F.get(long(starts), F.col(range_)).cast("int") + part
+        opens = opens & (ties.isNull() | (F.get(ties, part) == F.col(tie)))
+    here = F.struct(number.alias("at"), F.lit(0).alias("guest"))
+    there = F.struct(F.pmod(number - 1, F.lit(len(bounds))).alias("at"), F.lit(1).alias("guest"))
+    dealt = rows.withColumn(place, F.explode(F.when(opens, F.array(here, there)).otherwise(F.array(here)))).withColumns({at: F.col(f"{place}.at"), guest: F.col(f"{place}.guest")})
+    along = Window.partitionBy(at).orderBy(guest, key, tie)
     out = dealt.withColumns({f"next_{n}": F.lead(o).over(along) for n, o in zip(carried, own, strict=True)}).where(F.col(guest) == 0)
     return out.select(*docs.columns, *(F.col(o).alias(n) for n, o in zip(carried, own, strict=True) if n not in docs.columns), *(f"next_{n}" for n in carried))
 

@@ -74,7 +74,8 @@ def test_fingerprints_against_sets(spark):
     assert all(len(f) == 1 for f in by_text.values())
 
 
-def test_fingerprint_neighbours(spark, tmp_path):
+def test_fingerprint_neighbours(spark, tmp_path, monkeypatch):
+    plain_ranges = fingerprint.ranges
     ids = [5, 3, 9, 3, None, 7]
     sf = written(spark, tmp_path, [(i, f"text {k} of {i}", "en", "s") for k, i in enumerate(ids)])
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
@@ -86,6 +87,18 @@ def test_fingerprint_neighbours(spark, tmp_path):
     assert [t.rsplit(" ", 1)[1] for t in order] == ["None", "3", "3", "5", "7", "9"] and after[order[-1]] == order[0]
     one = docs.where("doc_id = 9")
     assert fingerprint.neighbours(one, {"text": F.col("text")}).first().next_text == "text 2 of 9"
+    hot = [(i, f"text {k}") for k, i in enumerate([None] * 60 + [7] * 40 + list(range(20)))]
+    rows = spark.createDataFrame(hot, "doc_id long, text string").repartition(7)
+    for size in (5, 1000):
+        monkeypatch.setattr(fingerprint, "ranges", lambda d, k, t, f=plain_ranges, n=size: f(d, k, t, n))
+        after = {r.text: r.next_text for r in fingerprint.neighbours(rows, {"text": F.col("text")}).collect()}
+        order = [f"text {0}"]
+        while len(order) < len(hot):
+            order.append(after[order[-1]])
+        ids = [dict((t, i) for i, t in hot)[t] for t in order]
+        start = ids.index(None) if ids[0] is not None else next(k for k in range(len(ids)) if ids[k - 1] is not None and ids[k] is None)
+        turned = ids[start:] + ids[:start]
+        assert sorted(order) == sorted(t for _, t in hot) and [i if i is not None else -1 for i in turned] == sorted(i if i is not None else -1 for i, _ in hot)
     bounds = list(range(0, 3000, 3))
     assert [r[0] for r in spark.range(0, 3000, 7).select(fingerprint.range_of(F.col("id"), bounds)).collect()] == [i // 3 for i in range(0, 3000, 7)]
 
