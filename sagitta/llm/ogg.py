@@ -4,7 +4,9 @@
 verifies each page's checksum and sequence, reassembles packets from the lacing values (across pages too), separates
 the logical streams by serial number and derives times from granule positions.
 
-A null payload is an empty one. Equal payloads give equal bytes: serial numbers are fixed, nothing depends on time.
+A null payload is an empty one. Equal payloads give equal bytes: serial numbers are fixed, nothing depends on time. Rows are
+independent, so repeated rows give repeated results and an empty table an empty one; payloads of any length are read whole, one
+at a time; extra columns are ignored. Bytes that are no such container give a row with an error, not a failed task.
 """
 
 from __future__ import annotations
