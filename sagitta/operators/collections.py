@@ -249,6 +249,7 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self.loaded: dict[str, tuple[str | None, DataFrame]] = {}
 
     def create(self, name: str, dim: int, metric: str = "cosine", **schema) -> Collection:
         """A new collection; an error if there is one of that name. schema: whatever else its configuration holds."""
@@ -291,6 +292,21 @@ class Catalog:
         """The nearest points of several collections (all) together."""
         return search.explore({n: self.open(n).points() for n in names or self.list()}, request)
 
+    def load(self, name: str) -> DataFrame:
+        """Keeps a collection's points, as they are now, in the executors' memory until it is released."""
+        if name not in self.loaded:
+            self.loaded[name] = (self.open(name).version, self.open(name).points().cache())
+        return self.loaded[name][1]
+
+    def release(self, name: str) -> None:
+        if name in self.loaded:
+            self.loaded.pop(name)[1].unpersist()
+
+    def load_state(self, name: str) -> str:
+        """loaded, stale (it has changed since) or not loaded; an error for a collection that does not exist."""
+        now = self.open(name).version
+        return "not loaded" if name not in self.loaded else "loaded" if self.loaded[name][0] == now else "stale"
+
     def find(self, point_id: int) -> DataFrame:
         """The points of one id in all collections, with the collection's name."""
         out = None
@@ -300,14 +316,6 @@ class Catalog:
         return out
 
 
-def load(points: DataFrame) -> DataFrame:
-    return points.cache()
-
-
-def release(points: DataFrame) -> DataFrame:
-    return points.unpersist()
-
-
 def promoted(points: DataFrame, key: str, kind: str) -> DataFrame:
     """An index on a payload key: the key as a typed column, which Parquet keeps statistics of. kind: keyword, text, integer, float, boolean."""
     types = {"keyword": "string", "text": "string", "integer": "bigint", "float": "double", "boolean": "boolean"}

@@ -62,6 +62,11 @@ class Lists:
         near = assigned.where(F.col("list").isin(self.probed(query, probes)))
         return near.select(id_column, m.value(vector, query).alias("score")).orderBy(m.order("score"), id_column).limit(limit)
 
+    def search_codes(self, assigned: DataFrame, codes: DataFrame, quantiser: quantize.Product, query: list[float], limit: int = 10, probes: int = 10, oversampling: float = 4.0, id_column: str = "id", vector: str = "vector") -> DataFrame:
+        """The nearest of the probed lists' rows by product codes (id and codes), re-ranked by exact distances: id and distance."""
+        near = assigned.where(F.col("list").isin(self.probed(query, probes)))
+        return quantize.reranked(near, codes.join(near.select(id_column), id_column, "left_semi"), quantiser, query, limit, oversampling, id_column, vector)
+
 
 def recall(points: DataFrame, queries: DataFrame, lists: Lists, limit: int = 10, probes: int = 8, id_column: str = "id", vector: str = "vector") -> DataFrame:
     """queries and recall: the share of the truly nearest points (Euclidean) that probing so many lists finds, over all queries.
@@ -95,6 +100,19 @@ def hyperplanes(rows: DataFrame, dim: int, bits: int = 16, tables: int = 4, seed
     return rows.where(F.col(vector).isNotNull()).select(id_column, vector).mapInArrow(work, f"{id_column} {kind}, table int, bucket long")
 
 
+def bucket_search(rows: DataFrame, query: list[float], limit: int = 10, metric: str = "euclidean", bits: int = 8, tables: int = 12, seed: int = 1, id_column: str = "id", vector: str = "vector") -> DataFrame:
+    """The nearest rows that share a hyperplane bucket with the query in any table: id and score. More tables, more found.
+
+    The sides are computed for all rows here; ``hyperplanes`` makes a table of them that may be kept, bucketed by table and bucket.
+    """
+    m, planes = V.metric(metric), np.random.default_rng(seed).normal(size=(len(query), tables * bits))
+    own = ((np.array(query, float) @ planes > 0).reshape(tables, bits) * (1 << np.arange(bits))).sum(1)
+    buckets = hyperplanes(rows, len(query), bits, tables, seed, id_column, vector)
+    mine = F.create_map(*(F.lit(int(x)) for pair in enumerate(own) for x in pair))
+    near = buckets.where(F.col("bucket") == mine[F.col("table")]).select(id_column).distinct()
+    return rows.join(near, id_column, "left_semi").select(id_column, m.value(vector, query).alias("score")).orderBy(m.order("score"), id_column).limit(limit)
+
+
 def advice(points: int, dim: int, memory_mb: float | None = None) -> str:
     """Which search suits so many points: flat to 10,000, lists to a million, product codes where memory falls short."""
     if points <= 10_000:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sagitta.functions import records
 from sagitta.functions import vectors as V
-from sagitta.operators import cache, collections, filters, history, index, quantize, replication, search
+from sagitta.operators import cache, collections, filters, history, index, quantize, replication, search, workloads
 from sagitta.plans import dialects
 from sagitta.queries import D, Q0, batch_sql, events, nearest_sql, operations, points, product, query, query_vector, table, with_payload
 from sagitta.sources import backup, checkpoints, formats
@@ -245,6 +245,49 @@ def _(spark, sf):
     return spark.read.parquet(f"{out}/v1").where("not deleted").select("vector_id")
 
 
+query("log_gaps", "SELECT unnest(['a', 'b']) AS collection, unnest([3, 1]) AS sequence, unnest([1, NULL]) AS before")(
+    lambda spark, sf: changes.gaps(spark.createDataFrame([("a", 0), ("a", 1), ("a", 3), ("a", 4), ("b", 1), ("c", 0)], "collection string, sequence long")).select("collection", F.col("sequence").cast("int").alias("sequence"), F.col("before").cast("int").alias("before")))
+
+
+@query("loaded_states", "SELECT unnest(['not loaded', 'loaded', 'stale', 'not loaded']) AS state, unnest([0, 1, 2, 3]) AS step")
+def _(spark, sf):
+    catalog, c = filled(spark, sf)
+    told = [catalog.load_state("points")]
+    catalog.load("points")
+    told.append(catalog.load_state("points"))
+    c.delete([1])
+    told.append(catalog.load_state("points"))
+    catalog.release("points")
+    told.append(catalog.load_state("points"))
+    return spark.createDataFrame(list(zip(told, range(4), strict=True)), "state string, step int")
+
+
+def drawn(what: str, step: str = "0", times: int = 1) -> str:
+    return f"(CAST('0x' || substr(md5('0:{what}:' || id || ':' || {step}), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)" + (f" * {times}" if times > 1 else "")
+
+
+@query("bank_balances", f"""WITH t AS (SELECT id, floor({drawn("key", times=10)})::BIGINT AS a, floor({drawn("to", times=9)})::BIGINT AS d, 1 + floor({drawn("value", times=100)})::BIGINT AS v FROM range(5000) r(id) WHERE {drawn("kind")} >= 0.3),
+m AS (SELECT a AS k, -v AS v FROM t UNION ALL SELECT (a + 1 + d) % 10, v FROM t) SELECT 'account-' || k AS key, sum(v) + 1000 AS balance FROM m GROUP BY 1""")
+def _(spark, sf):
+    return workloads.balances(workloads.history(spark, "bank", 5000), 1000)
+
+
+_others = " UNION ALL ".join(
+    f"""SELECT '{kind}' AS work, CASE WHEN {drawn("kind", "step")} < {w.reads}::DOUBLE THEN 'read' ELSE '{w.does}' END AS kind, count(*) AS n, count(DISTINCT floor({drawn("key", "step", w.count)})) AS objects
+FROM (SELECT id, unnest(range(0, 1 + floor((CAST('0x' || substr(md5('0:size:' || id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE) * {w.size})::BIGINT)) AS step FROM range(500) r(id)) GROUP BY ALL"""
+    for kind, w in workloads.KINDS.items()
+)
+
+
+@query("workload_kinds", _others)
+def _(spark, sf):
+    out = None
+    for kind in workloads.KINDS:
+        told = workloads.history(spark, kind, 500).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("objects")).withColumn("work", F.lit(kind))
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
 # quantisers and indexes
 
 query("delta_lists", "SELECT label, list_sort(list(vec_id)) AS ids, list_sort(list(vec_id))[1] AS first FROM embeddings GROUP BY 1")(
@@ -289,6 +332,21 @@ def _(spark, sf):
     return out
 
 
+@query("ivf_pq_all", nearest_sql("l2").replace("round(score, 4) AS score", "round(score, 4) AS distance"))
+def _(spark, sf):
+    """Lists and product codes, with all lists probed and every row re-ranked: the exact result."""
+    rows, pq = points(spark, sf), product(spark, sf)
+    lists = index.Lists.train(rows, 16)
+    found = lists.search_codes(lists.assigned(rows), quantize.encoded(rows, pq), pq, query_vector(spark, sf), 10, 16, max(1.0, rows.count() / 10))
+    return found.withColumn("rank", F.row_number().over(Window.orderBy("distance", "id"))).select("rank", "id", F.round("distance", 4).alias("distance"))
+
+
+@query("bucket_search", "SELECT vec_id AS id, 0.0 AS score FROM embeddings WHERE vec_id = 0")
+def _(spark, sf):
+    """The query's own vector is in all of its buckets, so it comes first."""
+    return index.bucket_search(points(spark, sf), query_vector(spark, sf), 10).orderBy("score", "id").limit(1).select("id", F.round("score", 4).alias("score"))
+
+
 query("index_advice", "SELECT unnest([100, 100000, 10000000]) AS points, unnest(['flat', 'lists', 'lists, high recall']) AS advice")(
     lambda spark, sf: spark.createDataFrame([(n, index.advice(n, 64)) for n in (100, 100_000, 10_000_000)], "points int, advice string"))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -20,6 +21,8 @@ from pyspark.sql.types import StructType
 
 MAGIC = b"VEC1"
 VERSION = 1
+#: Bytes of a file at most, so that a task can hold one.
+FILE_BYTES = 32 << 20
 SCHEMA = "id string, vector array<float>, metadata string"
 
 
@@ -54,16 +57,23 @@ def unpacked(data: bytes, magic: bytes = MAGIC) -> Iterator[tuple[str, list[floa
         raise ValueError("a record is cut short") from e
 
 
+def folder(path: str) -> str:
+    """The plain path of a folder that driver and executors see alike; an error for a store that needs a client."""
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*://?", path) and not path.startswith("file:"):
+        raise ValueError(f"vector-records writes to a folder that all executors share, not to {path}")
+    return re.sub("^file:/*", "/", path)
+
+
 @dataclass
 class Part(InputPartition):
     path: str
 
 
 class Reader(DataSourceReader):
-    """One partition a file, in a folder that all executors see."""
+    """One partition a file, in a folder that all executors share. ``formats.read_binary`` reads any store."""
 
     def __init__(self, options: dict):
-        self.path, self.magic = options["path"].removeprefix("file:").replace("///", "/"), options.get("magic", MAGIC.decode()).encode()
+        self.path, self.magic = folder(options["path"]), options.get("magic", MAGIC.decode()).encode()
 
     def partitions(self) -> list[Part]:
         return [Part(p) for p in (sorted(glob.glob(f"{self.path}/*.bin")) if os.path.isdir(self.path) else [self.path])]
@@ -75,38 +85,48 @@ class Reader(DataSourceReader):
 
 @dataclass
 class Done(WriterCommitMessage):
-    path: str
+    paths: list[str]
 
 
 class Writer(DataSourceWriter):
-    """One file a task, which gets its name when the job is committed."""
+    """Files of FILE_BYTES at most, or of one record, which get their names when the job is committed."""
 
     def __init__(self, options: dict, overwrite: bool):
-        self.path, self.magic, self.overwrite = options["path"].removeprefix("file:").replace("///", "/"), options.get("magic", MAGIC.decode()).encode(), overwrite
+        self.path, self.magic, self.overwrite = folder(options["path"]), options.get("magic", MAGIC.decode()).encode(), overwrite
 
     def write(self, iterator) -> Done:
         os.makedirs(self.path, exist_ok=True)
-        path, n = f"{self.path}/.part-{uuid.uuid4().hex}.new", 0
-        with open(path, "wb") as f:
-            f.write(self.magic + struct.pack("<IQ", VERSION, 0))
-            for row in iterator:
-                f.write(packed(row[0], list(row[1]), row[2]))
-                n += 1
-            f.seek(len(self.magic) + 4)
-            f.write(struct.pack("<Q", n))
-        return Done(path)
+        paths: list[str] = []
+        held: list[bytes] = []
+        size = 0
+
+        def put() -> None:
+            paths.append(f"{self.path}/.part-{uuid.uuid4().hex}.new")
+            with open(paths[-1], "wb") as f:
+                f.write(self.magic + struct.pack("<IQ", VERSION, len(held)) + b"".join(held))
+
+        for row in iterator:
+            record = packed(row[0], list(row[1]), row[2])
+            if held and size + len(record) > FILE_BYTES:
+                put()
+                held, size = [], 0
+            held.append(record)
+            size += len(record)
+        if held or not paths:
+            put()
+        return Done(paths)
 
     def commit(self, messages) -> None:
-        if self.overwrite:
-            for p in glob.glob(f"{self.path}/*.bin"):
-                os.remove(p)
-        for k, m in enumerate(m for m in messages if m):
-            os.rename(m.path, f"{self.path}/part-{k:05d}-{uuid.uuid4().hex[:8]}.bin")
+        old = glob.glob(f"{self.path}/*.bin") if self.overwrite else []
+        for k, p in enumerate(p for m in messages if m for p in m.paths):
+            os.rename(p, f"{self.path}/part-{k:05d}-{uuid.uuid4().hex[:8]}.bin")
+        for p in old:
+            os.remove(p)
 
     def abort(self, messages) -> None:
-        for m in messages:
-            if m and os.path.exists(m.path):
-                os.remove(m.path)
+        for p in (p for m in messages if m for p in m.paths):
+            if os.path.exists(p):
+                os.remove(p)
 
 
 class VectorRecords(DataSource):

@@ -102,9 +102,22 @@ def write_csv(rows: DataFrame, path: str, keys: list[str] | None = None) -> None
     rows.select("id", F.concat_ws(";", F.transform("vector", lambda x: x.cast("string"))).alias("vector"), *cells).write.option("header", True).option("escape", '"').csv(path)
 
 
-def read_binary(spark: SparkSession, path: str) -> DataFrame:
-    binary.register(spark)
-    return spark.read.format("vector-records").load(path)
+def read_binary(spark: SparkSession, path: str, magic: bytes = binary.MAGIC) -> DataFrame:
+    """Files of vector records, or folders of them, in any store that Spark reads; a task holds one file at a time."""
+    import pyarrow as pa
+
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin*").load(path).select("content")
+    names, step = ["id", "vector", "metadata"], 10_000
+
+    def work(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                held = list(binary.unpacked(content.as_py(), magic))
+                for a in range(0, len(held), step):
+                    ids, vectors, meta = zip(*held[a : a + step], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(vectors, pa.list_(pa.float32())), pa.array(meta, pa.string())], names)
+
+    return raw.mapInArrow(work, binary.SCHEMA)
 
 
 def write_binary(rows: DataFrame, path: str) -> None:

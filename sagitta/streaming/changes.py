@@ -16,6 +16,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from sagitta.operators import ordering
 from sagitta.operators.collections import latest
+from sagitta.sources import files
 
 EVENT = "event_id string, collection string, vector_id long, change_type string, vector array<float>, previous_vector array<float>, ts timestamp, transaction_id string, sequence long"
 
@@ -52,6 +53,16 @@ def subscribe(spark: SparkSession, log: str, collection: str | None = None, per_
     return stream if collection is None else stream.where(F.col("collection") == collection)
 
 
+def gaps(events: DataFrame) -> DataFrame:
+    """Where a log's sequence numbers leave out or repeat some: collection, sequence and before, the number that came before it (null: the first, over 0).
+
+    A replay of the log is whole if there are none.
+    """
+    along = Window.partitionBy("collection").orderBy("sequence")
+    told = events.select("collection", "sequence", F.lag("sequence").over(along).alias("before"))
+    return told.where(F.col("sequence") != F.coalesce("before", F.lit(-1)) + 1)
+
+
 def state(events: DataFrame) -> DataFrame:
     """collection, vector_id and vector after all events: the last of each vector counts, deleted ones are gone."""
     rows = events.withColumn("_key", F.struct("collection", "vector_id"))
@@ -71,6 +82,8 @@ def materialise(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery
             both = old.unionByName(last).withColumn("_key", F.struct("collection", "vector_id"))
             last = latest(both, "_key", "sequence").drop("_key")
         last.write.mode("overwrite").parquet(f"{path}/v{number}")
+        # a repeated batch reads the version before its own; older ones are of no use
+        files.delete(spark, f"{path}/v{number - 2}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

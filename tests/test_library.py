@@ -7,14 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from sagitta.functions import records, text
-from sagitta.operators import cache, graph, history, replication
+from sagitta.operators import cache, graph, history, ordering, replication, ring
 from sagitta.sources import backup, binary, checkpoints, connectors, formats
 from sagitta.streaming import changes
 
 INTENTS = {
-    "What is the capital of France?": "Definitional", "What is machine learning?": "Definitional", "How to cook pasta?": "Procedural", "How to bake bread?": "Procedural",
-    "Compare apples vs oranges": "Comparative", "Compare Python and Java": "Comparative", "Why is the sky blue?": "Causal", "Why does it rain?": "Causal", "List all countries in Europe": "Aggregational",
-    "List all prime numbers": "Aggregational", "When did WW2 start?": "Temporal", "When was the Eiffel Tower built?": "Temporal", "Who is the president?": "Factual", "Really?": "Factual", "Hm": "Unknown", "": "Unknown",
+    "What is a fjord?": "Definitional", "Meaning of tundra": "Definitional", "How to mend a net?": "Procedural", "Steps for tanning hides": "Procedural", "A guide to knots": "Procedural",
+    "Compare wool with linen": "Comparative", "Oak versus ash": "Comparative", "Why do geese fly south?": "Causal", "The reason for tides": "Causal", "List lakes of Finland": "Aggregational",
+    "Every bridge in town": "Aggregational", "When did the ferry stop?": "Temporal", "The latest tide table": "Temporal", "Who built the pier?": "Factual", "Really?": "Factual", "Hm": "Unknown",
 }
 
 
@@ -28,8 +28,8 @@ def test_intents(spark):
 
 
 def test_entities(spark):
-    got = values(spark, ["What is the capital of United States?", "Who founded Microsoft Corporation?", "NASA sent it", "x Bank of the West and y", "a B"], text.query_entities(F.col("t")))
-    assert got == [["United States"], ["Microsoft Corporation"], [], ["Bank of the West and"], []]
+    got = values(spark, ["Who sailed to Lake Ladoga?", "was it Harbour Trust Limited?", "UNESCO sent it", "x Port of the North and y", "a B"], text.query_entities(F.col("t")))
+    assert got == [["Lake Ladoga"], ["Harbour Trust Limited"], [], ["Port of the North and"], []]
     assert values(spark, ["The Big dog, Ann  Lee."], text.document_entities(F.col("t"))) == [["The Big", "Ann  Lee."]]
 
 
@@ -51,6 +51,83 @@ def test_register(spark):
     assert sorted(r.i for r in bad.collect()) == [3, 6]
 
 
+def plain_replay(ops):
+    """The operations, in order, that a register contradicts, with its value before them."""
+    state, out = {}, []
+    for i, key, kind, new, old, ok in ops:
+        now = state.get(key)
+        if ok and (kind == "read" and new != now or kind == "cas" and old != now):
+            out.append((i, now))
+        if ok and kind in ("write", "cas"):
+            state[key] = new
+    return out
+
+
+def test_replay_with_compare_and_set(spark):
+    ops = [(1, "k", "read", None, None, True), (2, "k", "write", 1, None, True), (3, "k", "cas", 2, 1, True), (4, "k", "read", 2, None, True), (5, "k", "cas", 3, 1, False), (6, "k", "read", 2, None, True), (7, "k", "cas", 5, 9, True), (8, "k", "read", 4, None, True), (9, "j", "read", 2, None, True), (10, "j", "other", 2, None, True)]
+    got = history.replayed(spark.createDataFrame(ops, "i int, key string, kind string, v int, old int, ok boolean"), "key", ["i"], "kind", "v", "old", "ok")
+    assert sorted((r.i, r.expected) for r in got.collect()) == sorted(plain_replay(ops)) == [(7, 2), (8, 5), (9, None)]
+
+
+def test_replay_of_the_events(spark):
+    from sagitta import queries
+
+    sf = "/root/testdata/sf0.001"
+    kinds = {"purchase": "write", "signup": "cas", "error": "other"}
+    events = spark.read.parquet(f"{sf}/events.parquet").orderBy("event_id").collect()
+    ops = [(e.event_id, e.user_id % 20, kinds.get(e.event_type, "read"), int(e.value // 1) % 3, e.event_id % 3, e.event_id % 5 != 0) for e in events]
+    assert sorted((r.event_id, r.expected) for r in queries.QUERIES["register_replay"](spark, sf).collect()) == sorted(plain_replay(ops))
+
+
+def test_running_sums_over_ranges(spark):
+    rows = [(None if k % 11 == 0 else k % 3, k * 7919 % 1009, k) for k in range(500)]
+    got = ordering.running(spark.createDataFrame(rows, "g int, o int, w long").repartition(6), ["g"], ["o"], {"sum": F.col("w"), "no": F.lit(1).cast("long")}).collect()
+    for g in {r[0] for r in rows}:
+        total = 0
+        for n, (_, o, w) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1]), 1):
+            total += w
+            assert [(r.sum, r.no) for r in got if r.g == g and r.o == o] == [(total, n)]
+    assert sorted(r.n for r in ordering.placed(spark.range(100, numPartitions=7).where("id % 3 = 0"), "n").collect()) == list(range(34))
+    empty = spark.createDataFrame([], "g int, o int, w long")
+    assert ordering.numbered(empty, ["g"], ["o"], "no").count() == ordering.placed(empty, "n").count() == 0
+
+
+def test_windows_in_blocks(spark):
+    rows = spark.createDataFrame([(k % 2, k) for k in range(60)], "g int, o int")
+    at = ordering.blocks(rows, ["g"], ["o"], 3, 2, size=4)
+    held = at.groupBy("g", "_block").agg(F.sort_array(F.collect_list("o")).alias("o"), F.sort_array(F.collect_list(F.when(~F.col("_guest"), F.col("o")))).alias("own")).collect()
+    for r in held:
+        own = range(r.g + 8 * r["_block"], min(60, r.g + 8 * (r["_block"] + 1)), 2)
+        if not own:  # guests of a block behind the last one
+            assert r.own == []
+            continue
+        assert r.own == list(own) and r.o == [x for x in range(min(own) - 6, max(own) + 5, 2) if 0 <= x < 60]
+    assert text.context(rows, "g", "o", 2, 1).where("o = 9").first()[2:] == ([5, 7], [11]) and text.context(rows, "g", "o").count() == 60
+
+
+def test_conflicts_meet_in_blocks(spark):
+    rows = spark.createDataFrame([(t, [t % 3, 10 + t % 5]) for t in range(40)], "t int, keys array<int>")
+    pairs = {(r.a, r.b) for r in history.conflicts(rows, "t", "keys").collect()}
+    assert pairs == {(a, b) for a in range(40) for b in range(a + 1, 40) if a % 3 == b % 3 or a % 5 == b % 5}
+    a, b = ordering.block_pairs(spark.createDataFrame([(1, v) for v in range(50)], "k int, v int"), "k", "v", 7)
+    met = [tuple(sorted((r.v, r.w))) for r in a.join(b.withColumnRenamed("v", "w"), ["k", "_i", "_j"]).where("_i != _j or v < w").collect()]
+    assert len(met) == len(set(met)) == 50 * 49 // 2
+    cliques = history.cliques(rows, "t", "keys").collect()
+    assert {(r.key, r.t, r.first, r.others) for r in cliques} == {(k, t, k % 10 if k >= 10 else k, (8 if k >= 10 else 14 if k == 0 else 13) - 1) for t in range(40) for k in (t % 3, 10 + t % 5)}
+
+
+def test_ring(spark):
+    rows = spark.range(2000).withColumnRenamed("id", "key")
+    whole = {r.key: r.node for r in ring.Ring(["a", "b", "c"]).assigned(rows, "key").collect()}
+    less = {r.key: r.node for r in ring.Ring(["a", "b", "c"]).remove("b").assigned(rows, "key").collect()}
+    assert all(less[k] == n for k, n in whole.items() if n != "b") and set(less.values()) == {"a", "c"}
+    two = ring.Ring(["a", "b", "c"]).preferred(rows, "key", 2).collect()
+    assert all(r.nodes[0] == whole[r.key] and len(set(r.nodes)) == 2 for r in two)
+    counts = {r.node: r.n for r in ring.Ring(["a", "b", "c"]).add("d").distribution(rows, "key").collect()}
+    assert set(counts) == set("abcd") and sum(counts.values()) == 2000 and min(counts.values()) > 200
+    assert ring.Ring([]).assigned(rows, "key").where("node is not null").count() == 0
+
+
 def test_limiter(spark):
     t = dt.datetime(2024, 1, 1)
     rows = spark.createDataFrame([("a", t + dt.timedelta(seconds=s)) for s in (0, 1, 2, 9, 10, 11)] + [("b", t)], "u string, ts timestamp")
@@ -159,6 +236,23 @@ def test_stream_limiter_keeps_state(spark, tmp_path):
     assert [r.allowed for r in spark.read.parquet(str(tmp_path / "o")).orderBy("at").collect()] == [True, True, False]
 
 
+def test_stream_limiter_orders_a_batch(spark, tmp_path):
+    """Rows of a key that come in many frames, out of order, are limited as the batch form limits them."""
+    src, t = str(tmp_path / "src"), pd.Timestamp("2024-01-01")
+    frame = pd.DataFrame({"u": ["a"] * 60, "ts": [t + pd.Timedelta(seconds=k * 37 % 60) for k in range(60)]})
+    spark.createDataFrame(frame).coalesce(1).write.parquet(src)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept = spark.conf.get(name)
+    spark.conf.set(name, "10")
+    try:
+        stream = changes.limited(spark.readStream.schema("u string, ts timestamp").parquet(src), "u", "ts", 3, 10)
+        stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "o")).awaitTermination()
+    finally:
+        spark.conf.set(name, kept)
+    want = history.window_limited(spark.read.parquet(src), "u", "ts", 3, 10)
+    assert sorted((r["at"], r.allowed) for r in spark.read.parquet(str(tmp_path / "o")).collect()) == sorted((r.ts, r.allowed) for r in want.collect())
+
+
 def test_connectors(spark, tmp_path):
     points = [{"id": i, "vector": {"default": [i, 1]} if i % 2 else [i, 1], "payload": {"k": i}} for i in range(5)]
 

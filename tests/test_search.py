@@ -16,7 +16,7 @@ def points(spark, rows):
 
 @pytest.fixture(scope="module")
 def three(spark):
-    return points(spark, [(1, [0.1, 0.2, 0.3, 0.4], '{"color":"red"}'), (2, [0.5, 0.6, 0.7, 0.8], '{"color":"blue"}'), (3, [0.9, 0.1, 0.2, 0.3], None)])
+    return points(spark, [(1, [2.0, 1.0, -0.5, 5.0], '{"glaze":"ash"}'), (2, [4.0, 1.5, 0.25, 6.0], '{"glaze":"salt"}'), (3, [-3.0, 7.0, 1.0, 0.5], None)])
 
 
 def one(spark, column):
@@ -39,9 +39,9 @@ def test_metrics(spark):
 
 
 def test_search_order_and_score(three):
-    got = search.search(three, search.Request([0.1, 0.2, 0.3, 0.4], with_payload=True, with_vector=True)).collect()
+    got = search.search(three, search.Request([2.0, 1.0, -0.5, 5.0], with_payload=True, with_vector=True)).collect()
     assert got[0].id == 1 and got[0].score == pytest.approx(1) and got[0].distance == pytest.approx(0) and [r.rank for r in got] == [1, 2, 3]
-    assert [r.id for r in search.search(three, search.Request([0.1, 0.2, 0.3, 0.4], limit=1, offset=1)).collect()] == [2]
+    assert [r.id for r in search.search(three, search.Request([2.0, 1.0, -0.5, 5.0], limit=1, offset=1)).collect()] == [2]
     for bad in ([], [float("nan")]):
         with pytest.raises(ValueError):
             search.search(three, search.Request(bad))
@@ -58,6 +58,21 @@ def test_batch_equals_single(spark, three):
             assert [got[r.query_id, k] for k in (1, 2)] == [s.id for s in single]
 
 
+def test_explore_reaches_far_pages(spark):
+    """An offset beyond the largest limit of a single search."""
+    rows = spark.range(12_000).select("id", F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("vector"), F.lit(None).cast("variant").alias("payload"))
+    got = search.explore({"a": rows}, search.Request([1.0, 0.0], 5, 11_000, "dot")).collect()
+    assert [r.id for r in got] == [999, 998, 997, 996, 995] and got[0]["rank"] == 11_001
+
+
+def test_batch_with_condition_and_threshold(spark, three):
+    queries = three.select(F.col("id").alias("query_id"), "vector")
+    got = search.search_batch(three, queries, 3, condition=f.Match("glaze", "ash")).collect()
+    assert {(r.query_id, r.id) for r in got} == {(1, 1), (2, 1), (3, 1)}
+    near = search.search_batch(three, queries, 3, "l2", threshold=3.0).collect()
+    assert {(r.query_id, r.id) for r in near} == {(1, 1), (2, 2), (3, 3), (1, 2), (2, 1)}
+
+
 def test_batch_ties_prefer_small_ids(spark):
     rows = points(spark, [(i, [1.0, 0.0], None) for i in range(100)])
     q = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, vector array<float>")
@@ -67,31 +82,31 @@ def test_batch_ties_prefer_small_ids(spark):
 
 
 PAYLOADS = [
-    (1, '{"city":"London","price":150.0,"country":{"name":"Germany","code":"DE"},"tags":["a","b"],"n":3,"list":[{"x":1},{"x":2}],"none":null,"empty":[]}'),
-    (2, '{"city":"Paris","price":"150","n":"3"}'),
+    (1, '{"kiln":"Northgate","price":48.5,"clay":{"body":"stoneware","cone":"6a"},"tags":["a","b"],"n":3,"list":[{"x":1},{"x":2}],"none":null,"empty":[]}'),
+    (2, '{"kiln":"Quayside","price":"48.5","n":"3"}'),
     (5, None),
 ]
 CASES = [
-    (f.Match("city", "London"), {1}),
-    (f.Match("country.name", "Germany"), {1}),
-    (f.Range("price", gte=100, lte=200), {1}),
+    (f.Match("kiln", "Northgate"), {1}),
+    (f.Match("clay.body", "stoneware"), {1}),
+    (f.Range("price", gte=40, lte=60), {1}),
     (f.Range("price"), {1}),
-    (f.Filter(must_not=[f.Match("color", "blue")]), {1, 2, 5}),
+    (f.Filter(must_not=[f.Match("glaze", "salt")]), {1, 2, 5}),
     (f.HasId([1, 2, 3]), {1, 2}),
     (f.Match("tags", "b"), {1}),
     (f.Match("n", 3), {1}),
     (f.Match("n", "3"), {2}),
     (f.MatchInteger("tags", 1), set()),
-    (f.MatchText("city", "OND"), {1}),
-    (f.MatchAny("city", ["Paris", "Rome"]), {2}),
+    (f.MatchText("kiln", "THGA"), {1}),
+    (f.MatchAny("kiln", ["Quayside", "Mill"]), {2}),
     (f.Match("list[].x", 2), {1}),
     (f.Match("tags[]", "a"), {1}),
     (f.Exists("none"), {1}),
     (f.IsNull("none"), {1}),
     (f.IsEmpty("empty"), {1, 2, 5}),
     (f.Filter(should=[]), {1, 2, 5}),
-    (f.Filter(should=[f.Match("city", "Rome"), f.Match("city", "Paris")]), {2}),
-    (f.Filter(must=[f.Filter(must_not=[f.Match("city", "Paris")]), f.HasId([1, 2])]), {1}),
+    (f.Filter(should=[f.Match("kiln", "Mill"), f.Match("kiln", "Quayside")]), {2}),
+    (f.Filter(must=[f.Filter(must_not=[f.Match("kiln", "Quayside")]), f.HasId([1, 2])]), {1}),
 ]
 
 
@@ -107,17 +122,17 @@ def test_filter_fields():
 
 
 def test_metadata_algebra(spark):
-    rows = spark.sql("SELECT map('category','electronics','price','299.99','in_stock','true') AS m")
-    for test, holds in ((f.eq("category", "electronics"), True), (f.ne("category", "books"), True), (f.ne("none", "x"), True), (f.gte("price", 200), True), (f.gte("price", 100) & f.lt("price", 500), True), (f.among("category", ["a"]), False), (f.contains("category", "Elec"), False), (f.gt("category", 1), False)):
+    rows = spark.sql("SELECT map('shelf','upper','price','48.5','fired','true') AS m")
+    for test, holds in ((f.eq("shelf", "upper"), True), (f.ne("shelf", "lower"), True), (f.ne("none", "x"), True), (f.gte("price", 40), True), (f.gte("price", 10) & f.lt("price", 50), True), (f.among("shelf", ["a"]), False), (f.contains("shelf", "Upp"), False), (f.gt("shelf", 1), False)):
         assert rows.select(test.column(F.col("m"))).first()[0] is holds
 
 
 def test_dialects(spark, three):
     r = dialects.json_search({"vector": {"default": [1, 2]}, "limit": 3, "with_payload": {"exclude": ["x"]}, "filter": {"must": [{"key": "a", "match": {"value": 1}}]}})
     assert r.vector == [1, 2] and r.exclude_payload == ["x"] and r.filter.fields() == {"a"}
-    g = dialects.graph_query('{ Get { Article(nearVector: {vector: [0.1, 0.2], certainty: 0.7}, limit: 2) { title content _additional { id distance certainty } } } }')
-    assert (g.action, g.classes, g.fields, g.additional, g.vector, g.limit, g.certainty) == ("Get", ["Article"], ["title", "content"], ["id", "distance", "certainty"], [0.1, 0.2], 2, 0.7)
-    assert dialects.graph_query("{ Aggregate { Article { meta { count } } } }").action == "Aggregate"
+    g = dialects.graph_query('{ Get { Bowl(nearVector: {vector: [2.5, -1], certainty: 0.7}, limit: 2) { glaze kiln _additional { id distance certainty } } } }')
+    assert (g.action, g.classes, g.fields, g.additional, g.vector, g.limit, g.certainty) == ("Get", ["Bowl"], ["glaze", "kiln"], ["id", "distance", "certainty"], [2.5, -1.0], 2, 0.7)
+    assert dialects.graph_query("{ Aggregate { Bowl { meta { count } } } }").action == "Aggregate"
     rows = spark.range(5)
     assert [r.id for r in rows.where(dialects.expression("id > 0 and not id in [2, 3]")).collect()] == [1, 4]
     assert rows.where(dialects.expression("")).count() == 5
@@ -207,7 +222,7 @@ def test_learned_index(spark):
 
 def test_udfs(spark, three):
     udfs.load_module("m", {"neg": lambda a, b: -V.euclidean(a, b)})
-    assert search.custom(three, [0.1, 0.2, 0.3, 0.4], udfs.function("m", "neg"), 1).first().id == 1
-    assert search.custom(three, [0.1, 0.2, 0.3, 0.4], udfs.function("m", "none"), 1).first().score == 0
+    assert search.custom(three, [2.0, 1.0, -0.5, 5.0], udfs.function("m", "neg"), 1).first().id == 1
+    assert search.custom(three, [2.0, 1.0, -0.5, 5.0], udfs.function("m", "none"), 1).first().score == 0
     udfs.register(spark, "sim", lambda a, b: (a * b).sum(1))
     assert spark.sql("SELECT sim(array(1D, 2D), array(3D, 4D))").first()[0] == 11
