@@ -38,7 +38,7 @@ SINGLE, FREQUENCY, ENDING = 64, 32, 32
 CLASSES = SINGLE + FREQUENCY + ENDING
 #: Contexts of the word factor: the classes, and the start of a text.
 PLACES = CLASSES + 1
-#: Least and most named tokens (one less) and hashed pairs: they double with every fourfold of a million training tokens.
+#: Least and most named tokens (one less) and hashed pairs: they double with every fourfold of four million training tokens.
 NAMED, PAIRS, ENDINGS = (1 << 10, 1 << 14), (1 << 12, 1 << 17), 1024
 HEAD = 1 << 20
 END = np.uint64(1)
@@ -141,7 +141,7 @@ class Vocabulary:
 
 
 def _doublings(total: int, least: int, most: int) -> int:
-    return min(int(np.log2(most / least)), max(0, (max(total, 1).bit_length() - 20) // 2))
+    return min(int(np.log2(most / least)), max(0, (max(total, 1).bit_length() - 22) // 2))
 
 
 def vocabulary(counted: DataFrame, head: int = HEAD) -> Vocabulary:
@@ -424,7 +424,7 @@ def train(docs: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> Model:
         mine = docs.where(F.pmod(F.xxhash64(F.lit("round"), "doc_id", "text"), F.lit(rounds)) == turn).coalesce(few)
         total = summed(mine, wide, gradient, np.float32).reshape(-1, CLASSES)
         weights = (weights - np.clip(RATE * total / (smooth / rounds + LEAST), -1, 1)).astype(np.float32)
-        now.unpersist()
+        now.destroy()
     made.weights = weights
     return made
 
