@@ -165,23 +165,31 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, n: int = 5) -> tuple[np
     return out, place
 
 
+#: Tasks that a group's sample is dealt to.
+SALTS = 16
+
+
 def bounded_sample(rows: DataFrame, n: int, by: str | None = None, groups: int = 1000, text: str = "text") -> DataFrame:
-    """At most n rows of each value of ``by``, and of at most ``groups`` values, the most frequent: the same rows on every run.
+    """At most about n rows of each value of ``by``, and of at most ``groups`` values, the most frequent: the same rows on every run.
 
-    Rows are chosen by a hash of id and text. A share that the counts allow is taken first; of what it leaves the n least hashes
-    of each value stay, so repeated ids or rows do not add up. Every partition drops its own surplus before the shuffle.
+    Groups of up to n rows come whole. Of others a share by a hash of id and text is taken, half as many again as are wanted, and of that
+    the least hashes in each of SALTS parts stay, so repeated ids or rows do not add up and no task has all of a group.
     """
-    part, rank, group = fresh(rows, "part", "rank", "group")
+    part, salt, rank, group = fresh(rows, "part", "salt", "rank", "group")
     rows = rows.withColumn(part, F.pmod(F.xxhash64(F.lit("sample"), "doc_id", text), F.lit(1 << 30)) / float(1 << 30))
     rows = rows.withColumn(group, F.col(by) if by else F.lit(0))
     counts = rows.groupBy(group).count().orderBy(F.desc("count"), group).limit(groups).collect()
     if not counts:
         return rows.drop(part, group)
-    # half as many again, as a hash does not hit a share exactly
-    shares = F.create_map(*(x for value, count in counts for x in (F.lit(value), F.lit(min(1.0, (1.5 * n + 50) / count)))))
-    near = rows.where(F.col(part) < F.coalesce(shares[F.col(group)], F.lit(0.0)))
-    least = F.row_number().over(Window.partitionBy(group).orderBy(part, "doc_id"))
-    return near.withColumn(rank, least).where(F.col(rank) <= n).drop(part, rank, group)
+    shares = F.create_map(*(x for value, count in counts for x in (F.lit(value), F.lit(1.5 * n / count + 50 / count if count > n else 2.0))))
+    share = F.coalesce(shares[F.col(group)], F.lit(0.0))
+    small = rows.where(share == 2.0).drop(part, group)
+    if all(count <= n for _, count in counts):
+        return small
+    near = rows.where((share < 2.0) & (F.col(part) < share)).withColumn(salt, F.pmod(F.xxhash64(F.lit("salt"), "doc_id", text), F.lit(SALTS)))
+    least = F.row_number().over(Window.partitionBy(group, salt).orderBy(part, "doc_id"))
+    kept = near.withColumn(rank, least).where(F.col(rank) <= max(1, n // SALTS)).drop(part, salt, rank, group)
+    return kept if all(count > n for _, count in counts) else small.unionByName(kept)
 
 
 #: Training sees all of a text of up to as many characters; of a longer one as many windows, spread over it.

@@ -282,14 +282,17 @@ def labelled(docs: DataFrame, least: int = LEAST, rounds: int = ROUNDS) -> tuple
         last = turn > 0 and found.count() < FEW * left
     done(live)
     named = origin.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    least_id = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.select("doc_id", "key", "n_shingles", "node"), named.join(least_id, "root").select("node", "root", "component_id")
+    least_id = cut(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least-ids")
+    labels = cut(named.join(sent(least_id, least_id.count()), "root").select("node", "root", "component_id"), "labels")
+    done(least_id)
+    done(nodes)
+    return rows.select("doc_id", "key", "n_shingles", "node"), labels
 
 
 def classes(docs: DataFrame, least: int = LEAST, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links reach) and kept, for each row of docs."""
     rows, labels = labelled(docs, least, rounds)
-    out = rows.join(labels, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = rows.join(sent(labels, labels.count()), "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
@@ -299,10 +302,11 @@ def survivors(docs: DataFrame, least: int = LEAST) -> DataFrame:
     Of each component one pair is kept: of the smallest id (a null one only if there is no other), then of the smallest key.
     """
     rows, labels = labelled(docs, least)
-    pairs = cut(rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("rows"), F.first("node").alias("node")).join(labels.select("node", "root"), "node", "left"), "pairs")
+    pairs = rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("rows"), F.first("node").alias("node"))
+    pairs = cut(pairs.join(sent(labels.select("node", "root"), labels.count()), "node", "left"), "pairs")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("key"))
-    lead = pairs.where("root is not null").groupBy("root").agg(F.min(order).alias("lead"))
-    out = pairs.join(lead, "root", "left")
+    lead = cut(pairs.where("root is not null").groupBy("root").agg(F.min(order).alias("lead")), "leads")
+    out = pairs.join(sent(lead, lead.count()), "root", "left")
     # without words there is no component, and nothing to be a copy of
     return out.select("doc_id", "key", "rows", (F.col("root").isNull() | order.eqNullSafe(F.col("lead"))).alias("kept"))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sagitta.llm.common import LOWER, blocks, bounded_sample, cut, done, fold, read, utf8, word_hashes, word_spans
+from sagitta.llm.common import LOWER, SALTS, blocks, bounded_sample, cut, done, fold, read, utf8, word_hashes, word_spans
 
 #: Labelled rows of each kind that training sees, at most about.
 SAMPLE_ROWS = 10_000
@@ -211,9 +211,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     chosen = bounded_sample(labels, sample_rows, "toxic", text="toxic")
     # the sample is bounded by its parameter, so it may go to every executor; documents that share an id are bounded once more
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    own = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64(F.lit("own"), "doc_id", "text"), "doc_id"))
-    rows = rows.withColumn("own", own).where(F.col("own") <= sample_rows).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), F.col("doc_id")), F.lit(4)))
-    rows = cut(rows.drop("own"), "toxicity-sample")
+    salt = F.pmod(F.xxhash64(F.lit("salt"), "doc_id", "text"), F.lit(SALTS))
+    own = F.row_number().over(Window.partitionBy("toxic", "salt").orderBy(F.xxhash64(F.lit("own"), "doc_id", "text"), "doc_id"))
+    rows = rows.withColumn("salt", salt).withColumn("own", own).where(F.col("own") <= max(1, 2 * sample_rows // SALTS))
+    rows = cut(rows.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), F.col("doc_id")), F.lit(4))).drop("own", "salt"), "toxicity-sample")
     found, n1, n0 = standing_out(token_counts(rows.where("part > 0")))
     share = (totals.get(1, 0) + 1) / (sum(totals.values()) + 2)
     base = float(np.log(share / (1 - share)))
