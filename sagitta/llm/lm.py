@@ -39,7 +39,7 @@ CLASSES = SINGLE + FREQUENCY + ENDING
 #: Contexts of the word factor: the classes, and the start of a text.
 PLACES = CLASSES + 1
 #: Least and most named tokens (one less) and hashed pairs: they double with every fourfold of four million training tokens.
-NAMED, PAIRS, ENDINGS = (1 << 10, 1 << 14), (1 << 12, 1 << 17), 1024
+NAMED, PAIRS, ENDINGS = (1 << 10, 1 << 13), (1 << 12, 1 << 16), 1024
 HEAD = 1 << 20
 END = np.uint64(1)
 BATCH = 4096
