@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sagitta.llm import bpe, mixing, neardup, pii, toxicity
-from sagitta.llm.common import cut, fresh, read
+from sagitta.llm.common import counted, cut, fresh, read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,11 +31,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     of texts move between tasks: what is to go goes to the documents if it is few rows enough, and only rows that repeat are
     compared by their texts.
     """
-    found = cut(neardup.survivors(docs), "survivors")
+    found, _, most = counted(neardup.survivors(docs), "survivors", F.max(F.expr("if(kept, rows, 0)")))
     out = without(docs, found.where("not kept"))
-    repeated = found.where("kept and rows > 1")
-    if repeated.isEmpty():
+    if (most or 0) < 2:
         return out
+    repeated = found.where("kept and rows > 1")
     return without(out, repeated).unionByName(without(out, found.where("rows = 1 or not kept")).dropDuplicates(["doc_id", "text"]))
 
 
@@ -45,9 +45,9 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     What is gone goes to all executors if it is few rows, else the documents are dealt by id and key.
     """
     id_, key = fresh(docs, "gone_id", "gone_key")
-    gone = cut(gone.select(F.col("doc_id").alias(id_), F.col("key").alias(key)), "gone")
+    gone, n = counted(gone.select(F.col("doc_id").alias(id_), F.col("key").alias(key)), "gone")
     same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key))
-    return docs.join(F.broadcast(gone) if gone.count() <= neardup.BROADCAST_ROWS else gone, same, "left_anti")
+    return docs.join(neardup.sent(gone, n), same, "left_anti")
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

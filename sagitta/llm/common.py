@@ -52,6 +52,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return files.cut(df, name)
 
 
+def counted(df: DataFrame, name: str, *sums: Column) -> tuple:
+    """As cut, with the number of rows and other aggregates, which the writing itself takes."""
+    bound_batches(df.sparkSession)
+    return files.counted(df, name, *sums)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for columns of a step's own, which no column of df has, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagitta.llm.common import BYTE_CODES, LOWER, blocks, cut, done, mixed, read, shingle_hashes, utf8, word_hashes, word_spans
+from sagitta.llm.common import BYTE_CODES, LOWER, blocks, counted, cut, done, mixed, read, shingle_hashes, utf8, word_hashes, word_spans
 
 WORDS = 5
 #: Similarity at least, in hundredths.
@@ -37,8 +37,9 @@ SKETCH_BITS = 512
 #: Rounds of leaders at most; they end when a later one finds fewer links than this share of the nodes still open.
 ROUNDS = 3
 FEW = 0.1
-#: Up to so many ids, a set of ids is sent to all executors; beyond, the join is a shuffle.
-BROADCAST_ROWS = 500_000
+#: Up to so many rows (with a sketch about 250 bytes each) are sent to all executors; beyond, the join is a shuffle. The driver
+#: holds what it sends several times over: as it was collected, as a table that grows by doubling, and in blocks.
+BROADCAST_ROWS = 100_000
 #: Nodes of a bucket that are compared with one another in one task, about.
 BLOCK_NODES = 1024
 
@@ -136,20 +137,23 @@ def components(edges: DataFrame) -> DataFrame:
     Large and small stars in turn: every pass is joins and aggregations, and a node of many edges is no group of its own.
     """
     def stars(pairs: DataFrame, n: int, large: bool) -> DataFrame:
-        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else pairs
+        both = pairs.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))) if large else pairs
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        far = both.join(sent(least, 2 * n), "u").where(F.col("v") > F.col("u") if large else F.col("v") != F.col("m"))
+        far = both.join(sent(least, 2 * n if large else n), "u").where(F.col("v") > F.col("u") if large else F.col("v") != F.col("m"))
         far = far.select(F.col("v").alias("u"), F.col("m").alias("v"))
         if not large:
             far = far.union(least.select("u", F.col("m").alias("v")))
         return far.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
-    now, before = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), None
-    n = now.count()
+    hashes = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    now, *before = counted(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges", hashes)
+    n = before[0]
     while True:
-        now, old = cut(stars(stars(now, n, True), n, False).distinct(), "stars"), now
-        done(old)
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        # each star is written: one plan of both would hold the large one, and all that it reads, several times
+        large, m = counted(stars(now, n, True), "large-stars")
+        done(now)
+        now, *mark = counted(stars(large, m, False).distinct(), "stars", hashes)
+        done(large)
         if mark == before or not mark[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before, n = mark, mark[0]
@@ -165,17 +169,15 @@ def _near(a: str, b: str, least: int) -> Column:
 
 def full_sets(wanted: DataFrame, docs: DataFrame, origin: DataFrame) -> DataFrame:
     """node and its whole set (members) for the wanted nodes. origin has a row (node, doc_id) for each node."""
-    nodes = cut(wanted.select("node").distinct(), "wanted")
-    n = nodes.count()
-    needed = cut(origin.join(sent(nodes, n), "node"), "needed")
+    nodes, n = counted(wanted.select("node").distinct(), "wanted")
     # a node whose rows all have a null id is fetched by it too
-    ids = needed.select(F.col("doc_id").alias("_id")).distinct()
+    ids = origin.join(sent(nodes, n), "node").select(F.col("doc_id").alias("_id")).distinct()
     texts = docs.join(sent(ids, n), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    members = cut(shingled(texts).join(sent(nodes, n), "node", "left_semi"), "members")
-    if members.count() != n:
+    members, found = counted(shingled(texts).join(sent(nodes, n), "node", "left_semi"), "members")
+    if found != n:
         members, old = cut(members.dropDuplicates(["node"]), "members"), members
         done(old)
-    done(nodes, needed)
+    done(nodes)
     return members
 
 
@@ -185,14 +187,14 @@ def _linked(a: str, b: str, least: int) -> Column:
     return common * (100 + least) >= (F.size(a) + F.size(b)) * least
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, origin: DataFrame, least: int) -> DataFrame:
-    """Those pairs (u, v) of nodes whose full sets are similar enough."""
+def confirmed(pairs: DataFrame, docs: DataFrame, origin: DataFrame, least: int) -> tuple[DataFrame, int]:
+    """Those pairs (u, v) of nodes whose full sets are similar enough, and how many they are."""
     pairs = cut(pairs, "pairs")
     members = full_sets(pairs.select(F.col("u").alias("node")).union(pairs.select("v")), docs, origin)
     both = pairs.join(members.select(F.col("node").alias("u"), F.col("members").alias("a")), "u").join(members.select(F.col("node").alias("v"), F.col("members").alias("b")), "v")
-    links = cut(both.where(_linked("a", "b", least)).select("u", "v"), "links")
+    links, n = counted(both.where(_linked("a", "b", least)).select("u", "v"), "links")
     done(pairs, members)
-    return links
+    return links, n
 
 
 def block_pairs(live: DataFrame, block_nodes: int = BLOCK_NODES) -> tuple[DataFrame, DataFrame]:
@@ -200,8 +202,8 @@ def block_pairs(live: DataFrame, block_nodes: int = BLOCK_NODES) -> tuple[DataFr
 
     Every pair of a bucket's nodes stands in just one unit, the one of its two blocks.
     """
-    sizes = cut(live.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block_nodes).alias("blocks")), "sizes")
-    rows = live.join(sent(sizes, sizes.count()), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    sizes, n = counted(live.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block_nodes).alias("blocks")), "sizes")
+    rows = live.join(sent(sizes, n), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     kept = [c for c in live.columns if c != "bucket"]
 
     def side(prefix: str, others: Column, first: Column, second: Column) -> DataFrame:
@@ -228,8 +230,7 @@ def across(live: DataFrame, nodes: DataFrame, docs: DataFrame, origin: DataFrame
 
     u, v = sides(live)
     open_ = u.join(v, same(u, v) & cheap, "left_semi").select(F.col("u_node").alias("node")).union(v.join(u, same(u, v) & cheap, "left_semi").select(F.col("v_node").alias("node")))
-    open_ = cut(open_.distinct(), "open")
-    n = open_.count()
+    open_, n = counted(open_.distinct(), "open")
     if not n:
         return open_.select(F.col("node").alias("u"), F.col("node").alias("v"))
     members = full_sets(open_, docs, origin)
@@ -240,17 +241,17 @@ def across(live: DataFrame, nodes: DataFrame, docs: DataFrame, origin: DataFrame
     return links
 
 
-def labelled(docs: DataFrame, least: int = LEAST, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, key, n_shingles, node) and, for every node, (node, root, component_id)."""
+def labelled(docs: DataFrame, least: int = LEAST, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (doc_id, key, n_shingles, node) and, for every node, (node, root, component_id), and the number of nodes."""
     docs = docs.select("doc_id", "text")
     rows = cut(sketched(docs), "sketched")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = cut(nodes, "nodes")
     origin = nodes.select("node", "doc_id")
     entries = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", "band", F.xxhash64("band", "value").alias("bucket"))
-    shared = cut(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket"), "shared")
+    shared, n = counted(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket"), "shared")
     # only what shares a bucket with others carries its sketch
-    live = cut(entries.join(sent(shared, shared.count()), "bucket").join(nodes.select("node", "n", "sketch"), "node").withColumn("part", F.col("node")), "entries")
+    live = cut(entries.join(sent(shared, n), "bucket").join(nodes.select("node", "n", "sketch"), "node").withColumn("part", F.col("node")), "entries")
     done(shared)
     roots, links, last = None, None, False
     for turn in range(rounds + 1):
@@ -260,9 +261,9 @@ def labelled(docs: DataFrame, least: int = LEAST, rounds: int = ROUNDS) -> tuple
         else:
             rank = F.col("node") if not turn else F.xxhash64(F.lit(turn), F.col("node"))
             leaders = live.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "node", "part", "n", "sketch")).alias("lead"))
-            leaders = cut(leaders.select(F.col("bucket").alias("l_bucket"), *(F.col(f"lead.{c}").alias(f"l_{c}") for c in ("node", "part", "n", "sketch"))), "leaders")
-            pairs = live.join(sent(leaders, leaders.count()), (F.col("bucket") == F.col("l_bucket")) & (F.col("part") != F.col("l_part")) & _near("", "l_", least))
-            found = confirmed(pairs.select(F.least("node", "l_node").alias("u"), F.greatest("node", "l_node").alias("v")).distinct(), docs, origin, least)
+            leaders, n = counted(leaders.select(F.col("bucket").alias("l_bucket"), *(F.col(f"lead.{c}").alias(f"l_{c}") for c in ("node", "part", "n", "sketch"))), "leaders")
+            pairs = live.join(sent(leaders, n), (F.col("bucket") == F.col("l_bucket")) & (F.col("part") != F.col("l_part")) & _near("", "l_", least))
+            found, new = confirmed(pairs.select(F.least("node", "l_node").alias("u"), F.greatest("node", "l_node").alias("v")).distinct(), docs, origin, least)
             done(leaders)
         links = found if links is None else roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found)
         roots = components(links)
@@ -272,27 +273,27 @@ def labelled(docs: DataFrame, least: int = LEAST, rounds: int = ROUNDS) -> tuple
         parts = cut(named.select(*live.columns), "parts")
         # two members: their one pair is settled
         open_ = parts.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count(F.lit(1)).alias("size")).where("a != b and size > 2").select("bucket")
-        open_ = cut(open_, "open")
-        live, old = cut(parts.join(sent(open_, open_.count()), "bucket", "left_semi"), "live"), live
+        open_, n = counted(open_, "open")
+        live, old = cut(parts.join(sent(open_, n), "bucket", "left_semi"), "live"), live
         done(old, parts, open_)
         left = live.agg(F.count_distinct("node")).first()[0]
         if not left:
             break
         # leaders that find few links more have done their part
-        last = turn > 0 and found.count() < FEW * left
+        last = turn > 0 and new < FEW * left
     done(live)
     named = origin.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    least_id = cut(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least-ids")
-    labels = cut(named.join(sent(least_id, least_id.count()), "root").select("node", "root", "component_id"), "labels")
+    least_id, n = counted(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least-ids")
+    labels, n = counted(named.join(sent(least_id, n), "root").select("node", "root", "component_id"), "labels")
     done(least_id)
     done(nodes)
-    return rows.select("doc_id", "key", "n_shingles", "node"), labels
+    return rows.select("doc_id", "key", "n_shingles", "node"), labels, n
 
 
 def classes(docs: DataFrame, least: int = LEAST, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links reach) and kept, for each row of docs."""
-    rows, labels = labelled(docs, least, rounds)
-    out = rows.join(sent(labels, labels.count()), "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    rows, labels, n = labelled(docs, least, rounds)
+    out = rows.join(sent(labels, n), "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
@@ -301,12 +302,12 @@ def survivors(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     Of each component one pair is kept: of the smallest id (a null one only if there is no other), then of the smallest key.
     """
-    rows, labels = labelled(docs, least)
+    rows, labels, n = labelled(docs, least)
     pairs = rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("rows"), F.first("node").alias("node"))
-    pairs = cut(pairs.join(sent(labels.select("node", "root"), labels.count()), "node", "left"), "pairs")
+    pairs = cut(pairs.join(sent(labels.select("node", "root"), n), "node", "left"), "pairs")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("key"))
-    lead = cut(pairs.where("root is not null").groupBy("root").agg(F.min(order).alias("lead")), "leads")
-    out = pairs.join(sent(lead, lead.count()), "root", "left")
+    lead, n = counted(pairs.where("root is not null").groupBy("root").agg(F.min(order).alias("lead")), "leads")
+    out = pairs.join(sent(lead, n), "root", "left")
     # without words there is no component, and nothing to be a copy of
     return out.select("doc_id", "key", "rows", (F.col("root").isNull() | order.eqNullSafe(F.col("lead"))).alias("kept"))
 

@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def _at(spark: SparkSession, path: str):
@@ -94,6 +95,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame, name: str, *sums: Column) -> tuple:
+    """As cut: the frame, its number of rows, and the values of any aggregates more, all taken while it is written, without a job of their own."""
+    seen, kept = Observation(), [F.count(F.lit(1)), *sums]
+    out = cut(df.observe(seen, *(c.alias(f"seen_{k}") for k, c in enumerate(kept))), name)
+    told = seen.get
+    return out, *(told[f"seen_{k}"] for k in range(len(kept)))
+
+
 def done(*frames: DataFrame | None) -> None:
     """Deletes the files of frames that cut has written, once nothing will read them."""
     for df in frames:

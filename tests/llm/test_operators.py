@@ -18,6 +18,7 @@ import tiktoken
 from odd import DOCS, LONG, rows_of, written
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sagitta.llm import bpe, common, fingerprint, langid, lm, mixing, neardup, ogg, pii, quality, registry, toxicity
 
 SF = "/root/testdata/sf0.01"
@@ -834,6 +835,49 @@ def test_components(spark):
     assert {got[i] for i in range(1, 26)} == {0} and {got[i] for i in range(27, 51)} == {26} and got[100] == 0 and got[202] == 200
 
 
+def test_near_dedup_spares_the_driver(spark):
+    """Sizes are counted while tables are written, not by queries of their own, and what the driver sends is bounded in bytes."""
+    texts = [" ".join(f"w{i}x{k + j}" for k in range(60)) for i in range(40) for j in range(0, 8, 2)] + ["", None, "a b", "a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    before = store.executionsCount()
+    left = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    bus.waitUntilEmpty()
+    classes = plain_classes(dict(enumerate(texts)))
+    assert left == {i for i, (_, c) in classes.items() if c == i}
+    assert store.executionsCount() - before <= 28  # 36 with queries for counts
+    # 252 bytes: a leader with its sketch, in the table that the driver builds
+    assert neardup.BROADCAST_ROWS * 252 <= 32 << 20
+    hinted = lambda n: "broadcast" in neardup.sent(spark.range(3), n)._jdf.queryExecution().logical().toString()
+    assert hinted(100_000) and not hinted(166_172)
+
+
+def test_shuffles_give_the_same_as_broadcasts(spark, monkeypatch):
+    docs = common.read(spark, "/root/testdata/sf0.001", "documents")
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.classes(docs).collect()}
+    assert got == plain_classes({r.doc_id: r.text for r in docs.select("doc_id", "text").collect()})
+
+
+def test_counted(spark):
+    frame, n, most = common.counted(spark.range(10).where("id > 3"), "some", F.max("id"))
+    assert (n, most, frame.count()) == (6, 9, 6)
+    none = spark.range(10).where("id > 30").groupBy("id").count().join(spark.range(5), "id")
+    frame, n, most = common.counted(none, "none", F.max("id"))
+    assert (n, most, frame.count()) == (0, None, 0)
+    empty, n = common.counted(spark.createDataFrame([], "a long"), "empty")
+    assert n == 0 and empty.columns == ["a"]
+
+
+def test_pipeline_reads_what_only_spark_opens(spark, tmp_path):
+    texts = [(i, " ".join(f"w{i // 2}x{k}" for k in range(40)) + " end" * (i % 2), "en", "ab"[i % 2]) for i in range(20)]
+    sf = written(spark, tmp_path, texts, [(i, 1, i % 2) for i in range(20)])
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./in", f"file://{sf}")
+    left = lambda path: sorted(corpus_pipeline.run(spark, path).select("doc_id", "ids_sha256").collect())
+    assert left("viewfs://store/in") == left(sf)
+
+
 def test_odd_sketch_estimates():
     """The bits in which sketches differ follow the similarity, and the screen lets pass what is similar enough."""
     rng = np.random.default_rng(0)
